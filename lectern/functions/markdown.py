@@ -60,19 +60,19 @@ def data_rows(text: Column) -> Column:
     )
 
 
-def _lead_numbers(rows: Column) -> Column:
+def leading_numbers(rows: Column) -> Column:
     heads = F.transform(rows, lambda r: F.get(cells(r), F.lit(0)))
     return F.filter(heads, lambda h: h.rlike(r"^\d+$"))
 
 
 def last_number(text: Column) -> Column:
     """First cell of the last data row whose first cell is a whole number."""
-    return F.try_element_at(_lead_numbers(data_rows(text)), F.lit(-1)).cast("bigint")
+    return F.try_element_at(leading_numbers(data_rows(text)), F.lit(-1)).cast("bigint")
 
 
 def first_number(text: Column) -> Column:
     """First whole number that leads a pipe row."""
-    return F.get(_lead_numbers(pipe_rows(text)), F.lit(0)).cast("bigint")
+    return F.get(leading_numbers(pipe_rows(text)), F.lit(0)).cast("bigint")
 
 
 def first_pipe_row(text: Column) -> Column:

@@ -55,18 +55,17 @@ def _search(q_ids, q, ids, v, k: int, skip_same: bool) -> pd.DataFrame:
     return _cut(pd.concat(found, ignore_index=True), k)
 
 
-def _result_schema(queries: DataFrame, items: DataFrame) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField("chunk_id", items.schema["chunk_id"].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
+def _result_schema(queries: DataFrame, items: DataFrame, key: str | None) -> T.StructType:
+    fields = [
+        T.StructField("query_id", queries.schema["query_id"].dataType),
+        T.StructField("chunk_id", items.schema["chunk_id"].dataType),
+        T.StructField("score", T.DoubleType()),
+    ]
+    return T.StructType(fields + ([T.StructField(key, queries.schema[key].dataType)] if key else []))
 
 
 def _by_broadcast(queries: DataFrame, items: DataFrame, k: int, key: str | None, skip_same: bool) -> DataFrame:
-    schema = _result_schema(queries, items)
+    schema = _result_schema(queries, items, key)
     cols = ["query_id", "vector"] + ([key] if key else [])
     pulled = queries.select(*cols).toPandas()  # size checked by the caller
     if len(pulled) == 0:
@@ -85,7 +84,8 @@ def _by_broadcast(queries: DataFrame, items: DataFrame, k: int, key: str | None,
                 q_ids, q = shared.value[g]
                 hits = _search(q_ids, q, part["chunk_id"].to_numpy(), unit_rows(matrix(part["vector"])), k, skip_same)
                 kept[g] = _cut(pd.concat([kept[g], hits], ignore_index=True), k) if g in kept else hits
-        yield from kept.values()
+        for g, hits in kept.items():
+            yield hits if key is None else hits.assign(**{key: g})
 
     cols = ["chunk_id", "vector"] + ([key] if key else [])
     return items.select(*cols).mapInPandas(scan, schema)
@@ -94,7 +94,7 @@ def _by_broadcast(queries: DataFrame, items: DataFrame, k: int, key: str | None,
 def _by_grid(
     queries: DataFrame, items: DataFrame, k: int, key: str | None, skip_same: bool, cell_rows: int
 ) -> DataFrame:
-    schema = _result_schema(queries, items)
+    schema = _result_schema(queries, items, key)
     key_col = F.col(key) if key else F.lit(0)
     q = queries.select("query_id", "vector", key_col.alias("_k"))
     v = items.select("chunk_id", "vector", key_col.alias("_k"))
@@ -109,25 +109,27 @@ def _by_grid(
     )
     q = join_skewed(q, grid, "_k", "_nq", F.col("query_id"))
     v = join_skewed(v, grid, "_k", "_nv", F.col("chunk_id"))
+    # Fresh column ids on both sides: queries and items may come from one table.
     q = q.select(
-        "_k",
+        F.col("_k").alias("_k"),
         F.pmod(F.xxhash64("query_id"), F.col("_gq")).cast("int").alias("_cq"),
         F.explode(F.sequence(F.lit(0), F.col("_gv") - 1)).alias("_cv"),
-        "query_id",
-        "vector",
+        F.col("query_id").alias("query_id"),
+        F.col("vector").alias("vector"),
     )
     v = v.select(
-        "_k",
+        F.col("_k").alias("_k"),
         F.explode(F.sequence(F.lit(0), F.col("_gq") - 1)).alias("_cq"),
         F.pmod(F.xxhash64("chunk_id"), F.col("_gv")).cast("int").alias("_cv"),
-        "chunk_id",
-        "vector",
+        F.col("chunk_id").alias("chunk_id"),
+        F.col("vector").alias("vector"),
     )
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"query_id": left["query_id"].head(0), "chunk_id": right["chunk_id"].head(0), "score": np.array([], dtype=float)})
-        return _search(
+            none = {"query_id": left["query_id"].head(0), "chunk_id": right["chunk_id"].head(0), "score": np.array([], dtype=float)}
+            return pd.DataFrame({**none, key: left["_k"].head(0)} if key else none)
+        found = _search(
             left["query_id"].to_numpy(),
             unit_rows(matrix(left["vector"])),
             right["chunk_id"].to_numpy(),
@@ -135,6 +137,7 @@ def _by_grid(
             k,
             skip_same,
         )
+        return found.assign(**{key: left["_k"].iloc[0]}) if key else found
 
     on = ["_k", "_cq", "_cv"]
     return q.groupBy(*on).cogroup(v.groupBy(*on)).applyInPandas(cell, schema)
@@ -146,13 +149,15 @@ def dense_topk(
     k: int = 10,
     key: str | None = None,
     skip_same: bool = False,
+    per_key: bool = False,
     query_rows: int = QUERY_ROWS,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
-    """Cosine top k: (query_id, chunk_id, score, rank).
+    """Cosine top k: (query_id, chunk_id, score, rank), with ``key`` also that column.
 
     ``queries`` has (query_id, vector), ``items`` (chunk_id, vector); with ``key`` both carry that column and
-    a query only searches items of its key value. ``skip_same`` leaves out the item with the query's own id.
+    a query only searches items of its key value, ``per_key`` ranks a query's key values apart.
+    ``skip_same`` leaves out the item with the query's own id.
     """
     q = queries.where(F.col("vector").isNotNull())
     v = items.where(F.col("vector").isNotNull())
@@ -160,7 +165,7 @@ def dense_topk(
         local = _by_broadcast(q, v, k, key, skip_same)
     else:
         local = _by_grid(q, v, k, key, skip_same, cell_rows)
-    return rank_by_query(local, k)
+    return rank_by_query(local, k, [key] if per_key and key else [])
 
 
 def fit_cells(items: DataFrame, n_cells: int, seed: int = 42) -> KMeansModel:
@@ -192,4 +197,4 @@ def dense_topk_cells(
     model = fit_cells(items, n_cells, seed)
     placed = nearest_cells(items.select("chunk_id", "vector"), model, 1)
     probes = nearest_cells(queries.select("query_id", "vector"), model, n_probe)
-    return rank_by_query(_by_grid(probes, placed, k, "cell", skip_same, cell_rows), k)
+    return rank_by_query(_by_grid(probes, placed, k, "cell", skip_same, cell_rows), k).drop("cell")

@@ -138,16 +138,15 @@ def bm25_topk(queries: DataFrame, index: KeywordIndex, k: int = 10, k1: float =
 def mine_terms(chunks: DataFrame, position: str, batch: int = 10, longest: int = 2) -> DataFrame:
     """Candidate domain terms: word sequences of 2 to 15 characters, counted once per batch of chunks."""
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[\p{L}_]+"), F.lit(0))
-    grams = [words]
-    for n in range(2, longest + 1):
-        idx = F.sequence(F.lit(1), F.size("_w") - (n - 1))
-        grams.append(
-            F.when(F.size("_w") >= n, F.transform(idx, lambda i, n=n: F.array_join(F.slice(F.col("_w"), i, n), " "))).otherwise(
-                F.array().cast("array<string>")
-            )
-        )
     cut = chunks.select(F.floor(F.col(position) / batch).alias("batch"), words.alias("_w"))
-    terms = F.array_distinct(F.concat(F.col("_w"), *grams[1:]))
+    w = F.col("_w")
+
+    def grams(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - (n - 1))
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        return F.when(F.size(w) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    terms = F.array_distinct(F.concat(w, *[grams(n) for n in range(2, longest + 1)]))
     each = cut.select("batch", F.explode_outer(terms).alias("term")).where(F.length("term").between(2, 15))
     counted = each.distinct().groupBy("term").agg(F.count("*").alias("freq"))
     return counted.withColumn("weight", F.least(F.col("freq") * 10, F.lit(100)))

@@ -21,6 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.operators.ordered import BLOCK_ROWS, block_of, positions
+from lectern.session import staged
+
 # A jump takes the rows in order and gives, for each row taken as the first of a run, the index of the
 # first row of the next run, and whether that is certain from these rows alone.
 NONE = -(2**63)  # stands for "no row" in bigint columns of the helper tables
@@ -81,15 +84,32 @@ def elapsed(at: str, span: int, unstored: str | None = None) -> Jump:
 
 
 def mark_runs(
-    df: DataFrame, keys: Sequence[str], order: str, block: Column, jump: Jump, features: Sequence[str]
+    df: DataFrame, keys: Sequence[str], order: str, jump: Jump, features: dict[str, Column], block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Add ``run_start``: the ``order`` value (bigint, unique in the key) of the first row of the row's run.
+    """Add ``pos``, the dense position of a row in its key, and ``run_start``, the position its run begins at.
 
-    ``features`` are the columns the jump reads. ``block`` must not decrease along ``order``, and no run may
-    reach beyond the block behind the one it began in; a chain that needs more raises instead of guessing.
+    ``order`` is a bigint column that is unique in the key; ``features`` are the values the jump reads. No run
+    may be longer than ``block_rows`` rows; a chain that needs more raises instead of guessing.
     """
+    slim = staged(df.select(*keys, order, *[c.alias(n) for n, c in features.items()]), "runs")
+    placed = staged(positions(slim, "pos", keys, [order], block_of(order, block_rows)), "runs")
+    marks = _marks(placed.drop(order), keys, "pos", block_of("pos", block_rows), jump)
+    named = marks.join(placed.select(*keys, order, "pos"), [*keys, "pos"])
+    return df.join(named, [*keys, order])
+
+
+def mark_spans(df: DataFrame, keys: Sequence[str], at: str, span: int, unstored: Column | None = None) -> DataFrame:
+    """Add ``run_start``: the time (bigint, unique in the key) at which the row's run of ``span`` began."""
+    flag = F.lit(False) if unstored is None else unstored
+    slim = staged(df.select(*keys, at, flag.alias("_unstored")), "spans")
+    marks = _marks(slim, keys, at, F.floor(F.col(at) / (2 * span)), elapsed(at, span, "_unstored"))
+    return df.join(marks, [*keys, at])
+
+
+def _marks(slim: DataFrame, keys: Sequence[str], order: str, block: Column, jump: Jump) -> DataFrame:
+    """(*keys, order, run_start) for a narrow stored table; ``block`` must not decrease along ``order``."""
     keys = list(keys)
-    slim = df.select(*keys, order, *[f for f in features if f != order and f not in keys], block.alias("_blk"))
+    slim = slim.withColumn("_blk", block)
     along = Window.partitionBy(*keys).orderBy("_blk")
     blocks = (
         slim.groupBy(*keys, "_blk")
@@ -107,7 +127,7 @@ def mark_runs(
     )
     # _d = 0: the block's own row; 1: seen by the block behind it; -1: seen by the block before it.
     around = around.withColumn("_b", F.col("_b") + F.col("_d"))
-    key_fields = [df.schema[k] for k in keys]
+    key_fields = [slim.schema[k] for k in keys]
     steps_schema = T.StructType(
         key_fields
         + [
@@ -198,7 +218,7 @@ def mark_runs(
         return out[[f.name for f in entries_schema.fields]]
 
     entries = steps.groupBy(*keys).applyInPandas(walk, entries_schema)
-    marked_schema = T.StructType(key_fields + [df.schema[order], T.StructField("run_start", T.LongType())])
+    marked_schema = T.StructType(key_fields + [slim.schema[order], T.StructField("run_start", T.LongType())])
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
@@ -217,5 +237,4 @@ def mark_runs(
         out["run_start"] = np.where(latest >= 0, at[np.maximum(latest, 0)], int(pdf["_open"].iloc[0]))
         return out
 
-    marked = rows.join(entries, [*keys, "_b"]).groupBy(*keys, "_b").applyInPandas(mark, marked_schema)
-    return df.join(marked, [*keys, order])
+    return rows.join(entries, [*keys, "_b"]).groupBy(*keys, "_b").applyInPandas(mark, marked_schema)

@@ -1 +1,16 @@
+"""Registered queries, grouped by area."""
 
+import importlib
+
+from lectern.plans.base import REGISTRY
+
+AREAS = ("retrieval", "shaping", "curation", "evaluation", "collections", "series")
+
+
+def registry() -> dict:
+    for area in AREAS:
+        try:
+            importlib.import_module(f"lectern.plans.{area}")
+        except ModuleNotFoundError:
+            pass
+    return REGISTRY
