@@ -163,12 +163,13 @@ def sliding_windows(docs: DataFrame, keep: Sequence[str], size: int = 5000, step
 
 
 def pack_segments(
-    chunks: DataFrame, keys: Sequence[str], order: str, max_chars: int = 3000, block_rows: int = BLOCK_ROWS
+    chunks: DataFrame, keys: Sequence[str], order: str, max_chars: int = 3000, block_rows: int = BLOCK_ROWS,
+    order_span: int | None = None,
 ) -> DataFrame:
     """Consecutive chunks of a key packed to at most ``max_chars``: (*keys, seg_start, n_chunks, text)."""
     rows = chunks.where(F.length("text") > 0)
     jump = runs.overflow("_size", max_chars)
-    marked = runs.mark_runs(rows, keys, order, jump, {"_size": F.length("text")}, max(block_rows, max_chars))
+    marked = runs.mark_runs(rows, keys, order, jump, {"_size": F.length("text")}, max(block_rows, max_chars), order_span)
     return marked.groupBy(*keys, F.col("run_start").alias("seg_start")).agg(
         F.count("*").alias("n_chunks"), join_ordered(["pos"], "text", "\n\n").alias("text")
     )

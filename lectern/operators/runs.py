@@ -84,15 +84,17 @@ def elapsed(at: str, span: int, unstored: str | None = None) -> Jump:
 
 
 def mark_runs(
-    df: DataFrame, keys: Sequence[str], order: str, jump: Jump, features: dict[str, Column], block_rows: int = BLOCK_ROWS
+    df: DataFrame, keys: Sequence[str], order: str, jump: Jump, features: dict[str, Column], block_rows: int = BLOCK_ROWS,
+    order_span: int | None = None,
 ) -> DataFrame:
     """Add ``pos``, the dense position of a row in its key, and ``run_start``, the position its run begins at.
 
     ``order`` is a bigint column that is unique in the key; ``features`` are the values the jump reads. No run
-    may be longer than ``block_rows`` rows; a chain that needs more raises instead of guessing.
+    may be longer than ``block_rows`` rows; a chain that needs more raises instead of guessing. Where ``order``
+    has wide gaps, ``order_span`` is the stretch of it that holds about ``block_rows`` rows.
     """
     slim = staged(df.select(*keys, order, *[c.alias(n) for n, c in features.items()]), "runs")
-    placed = staged(positions(slim, "pos", keys, [order], block_of(order, block_rows)), "runs")
+    placed = staged(positions(slim, "pos", keys, [order], block_of(order, order_span or block_rows)), "runs")
     marks = _marks(placed.drop(order), keys, "pos", block_of("pos", block_rows), jump)
     named = marks.join(placed.select(*keys, order, "pos"), [*keys, "pos"])
     return df.join(named, [*keys, order])

@@ -267,7 +267,7 @@ PACKED = (fold_sql("it", "i.size", "f.acc + i.size > 3000", "f.acc + i.size"),
 @query("pack_segments", finish(*WINDOWS_SQL, PACK_ITEMS, *PACKED, select="SELECT * FROM sg"))
 def pack_segments(spark, sf):
     placed = _windows(spark, sf).withColumn("place", F.col("doc_id") * 2**20 + F.col("chunk_index"))
-    return chunking.pack_segments(placed, ["source"], "place")
+    return chunking.pack_segments(placed, ["source"], "place", order_span=64 * 2**20)
 
 
 @query(
