@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.sizing import fits, join_skewed
+from lectern.functions.sizing import join_skewed
 from lectern.functions.vectors import as_double, matrix, unit_rows
 from lectern.operators.keyword import SCORE_DIGITS, rank_by_query
 
@@ -64,10 +64,8 @@ def _result_schema(queries: DataFrame, items: DataFrame, key: str | None) -> T.S
     return T.StructType(fields + ([T.StructField(key, queries.schema[key].dataType)] if key else []))
 
 
-def _by_broadcast(queries: DataFrame, items: DataFrame, k: int, key: str | None, skip_same: bool) -> DataFrame:
+def _by_broadcast(queries: DataFrame, pulled: pd.DataFrame, items: DataFrame, k: int, key: str | None, skip_same: bool) -> DataFrame:
     schema = _result_schema(queries, items, key)
-    cols = ["query_id", "vector"] + ([key] if key else [])
-    pulled = queries.select(*cols).toPandas()  # size checked by the caller
     if len(pulled) == 0:
         return queries.sparkSession.createDataFrame([], schema)
     groups = {None: pulled} if key is None else dict(list(pulled.groupby(key)))
@@ -161,8 +159,10 @@ def dense_topk(
     """
     q = queries.where(F.col("vector").isNotNull())
     v = items.where(F.col("vector").isNotNull())
-    if fits(q.select("query_id"), query_rows):
-        local = _by_broadcast(q, v, k, key, skip_same)
+    wanted = q.select("query_id", "vector", *([key] if key else []))
+    pulled = wanted.limit(query_rows + 1).toPandas()  # never more than one row above the bound
+    if len(pulled) <= query_rows:
+        local = _by_broadcast(q, pulled, v, k, key, skip_same)
     else:
         local = _by_grid(q, v, k, key, skip_same, cell_rows)
     return rank_by_query(local, k, [key] if per_key and key else [])

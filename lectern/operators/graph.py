@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions.sizing import BROADCAST_ROWS, fits, join_skewed
 from lectern.operators.fusion import ALL
+from lectern.session import staged
 from lectern.operators.keyword import SCORE_DIGITS, postings, query_terms, rank_by_query, score_by_terms, term_stats
 
 EXCERPT = 400  # fixed value: the part of a chunk entities are taken from
@@ -82,6 +83,7 @@ def kg_expand(
 
     Cut to k. ``reserve`` keeps that many of the k places for expanded chunks.
     """
+    base = staged(base, "hits")
     kept = base.where(F.col("rank") <= k - reserve)
     of_hits = base.select("query_id", "chunk_id").join(edges, "chunk_id").select("query_id", "entity", F.lit(2).alias("hop"))
     seeds = (
@@ -95,6 +97,7 @@ def kg_expand(
 
 def local_search(base: DataFrame, entities: DataFrame, edges: DataFrame, k: int | None = None) -> DataFrame:
     """Base hits followed by all other chunks that carry an entity of the query."""
+    base = staged(base, "hits")
     seeds = entities.select("query_id", "entity", F.lit(1).alias("hop")).distinct()
     return _append(base, _reached(seeds, base, edges, k or ALL), k or ALL)
 

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.functions.sizing import BROADCAST_ROWS, broadcast_if_small, by_slices, fits
+from lectern.functions.sizing import BROADCAST_ROWS, by_slices, fits
+from lectern.session import staged
 
 # The published BM25 constants of the keyword search server.
 K1 = 1.2
@@ -94,6 +95,8 @@ def score_by_terms(
     of bounded size; ``finish`` ranks one slice.
     """
     placed = matched.repartition("chunk_id")
+    # Small, but costly to derive: stored once, then counted, sliced and broadcast from there.
+    weights = staged(weights, "weights")
 
     def one(part: DataFrame) -> DataFrame:
         pairs = placed.join(F.broadcast(part), list(on))

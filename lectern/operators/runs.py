@@ -9,6 +9,7 @@ known, but the first row is only known once all earlier runs are. The fold is ma
 3. each block, now told where the chain enters, marks its run starts.
 
 So no task ever holds more than three blocks of a key, and only the transitions of a key meet in one task.
+Keys that fit one block, usually nearly all, go straight to step 3. Python sees bundles of many blocks at once.
 """
 
 from __future__ import annotations
@@ -21,37 +22,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions.sizing import join_skewed
 from lectern.operators.ordered import BLOCK_ROWS, block_of, positions
 from lectern.session import staged
 
-# A jump takes the rows in order and gives, for each row taken as the first of a run, the index of the
-# first row of the next run, and whether that is certain from these rows alone.
 NONE = -(2**63)  # stands for "no row" in bigint columns of the helper tables
-Jump = Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]]
+
+# A jump takes the columns of ordered rows and gives, for each row taken as the first of a run, the index of
+# the first row of the next run, and whether that is certain from these rows alone.
+Columns = dict[str, np.ndarray]
+Jump = Callable[[Columns], tuple[np.ndarray, np.ndarray]]
+
+BUNDLE_ROWS = 50_000
 
 
 def _next_forced(forced: np.ndarray) -> np.ndarray:
     """For each index the nearest later index that must begin a run."""
     n = len(forced)
-    out = np.full(n, n, dtype=np.int64)
-    nearest = n
-    for i in range(n - 1, -1, -1):
-        out[i] = nearest
-        if forced[i]:
-            nearest = i
-    return out
+    at = np.append(np.flatnonzero(forced), n)
+    return at[np.searchsorted(at, np.arange(n), side="right")]
 
 
 def overflow(size: str, limit: int, forced: str | None = None) -> Jump:
     """A run ends before the row that would take its total above ``limit``, or before a forced row."""
 
-    def jump(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        n = len(pdf)
-        total = np.concatenate([[0], np.cumsum(pdf[size].to_numpy(dtype=np.int64))])
+    def jump(cols: Columns) -> tuple[np.ndarray, np.ndarray]:
+        n = len(cols[size])
+        total = np.concatenate([[0], np.cumsum(cols[size].astype(np.int64))])
         nxt = np.searchsorted(total, total[:-1] + limit, side="right") - 1
         nxt = np.minimum(np.maximum(nxt, np.arange(n) + 1), n)
         if forced is not None:
-            nxt = np.minimum(nxt, _next_forced(pdf[forced].to_numpy(dtype=bool)))
+            nxt = np.minimum(nxt, _next_forced(cols[forced].astype(bool)))
         return nxt, nxt < n
 
     return jump
@@ -60,9 +61,9 @@ def overflow(size: str, limit: int, forced: str | None = None) -> Jump:
 def filled(size: str, limit: int) -> Jump:
     """A run ends behind the row that takes its total to ``limit``."""
 
-    def jump(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        n = len(pdf)
-        total = np.concatenate([[0], np.cumsum(pdf[size].to_numpy(dtype=np.int64))])
+    def jump(cols: Columns) -> tuple[np.ndarray, np.ndarray]:
+        n = len(cols[size])
+        total = np.concatenate([[0], np.cumsum(cols[size].astype(np.int64))])
         end = np.searchsorted(total, total[:-1] + limit, side="left")
         return np.minimum(end, n), end <= n
 
@@ -72,12 +73,12 @@ def filled(size: str, limit: int) -> Jump:
 def elapsed(at: str, span: int, unstored: str | None = None) -> Jump:
     """A run ends before the first row at least ``span`` later; an unstored first row is a run of its own."""
 
-    def jump(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        n = len(pdf)
-        t = pdf[at].to_numpy(dtype=np.int64)
+    def jump(cols: Columns) -> tuple[np.ndarray, np.ndarray]:
+        t = cols[at].astype(np.int64)
+        n = len(t)
         nxt = np.searchsorted(t, t + span, side="left")
         if unstored is not None:
-            nxt = np.where(pdf[unstored].to_numpy(dtype=bool), np.arange(n) + 1, nxt)
+            nxt = np.where(cols[unstored].astype(bool), np.arange(n) + 1, nxt)
         return nxt, np.ones(n, dtype=bool)
 
     return jump
@@ -97,39 +98,63 @@ def mark_runs(
     placed = staged(positions(slim, "pos", keys, [order], block_of(order, order_span or block_rows)), "runs")
     marks = _marks(placed.drop(order), keys, "pos", block_of("pos", block_rows), jump)
     named = marks.join(placed.select(*keys, order, "pos"), [*keys, "pos"])
-    return df.join(named, [*keys, order])
+    # Stored, so that a caller who reads the result twice does not run the fold twice.
+    return df.join(staged(named, "runs"), [*keys, order])
 
 
 def mark_spans(df: DataFrame, keys: Sequence[str], at: str, span: int, unstored: Column | None = None) -> DataFrame:
     """Add ``run_start``: the time (bigint, unique in the key) at which the row's run of ``span`` began."""
     flag = F.lit(False) if unstored is None else unstored
     slim = staged(df.select(*keys, at, flag.alias("_unstored")), "spans")
-    marks = _marks(slim, keys, at, F.floor(F.col(at) / (2 * span)), elapsed(at, span, "_unstored"))
-    return df.join(marks, [*keys, at])
+    # Keys with few rows are one block; the others are cut into stretches of two spans.
+    keyed = slim.withColumn("_key", F.struct(*keys))
+    counts = keyed.groupBy("_key").agg(F.count("*").alias("_rows"))
+    sized = join_skewed(keyed, counts, "_key", "_rows", F.col(at)).drop("_key")
+    block = F.when(F.col("_rows") <= BLOCK_ROWS, F.lit(0)).otherwise(F.floor(F.col(at) / (2 * span)))
+    marks = _marks(sized, keys, at, block, elapsed(at, span, "_unstored"))
+    return df.join(staged(marks, "spans"), [*keys, at])
+
+
+def _groups(pdf: pd.DataFrame, by: list[str], order: str) -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows sorted by group and order, and the bounds of the groups."""
+    code = pdf.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+    place = np.lexsort((pdf[order].to_numpy(), code))
+    code = code[place]
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(code)) + 1, [len(code)]])
+    return pdf.iloc[place].reset_index(drop=True), bounds
 
 
 def _marks(slim: DataFrame, keys: Sequence[str], order: str, block: Column, jump: Jump) -> DataFrame:
     """(*keys, order, run_start) for a narrow stored table; ``block`` must not decrease along ``order``."""
     keys = list(keys)
     slim = slim.withColumn("_blk", block)
+    features = [c for c in slim.columns if c not in (*keys, "_blk")]
+    bundles = max(1, slim.count() // BUNDLE_ROWS)
     along = Window.partitionBy(*keys).orderBy("_blk")
+    whole = Window.partitionBy(*keys)
     blocks = (
         slim.groupBy(*keys, "_blk")
         .agg(F.min(order).alias("_lo"))
         .select(
             *keys,
             "_blk",
+            "_lo",
             F.row_number().over(along).alias("_b"),
             F.lead("_lo", 2).over(along).alias("_after"),
+            (F.count("*").over(whole) == 1).alias("_single"),
         )
     )
-    rows = slim.join(blocks, [*keys, "_blk"]).drop("_blk")
-    around = rows.withColumn(
-        "_d", F.explode(F.when(F.col("_b") > 1, F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1))))
-    )
-    # _d = 0: the block's own row; 1: seen by the block behind it; -1: seen by the block before it.
-    around = around.withColumn("_b", F.col("_b") + F.col("_d"))
+    blocks = staged(blocks, "blocks")
+    rows = slim.join(blocks, [*keys, "_blk"]).drop("_blk", "_lo")
     key_fields = [slim.schema[k] for k in keys]
+
+    def in_bundles(df: DataFrame, by: list[str], run, schema: T.StructType) -> DataFrame:
+        bundled = df.withColumn("_g", F.pmod(F.xxhash64(*by), F.lit(bundles)))
+        return bundled.groupBy("_g").applyInPandas(run, schema)
+
+    # _d = 0: the block's own row; 1: seen by the block behind it; -1: seen by the block before it.
+    sides = F.when(F.col("_b") > 1, F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    around = rows.where(~F.col("_single")).withColumn("_d", F.explode(sides)).withColumn("_b", F.col("_b") + F.col("_d"))
     steps_schema = T.StructType(
         key_fields
         + [
@@ -141,25 +166,15 @@ def _marks(slim: DataFrame, keys: Sequence[str], order: str, block: Column, jump
         ]
     )
 
-    def transitions(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        place = pdf["_d"].to_numpy()
+    def block_steps(cols: Columns, place: np.ndarray, after) -> list[tuple[int, int, int, bool]]:
         own = np.flatnonzero(place == 0)
         if len(own) == 0:  # the slot behind the last block holds only rows to look back at
-            empty = pdf[[*keys, "_b"]].head(0)
-            return empty.assign(
-                enter=np.array([], dtype=np.int64),
-                leave=np.array([], dtype=np.int64),
-                opened=np.array([], dtype=np.int64),
-                sure=np.array([], dtype=bool),
-            )
-        first, end, n = own[0], own[-1] + 1, len(pdf)
-        nxt, sure = jump(pdf)
-        at = pdf[order].to_numpy(dtype=np.int64)
-        after = pdf["_after"].iloc[first]
+            return []
+        first, end, n = int(own[0]), int(own[-1]) + 1, len(place)
+        nxt, sure = jump(cols)
+        at = cols[order]
         # Past the rows in sight: the first row of the block after next, if the chain must end there.
-        nothing_more = pd.isna(after)
-        beyond = NONE if nothing_more else int(after)
+        nothing_more = after == NONE
         leave = np.empty(n, dtype=np.int64)
         opened = np.empty(n, dtype=np.int64)
         known = np.empty(n, dtype=bool)
@@ -168,23 +183,32 @@ def _marks(slim: DataFrame, keys: Sequence[str], order: str, block: Column, jump
             if j < end:
                 leave[i], opened[i], known[i] = leave[j], opened[j], known[j]
             else:
-                leave[i] = at[j] if j < n else beyond
+                leave[i] = at[j] if j < n else after
                 opened[i] = at[i]
                 known[i] = sure[i] or nothing_more
-        enters = {int(first)}
-        for i in range(first):
-            if first <= nxt[i] < end:
-                enters.add(int(nxt[i]))
-        enters = sorted(enters)
-        out = {k: [pdf[k].iloc[first]] * len(enters) for k in keys}
-        out["_b"] = [int(pdf["_b"].iloc[first])] * len(enters)
-        out["enter"] = [int(at[i]) for i in enters]
-        out["leave"] = [int(leave[i]) for i in enters]
-        out["opened"] = [int(opened[i]) for i in enters]
-        out["sure"] = [bool(known[i]) for i in enters]
-        return pd.DataFrame(out)
-
-    steps = around.groupBy(*keys, "_b").applyInPandas(transitions, steps_schema)
+        entered = nxt[:first]
+        enters = np.unique(np.append(entered[(entered >= first) & (entered < end)], first))
+        return [(int(at[i]), int(leave[i]), int(opened[i]), bool(known[i])) for i in enters]
+
+    def transitions(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, bounds = _groups(pdf, [*keys, "_b"], order)
+        cols = {f: pdf[f].to_numpy() for f in features}
+        place = pdf["_d"].to_numpy()
+        after = pdf["_after"].fillna(NONE).astype("int64").to_numpy()
+        at_row, found = [], []
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            own = lo + int(np.argmax(place[lo:hi] == 0))
+            steps = block_steps({f: c[lo:hi] for f, c in cols.items()}, place[lo:hi], after[own])
+            at_row += [own] * len(steps)
+            found += steps
+        out = pdf[[*keys, "_b"]].iloc[at_row].reset_index(drop=True)
+        table = np.array(found, dtype=object).reshape(-1, 4)
+        for i, name in enumerate(("enter", "leave", "opened")):
+            out[name] = table[:, i].astype(np.int64)
+        out["sure"] = table[:, 3].astype(bool)
+        return out
+
+    steps = in_bundles(around, [*keys, "_b"], transitions, steps_schema)
     entries_schema = T.StructType(
         key_fields
         + [
@@ -196,47 +220,49 @@ def _marks(slim: DataFrame, keys: Sequence[str], order: str, block: Column, jump
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_b", "enter"])
-        table = {
-            int(e): (int(x), int(o), bool(s))
-            for e, x, o, s in zip(pdf["enter"], pdf["leave"], pdf["opened"], pdf["sure"])
-        }
-        home = dict(zip(pdf["enter"].astype("int64"), pdf["_b"].astype("int64")))
-        numbers = sorted(set(int(b) for b in pdf["_b"]))
-        current, opened = int(pdf["enter"].iloc[0]), NONE
-        found = {k: [] for k in ("_b", "_enter", "_open")}
-        for b in numbers:
-            inside = current != NONE and home[current] == b
-            found["_b"].append(b)
-            found["_enter"].append(current if inside else NONE)
-            found["_open"].append(opened)
-            if inside:
-                nxt, last, sure = table[current]
-                if not sure:
-                    raise ValueError("a run is longer than a block; use larger blocks")
-                opened, current = last, nxt
-        out = pd.DataFrame(found)
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[f.name for f in entries_schema.fields]]
-
-    entries = steps.groupBy(*keys).applyInPandas(walk, entries_schema)
+        parts = []
+        for _, one in pdf.groupby(keys, sort=False, dropna=False):
+            table = dict(zip(one["enter"], zip(one["_b"], one["leave"], one["opened"], one["sure"])))
+            current, opened = one["enter"].iloc[0], NONE
+            found = []
+            for b in one["_b"].unique():
+                inside = current != NONE and table[current][0] == b
+                found.append((b, current if inside else NONE, opened))
+                if inside:
+                    _, leave, last, sure = table[current]
+                    if not sure:
+                        raise ValueError("a run is longer than a block; use larger blocks")
+                    opened, current = last, leave
+            part = pd.DataFrame(found, columns=["_b", "_enter", "_open"])
+            for k in keys:
+                part[k] = one[k].iloc[0]
+            parts.append(part)
+        return pd.concat(parts, ignore_index=True)[[f.name for f in entries_schema.fields]]
+
+    entries = in_bundles(steps, keys, walk, entries_schema)
+    alone = blocks.where("_single").select(*keys, "_b", F.col("_lo").alias("_enter"), F.lit(NONE).alias("_open"))
+    entries = entries.unionByName(alone)
     marked_schema = T.StructType(key_fields + [slim.schema[order], T.StructField("run_start", T.LongType())])
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        nxt, _ = jump(pdf)
-        at = pdf[order].to_numpy(dtype=np.int64)
-        n = len(pdf)
-        begins = np.zeros(n, dtype=bool)
-        enter = int(pdf["_enter"].iloc[0])
-        if enter != NONE:
-            i = int(np.searchsorted(at, enter))
-            while i < n:
-                begins[i] = True
-                i = int(nxt[i])
-        latest = np.maximum.accumulate(np.where(begins, np.arange(n), -1))
+        pdf, bounds = _groups(pdf, [*keys, "_b"], order)
+        cols = {f: pdf[f].to_numpy() for f in features}
+        enters, opens = pdf["_enter"].to_numpy(), pdf["_open"].to_numpy()
+        run = np.empty(len(pdf), dtype=np.int64)
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            part = {f: c[lo:hi] for f, c in cols.items()}
+            nxt, _ = jump(part)
+            at, n = part[order], hi - lo
+            begins = np.zeros(n, dtype=bool)
+            if enters[lo] != NONE:
+                i = int(np.searchsorted(at, enters[lo]))
+                while i < n:
+                    begins[i] = True
+                    i = int(nxt[i])
+            latest = np.maximum.accumulate(np.where(begins, np.arange(n), -1))
+            run[lo:hi] = np.where(latest >= 0, at[np.maximum(latest, 0)], opens[lo])
         out = pdf[[*keys, order]].copy()
-        out["run_start"] = np.where(latest >= 0, at[np.maximum(latest, 0)], int(pdf["_open"].iloc[0]))
+        out["run_start"] = run
         return out
 
-    return rows.join(entries, [*keys, "_b"]).groupBy(*keys, "_b").applyInPandas(mark, marked_schema)
+    return in_bundles(rows.drop("_after", "_single").join(entries, [*keys, "_b"]), [*keys, "_b"], mark, marked_schema)

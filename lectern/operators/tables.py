@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,30 +14,28 @@ from lectern.operators import runs
 from lectern.operators.chunking import join_ordered
 from lectern.operators.ordered import BLOCK_ROWS, block_of, neighbours
 
-def _continues(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _continues(cols: runs.Columns) -> tuple[np.ndarray, np.ndarray]:
     """For each block taken as the first of a merged table, the first block that is no part of it."""
-    n = len(pdf)
-    page, cols, row_cols = (pdf[c].to_numpy() for c in ("_page", "_cols", "_cols_rows"))
-    no_data, values, cont = (pdf[c].to_numpy(dtype=bool) for c in ("_no_data", "_values", "_cont"))
-    has_rule = pdf["_has_rule"].to_numpy(dtype=bool)
-    n_rows = pdf["_n_rows"].to_numpy()
-    number = {c: pdf[c].to_numpy(dtype=float) for c in ("_last_in", "_last_rows", "_first_no")}
+    page, width_of, row_width = cols["_page"], cols["_cols"], cols["_cols_rows"]
+    no_data, ruled, values, cont = (cols[c].astype(bool) for c in ("_no_data", "_has_rule", "_values", "_cont"))
+    last_in, last_rows, first_no = (cols[c].astype(float) for c in ("_last_in", "_last_rows", "_first_no"))
+    n_rows = cols["_n_rows"]
+    n = len(page)
     nxt = np.empty(n, dtype=np.int64)
     for i in range(n):
-        width, empty, last, ruled = cols[i], no_data[i], number["_last_in"][i], has_rule[i]
+        width, empty, last = width_of[i], no_data[i], last_in[i]
         j = i + 1
         while j < n and abs(page[j] - page[i]) <= 1:
-            near = abs(width - cols[j]) <= 1
-            in_sequence = near and number["_first_no"][j] == last + 1
-            loose = abs(width - cols[j]) <= 5 and values[j]
-            if not ((cont[j] and near) or (empty and near) or in_sequence or loose):
+            apart = abs(width - width_of[j])
+            near = apart <= 1 and (cont[j] or empty or first_no[j] == last + 1)
+            if not (near or (apart <= 5 and values[j])):
                 break
             # What the merged table looks like with the rows of block j below it.
-            width = max(width, row_cols[j])
-            if ruled:
+            width = max(width, row_width[j])
+            if ruled[i]:
                 empty = empty and n_rows[j] == 0
-                if not np.isnan(number["_last_rows"][j]):
-                    last = number["_last_rows"][j]
+                if not np.isnan(last_rows[j]):
+                    last = last_rows[j]
             j += 1
         nxt[i] = j
     return nxt, nxt < n
@@ -54,24 +51,24 @@ def merge_tables(blocks: DataFrame, keys: Sequence[str], order: str, page: str,
     """
     keys = list(keys)
     text = F.col("text")
-    pipes = M.pipe_rows(text)
-    rows = blocks.select(*keys, F.col(order).cast("bigint").alias(order), F.coalesce(F.col(page), F.lit(-1)).alias("_page"), text, M.caption(text).alias("_caption"))
+    rows = M.with_table_features(blocks.select(*keys, F.col(order).cast("bigint").alias(order), F.coalesce(F.col(page), F.lit(-1)).alias("_page"), text))
     features = {
         "_page": F.col("_page"),
-        "_cols": M.column_count(text),
-        "_cols_rows": M.column_count(F.array_join(pipes, "\n")),
-        "_no_data": F.size(M.data_rows(text)) == 0,
-        "_has_rule": M.separator_count(text) > 0,
-        "_last_in": M.last_number(text).cast("double"),
-        "_last_rows": F.try_element_at(M.leading_numbers(pipes), F.lit(-1)).cast("double"),
-        "_first_no": M.first_number(text).cast("double"),
-        "_n_rows": F.size(pipes),
-        "_values": M.starts_with_values(text),
-        "_cont": M.is_continuation(text),
+        "_cols": F.col("n_cols"),
+        "_cols_rows": F.col("row_cols"),
+        "_no_data": F.col("n_data") == 0,
+        "_has_rule": F.col("n_separators") > 0,
+        "_last_in": F.col("last_no").cast("double"),
+        "_last_rows": F.col("last_row_no").cast("double"),
+        "_first_no": F.col("first_no").cast("double"),
+        "_n_rows": F.col("n_rows"),
+        "_values": F.col("leads_values"),
+        "_cont": F.col("continues"),
     }
+    rows = rows.withColumnRenamed("caption", "_caption")
     marked = runs.mark_runs(rows, keys, order, _continues, features, block_rows)
     head = F.col("pos") == F.col("run_start")
-    part = F.when(head, F.col("text")).otherwise(F.array_join(M.pipe_rows(F.col("text")), "\n"))
+    part = F.when(head, F.col("text")).otherwise(F.array_join("table_rows", "\n"))
     merged = marked.groupBy(*keys, "run_start").agg(
         F.min(order).alias(order),
         F.min_by("_page", "pos").alias("page"),

@@ -409,8 +409,9 @@ FEATURES_SQL = (
 
 @query("table_features", finish(*ROWS_SQL, *FEATURES_SQL, select="SELECT k, n_cols, n_separators, n_data, coalesce(last_no, -1) AS last_no, coalesce(first_no, -1) AS first_no, leads_values, caption, continues FROM ft"))
 def table_features(spark, sf):
-    cols = {n: (F.coalesce(c.cast("bigint"), F.lit(-1).cast("bigint")) if n.startswith("n_") or n.endswith("_no") else c) for n, c in M.table_features(F.col("text")).items()}
-    return _order_tables(spark, sf).select("k", *[c.alias(n) for n, c in cols.items()])
+    featured = M.with_table_features(_order_tables(spark, sf))
+    numbers = [F.coalesce(F.col(c).cast("bigint"), F.lit(-1).cast("bigint")).alias(c) for c in ("n_cols", "n_separators", "n_data", "last_no", "first_no")]
+    return featured.select("k", *numbers, "leads_values", "caption", "continues")
 
 
 MERGE_SQL = (
@@ -482,7 +483,7 @@ def truncate_table(spark, sf):
         .when(k % 5 == 3, F.lit("\n| 9 | 9 | 9 | 9 |"))
         .otherwise("")
     )
-    return _order_tables(spark, sf).select("k", M.truncate_table(F.concat(head, "body", tail)).alias("kept"))
+    return M.truncate_table(_order_tables(spark, sf).select("k", F.concat(head, "body", tail).alias("kept")), "kept")
 
 
 # ------------------------------------------------------------------------------------------------ block scans
