@@ -46,7 +46,7 @@ def split_sections(blocks: DataFrame, keys: Sequence[str], order: str) -> DataFr
     (*keys, section, h1..h4, text) with ``section`` increasing along the text.
     """
     keys = list(keys)
-    lines = blocks.select(*keys, order, F.posexplode(F.split("text", "\n")).alias("_line", "line"))
+    lines = blocks.select(*keys, order, F.posexplode_outer(F.split("text", "\n")).alias("_line", "line"))
     lines = lines.withColumn("line", T.strip(F.col("line"))).where(F.col("line") != "")
     # The marker of a heading line: one to four # and a blank.
     mark = F.regexp_extract("line", r"^(#{1,4}) ", 1)
@@ -115,7 +115,7 @@ def greedy_chunks(
     pieces = F.when(
         size_in(unit, F.col("text")) > chunk_size, windows_of(F.col("text"), chunk_size, overlap, unit)
     ).otherwise(F.array(F.col("text")))
-    out = packed.select(*keys, order, *HEADINGS, F.posexplode(pieces).alias("piece", "text"))
+    out = packed.select(*keys, order, *HEADINGS, F.posexplode_outer(pieces).alias("piece", "text"))
     return out.where(T.strip(F.col("text")) != "")
 
 
@@ -140,10 +140,10 @@ def windows_of(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLA
 
 def token_windows(docs: DataFrame, keep: Sequence[str], size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """(*keep, chunk_index, n_windows, text): overlapping word windows of each text, made where the row lies."""
-    cut = docs.select(*keep, T.units(F.col("text")).alias("_u")).where(F.size("_u") > 0)
-    step = size - overlap
-    starts = cut.withColumn("_s", window_starts(F.size("_u"), size, step))
-    rows = starts.select(*keep, "_u", F.size("_s").alias("n_windows"), F.posexplode("_s").alias("chunk_index", "_from"))
+    cut = docs.where(F.col("text").rlike(r"[^ \n\t\r]")).select(*keep, T.units(F.col("text")).alias("_u"))
+    starts = cut.withColumn("_s", window_starts(F.size("_u"), size, size - overlap))
+    # The outer form: for the plain one the optimizer would cut the text a second time in a pushed filter.
+    rows = starts.select(*keep, "_u", F.size("_s").alias("n_windows"), F.posexplode_outer("_s").alias("chunk_index", "_from"))
     return rows.select(*keep, "chunk_index", "n_windows", F.array_join(F.slice("_u", F.col("_from") + 1, F.lit(size)), "").alias("text"))
 
 

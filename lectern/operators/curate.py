@@ -100,7 +100,7 @@ def _parsed(raw: Column) -> Column:
 
 def parse_qa_replies(replies: DataFrame, keep: Sequence[str], raw: str = "raw") -> DataFrame:
     """Question-answer items out of model replies; items without the four needed fields drop out."""
-    items = replies.select(*keep, F.posexplode(_parsed(F.col(raw))).alias("item_idx", "i")).select(*keep, "item_idx", "i.*")
+    items = replies.select(*keep, F.posexplode_outer(_parsed(F.col(raw))).alias("item_idx", "i")).select(*keep, "item_idx", "i.*")
     for field in ("question", "ground_truth", "source_text", "question_type"):
         items = items.where(F.col(field).isNotNull())
     return items

@@ -35,10 +35,11 @@ class KeywordIndex:
 
 def postings(chunks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per chunk and term with the term's count and the chunk's length."""
-    cut = chunks.select(*by, "chunk_id", T.tokens(F.col("text")).alias("_t"))
-    # Moved once by chunk, before the explode: counting per chunk then needs no further shuffle.
+    # Moved once by chunk, while it is still plain text: counting per chunk then needs no further shuffle.
+    placed = chunks.select(*by, "chunk_id", "text").repartition("chunk_id")
+    cut = placed.select(*by, "chunk_id", T.tokens(F.col("text")).alias("_t"))
     # explode_outer keeps the optimizer from running the tokenizer again as a pushed filter.
-    words = cut.repartition("chunk_id").select(*by, "chunk_id", F.size("_t").alias("dl"), F.explode_outer("_t").alias("term"))
+    words = cut.select(*by, "chunk_id", F.size("_t").alias("dl"), F.explode_outer("_t").alias("term"))
     return words.where(F.col("term").isNotNull()).groupBy(*by, "chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 

@@ -31,7 +31,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as stored. Documents that arrive in fewer splits than there are cores are spread first:
+    a small file in one row group would otherwise be cut and tokenized by one task."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name == "documents" and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, "doc_id")
+    return df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

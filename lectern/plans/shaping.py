@@ -90,7 +90,8 @@ pk AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY start) - 1 AS piec
 
 @query("paragraph_pack", finish("d AS (SELECT doc_id AS id, text FROM documents)", pack_sql("d"), select="SELECT id AS doc_id, piece, segment FROM pk"))
 def paragraph_pack(spark, sf):
-    cut = _docs(spark, sf).select("doc_id", F.posexplode(T.paragraph_pieces(F.col("text"))).alias("piece", "segment"))
+    cut = _docs(spark, sf).select("doc_id", F.posexplode_outer(T.paragraph_pieces(F.col("text"))).alias("piece", "segment"))
+    cut = cut.where(F.col("segment").isNotNull())
     return cut.withColumn("piece", F.col("piece").cast("bigint"))
 
 

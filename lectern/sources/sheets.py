@@ -64,7 +64,7 @@ def long_field_chunks(
     long = rows.select(*keep, header.alias("header"), F.explode(values).alias("_v"))
     long = long.select(*keep, "header", "_v.field", "_v.value").where(F.length("value") >= min_length)
     cut = long.withColumn("_pieces", paragraph_pieces(F.col("value"), size))
-    pieces = cut.select(*keep, "header", "field", F.size("_pieces").alias("n_pieces"), F.posexplode("_pieces").alias("piece", "segment"))
+    pieces = cut.select(*keep, "header", "field", F.size("_pieces").alias("n_pieces"), F.posexplode_outer("_pieces").alias("piece", "segment"))
     label = F.when(F.col("n_pieces") == 1, F.col("field")).otherwise(
         F.concat(F.col("field"), F.lit("（第"), (F.col("piece") + 1).cast("string"), F.lit("段）"))
     )
