@@ -75,6 +75,8 @@ def _by_broadcast(queries: DataFrame, pulled: pd.DataFrame, items: DataFrame, k:
     def scan(batches):
         kept: dict = {}
         for pdf in batches:
+            if key is not None:
+                pdf = pdf[pdf[key].isin(shared.value.keys())]
             parts = {None: pdf} if key is None else dict(list(pdf.groupby(key)))
             for g, part in parts.items():
                 if g not in shared.value or len(part) == 0:

@@ -16,6 +16,7 @@ from lectern.operators.context import prefix_dedup
 from lectern.operators.dense import dense_topk
 from lectern.operators.keyword import rank_by_query
 from lectern.operators.ordered import block_of, positions
+from lectern.session import staged
 
 # Members and characters a summary is made from; cluster counts by number of chunks.
 CLUSTER_MEMBERS, CLUSTER_CHARS, CLUSTER_SHARE, CLUSTER_MOST = 8, 300, 8, 10
@@ -53,13 +54,14 @@ def group_summaries(
     texts = few.groupBy("group_id").agg(join_ordered(["_n"], "text", "\n\n").alias("_joined"))
     mean = Summarizer.mean(array_to_vector(as_double(F.col("vector"))))
     sizes = grouped.groupBy("group_id").agg(F.count("*").alias("n_members"), mean.alias("_mean"))
-    return sizes.join(texts, "group_id").select(
+    rows = sizes.join(texts, "group_id").select(
         F.concat(F.lit(prefix), F.col("group_id").cast("string")).alias("chunk_id"),
         "group_id",
         "n_members",
         text_fn(F.col("_joined")).alias("text"),
         vector_to_array("_mean").alias("vector"),
     )
+    return staged(rows, "summaries")  # few rows that every later search reads
 
 
 def cluster_summaries(
@@ -120,7 +122,8 @@ def document_summaries(
     """One summary row per packed segment of each source that has none yet."""
     todo = chunks if done is None else chunks.join(done.select("source").distinct(), "source", "left_anti")
     segments = pack_segments(todo, ["source"], order, max_chars, order_span=order_span)
-    segments = segments.select("source", "seg_start", "n_chunks", text_fn(F.col("text")).alias("text"))
+    # Stored, so that a costly text function runs once per segment.
+    segments = staged(segments.select("source", "seg_start", "n_chunks", text_fn(F.col("text")).alias("text")), "summaries")
     numbered = positions(segments, "seg_index", ["source"], ["seg_start"], block_of("seg_start"))
     totals = numbered.groupBy("source").agg(F.count("*").alias("n_segs"), F.sum("n_chunks").alias("orig_chunks"))
     out = join_skewed(numbered, totals, "source", "n_segs", F.col("seg_start"))
