@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.sizing import join_skewed
 from lectern.operators import runs
 from lectern.operators.ordered import BLOCK_ROWS, block_of, carry_last, neighbours, running_sums
+from lectern.session import staged
 
 # Default sizes of the splitter.
 CHUNK_SIZE = 512
@@ -39,37 +41,48 @@ def size_in(unit: str, text: Column) -> Column:
 # ------------------------------------------------------------------------------------------------- sections
 
 
-def split_sections(blocks: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Cut ordered text blocks at H1-H4 lines; each section carries the headings it stands under.
-
-    Input (*keys, order bigint dense or not, text); a block may hold several lines. Output
-    (*keys, section, h1..h4, text) with ``section`` increasing along the text.
-    """
-    keys = list(keys)
+def _lines(blocks: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Trimmed non-empty lines with heading level and title: (*keys, order, _line, line, _level, _title)."""
     lines = blocks.select(*keys, order, F.posexplode_outer(F.split("text", "\n")).alias("_line", "line"))
     lines = lines.withColumn("line", T.strip(F.col("line"))).where(F.col("line") != "")
     # The marker of a heading line: one to four # and a blank.
     mark = F.regexp_extract("line", r"^(#{1,4}) ", 1)
-    lines = lines.withColumn("_level", F.length(mark)).withColumn(
+    return lines.withColumn("_level", F.length(mark)).withColumn(
         "_title", F.when(F.col("_level") > 0, T.strip(F.regexp_replace("line", r"^#{1,4} ", "")))
     )
-    along = [order, "_line"]
-    blk = block_of(order, BLOCK_ROWS // 8)
-    lines = running_sums(lines, {"section": F.when(F.col("_level") > 0, 1).otherwise(0)}, keys, along, blk)
+
+
+def _heading_path(heads: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add h1..h4 to section rows (*keys, section, _level, _title): the headings a section stands under."""
     marks = {
         f"_m{i}": F.when(F.col("_level") == i, F.struct("section", F.col("_title").alias("title"))) for i in range(1, 5)
     }
-    lines = carry_last(lines, marks, keys, along, blk)
+    carried = carry_last(heads, marks, keys, ["section"], block_of("section"))
     path = []
     for i in range(1, 5):
         mine = F.col(f"_m{i}")
         upper = [F.coalesce(F.col(f"_m{j}")["section"], F.lit(-1)) for j in range(1, i)]
         latest = F.greatest(*upper, F.lit(-1)) if upper else F.lit(-1)
         path.append(F.when(mine["section"] > latest, mine["title"]).alias(f"h{i}"))
-    lines = lines.select(*keys, "section", *path, order, "_line", "line")
-    return lines.groupBy(*keys, "section").agg(
-        *[F.first(h, ignorenulls=True).alias(h) for h in HEADINGS], join_ordered(along, "line", "\n").alias("text")
+    return carried.select(*heads.columns, *path)
+
+
+def split_sections(blocks: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Cut ordered text blocks at H1-H4 lines; each section carries the headings it stands under.
+
+    Input (*keys, order bigint, text); a block may hold several lines. Output (*keys, section, h1..h4, text)
+    with ``section`` increasing along the text. Each section is one row, so its text is one value.
+    """
+    keys = list(keys)
+    numbered = running_sums(
+        _lines(blocks, keys, order), {"section": F.when(F.col("_level") > 0, 1).otherwise(0)}, keys, [order, "_line"],
+        block_of(order, BLOCK_ROWS // 8),
+    )
+    sections = numbered.groupBy(*keys, "section").agg(
+        F.max("_level").alias("_level"), F.max("_title").alias("_title"), join_ordered([order, "_line"], "line", "\n").alias("text")
     )
+    heads = staged(sections.select(*keys, "section", "_level", "_title"), "sections")
+    return sections.drop("_level", "_title").join(_heading_path(heads, keys).drop("_level", "_title"), [*keys, "section"])
 
 
 def _merge_runs(rows: DataFrame, keys: Sequence[str], order: str, separator: str, headings: str) -> DataFrame:
@@ -119,6 +132,68 @@ def greedy_chunks(
     return out.where(T.strip(F.col("text")) != "")
 
 
+def section_chunks(
+    blocks: DataFrame, keys: Sequence[str], order: str, min_length: int = SHORT_SECTION, chunk_size: int = CHUNK_SIZE,
+    overlap: int = CHUNK_OVERLAP, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Sections, merging of short ones, packing and windowing in one go, in characters.
+
+    Gives what ``split_sections``, ``merge_short_sections`` and ``greedy_chunks`` give after each other, but
+    decides everything on sizes: a section, merged section or packed run is a stretch [from, end) of its key's
+    lines, and text is first joined per finished chunk. A key without any heading is spread like any other.
+    """
+    keys = list(keys)
+    width = F.length("line") + 1  # with the line break behind it
+    sums = {"section": F.when(F.col("_level") > 0, 1).otherwise(0), "_end": width}
+    lines = running_sums(_lines(blocks, keys, order), sums, keys, [order, "_line"], block_of(order, BLOCK_ROWS // 8))
+    lines = lines.withColumn("_from", F.col("_end") - width)
+    extent = [F.min("_from").alias("_from"), F.max("_end").alias("_end")]
+    heads = lines.groupBy(*keys, "section").agg(
+        F.max("_level").alias("_level"), F.max("_title").alias("_title"), F.count("*").alias("_lines"), *extent
+    )
+    heads = staged(_heading_path(staged(heads, "sections"), keys), "sections")
+    size = F.col("_end") - F.col("_from") - 1
+    first = runs.mark_runs(heads, keys, "section", runs.filled("_size", min_length + 1), {"_size": size + 1}, block_rows)
+    first = first.select(*keys, "section", "_lines", *HEADINGS, "_from", "_end", "pos", F.col("run_start").alias("_merged"))
+    later = [F.max_by(h, F.when(F.col(h).isNotNull(), F.col("pos"))).alias(h) for h in HEADINGS]
+    merged = staged(first.groupBy(*keys, "_merged").agg(*later, *extent), "sections")
+    strong = F.coalesce(*[F.when(F.col(h).isNotNull(), F.lit(i)) for i, h in ((4, "h4"), (3, "h3"), (2, "h2"), (1, "h1"))], F.lit(0)).isin(1, 2)
+    jump = runs.overflow("_size", chunk_size, "_strong")
+    packed = runs.mark_runs(merged, keys, "_merged", jump, {"_size": size, "_strong": strong}, max(block_rows, chunk_size))
+    packed = packed.withColumnRenamed("run_start", "_run")
+    stretch = packed.groupBy(*keys, "_run").agg(
+        F.min("_from").alias("_run_from"), F.max("_end").alias("_run_end"), *[F.min_by(h, "pos").alias(h) for h in HEADINGS]
+    )
+    place = packed.select(*keys, "_merged", "_run").join(stretch, [*keys, "_run"])
+    place = first.select(*keys, "section", "_lines", "_merged").join(place, [*keys, "_merged"]).drop("_merged")
+    place = place.select(F.struct(*keys, "section").alias("_key"), "_lines", "_run", "_run_from", "_run_end", *HEADINGS)
+    rows = lines.withColumn("_key", F.struct(*keys, "section")).select(*keys, "_key", "line", "_from", "_end")
+    # A section may own any number of lines, so the join spreads those of heavy sections.
+    rows = join_skewed(rows, staged(place, "sections"), "_key", "_lines", F.col("_from"))
+    step = chunk_size - overlap
+    total = F.col("_run_end") - F.col("_run_from") - 1
+    n_windows = F.when(total <= chunk_size, 1).otherwise(F.ceil((total - chunk_size) / F.lit(step)) + 1)
+    local = F.col("_from") - F.col("_run_from")
+    piece = F.when(F.col("_end") == F.col("_run_end"), F.col("line")).otherwise(F.concat("line", F.lit("\n")))
+    lowest = F.greatest(F.floor((local - chunk_size) / F.lit(step)) + 1, F.lit(0))
+    highest = F.least(F.floor((local + F.length("line")) / F.lit(step)), n_windows - 1)
+    rows = rows.withColumn("_piece", piece).withColumn("_local", local.cast("int"))
+
+    def part(window: Column) -> Column:
+        begin = (window * step).cast("int")
+        lo = F.greatest(begin - F.col("_local"), F.lit(0))
+        hi = F.least(begin + chunk_size - F.col("_local"), F.length("_piece"))
+        return F.struct(window.cast("int").alias("piece"), F.substr("_piece", lo + 1, F.greatest(hi - lo, F.lit(0))).alias("_text"))
+
+    # Cut before the explode: a long line is not repeated for each of its windows.
+    parts = F.when(lowest <= highest, F.transform(F.sequence(lowest, highest), part))
+    cut = rows.select(*keys, "_run", *HEADINGS, "_from", F.explode_outer(parts).alias("_p")).where(F.col("_p").isNotNull())
+    chunks = cut.groupBy(*keys, F.col("_run").alias("section"), F.col("_p.piece").alias("piece")).agg(
+        *[F.first(h, ignorenulls=True).alias(h) for h in HEADINGS], join_ordered(["_from"], F.col("_p._text"), "").alias("text")
+    )
+    return chunks.where(T.strip(F.col("text")) != "")
+
+
 # -------------------------------------------------------------------------------------------------- windows
 
 

@@ -8,7 +8,7 @@ from lectern.functions import markdown as M
 from lectern.functions import text as T
 from lectern.operators import chunking, tables
 from lectern.operators.ordered import block_of
-from lectern.plans.base import finish, query, table
+from lectern.plans.base import REGISTRY, finish, query, table
 from lectern.session import work_path
 from lectern.sources import blocks as B
 from lectern.sources import sheets
@@ -215,6 +215,13 @@ def greedy_chunks(spark, sf):
     return out.select("source", "section", F.col("piece").cast("bigint").alias("piece"), "h2", "h3", "text")
 
 
+@query("section_chunks", REGISTRY["greedy_chunks"][1])
+def section_chunks(spark, sf):
+    marked = _numbered(spark, sf).withColumn("text", T.mark_headings(F.col("text")))
+    out = chunking.section_chunks(marked, ["source"], "doc_id")
+    return out.select("source", F.col("section").cast("bigint").alias("section"), F.col("piece").cast("bigint").alias("piece"), "h2", "h3", "text")
+
+
 # ----------------------------------------------------------------------------------------------------- windows
 
 UNITS = "regexp_extract_all(text, '(?:[一-鿿]|[^ \\n\\t\\r一-鿿]+)[ \\n\\t\\r]*')"
