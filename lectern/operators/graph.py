@@ -22,7 +22,8 @@ def entity_idf(chunks: DataFrame, chars: int = EXCERPT) -> DataFrame:
     """(term, df, idf) over the excerpts of all chunks."""
     df = term_stats(postings(_excerpts(chunks, chars)))
     n = chunks.agg(F.count("*").alias("n")).scalar()
-    return df.withColumn("idf", F.log(n / F.col("df")))
+    # One row per term, stored: edges and query entities both look terms up in it.
+    return staged(df.withColumn("idf", F.log(n / F.col("df"))), "idf")
 
 
 def _top_terms(counted: DataFrame, idf: DataFrame, owner: str, topk: int) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VALUE_DIGITS = 6
+SLOPE_DIGITS = 6
+VALUE_DIGITS = 9  # beyond what means of measured values resolve, so that no value lies on a rounding border
 
 
 def load_series(wide: DataFrame, time: str, tags: Sequence[str] | None = None) -> DataFrame:
@@ -60,7 +61,7 @@ def trend(long: DataFrame, flat: float = 0.0) -> DataFrame:
     hours = F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9
     rows = long.where(F.col("value").isNotNull()).withColumn("_h", hours)
     out = rows.groupBy("tag").agg(
-        F.round(F.regr_slope("value", "_h"), VALUE_DIGITS).alias("slope"),
+        F.round(F.regr_slope("value", "_h"), SLOPE_DIGITS).alias("slope"),
         F.round(F.max_by("value", "ts") - F.min_by("value", "ts"), VALUE_DIGITS).alias("change"),
         F.count("*").alias("n"),
     )

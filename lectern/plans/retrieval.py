@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions.sizing import join_skewed
 from lectern.functions.text import detect_language, is_aggregation_query, tokens
 from lectern.operators import context, dense, fusion, graph, keyword
 from lectern.plans.base import (
@@ -11,6 +12,7 @@ from lectern.plans.base import (
     questions, rrf, table, tok, vectors,
 )
 from lectern.plans.base import dense as dense_sql
+from lectern.session import staged
 
 RANKED = "SELECT query_id, chunk_id, score, rank FROM "
 COLLECTIONS = ["de", "en", "es", "fr"]
@@ -33,8 +35,6 @@ def _bm25(spark, sf, k=10):
 )
 def build_postings(spark, sf):
     index = corpus_index(spark, sf)
-    from lectern.functions.sizing import join_skewed
-
     full = join_skewed(index.postings, index.terms, "term", "df", F.col("chunk_id"))
     return full.select("chunk_id", "term", "tf", F.col("dl").cast("bigint").alias("dl"), "df")
 
@@ -355,7 +355,8 @@ def split_entities(spark, sf):
 def _graph_inputs(spark, sf):
     chunks = corpus(spark, sf)
     idf = graph.entity_idf(chunks)
-    return graph.query_entities(questions(spark, sf), idf), graph.term_graph(chunks, idf=idf)
+    # The graph is a stored table that hops read from both ends.
+    return graph.query_entities(questions(spark, sf), idf), staged(graph.term_graph(chunks, idf=idf), "edges")
 
 
 def reached_sql(seeds: str, out: str, k: int | None = None) -> str:

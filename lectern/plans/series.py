@@ -39,7 +39,7 @@ def load_series(spark, sf):
     return series.load_series(wide, "time").select(_stamp(F.col("ts")).alias("ts"), "tag_1", "tag_2")
 
 
-STATS = "round(avg(value), 6) AS mean_value, min(value) AS min_value, max(value) AS max_value"
+STATS = "round(avg(value), 9) AS mean_value, min(value) AS min_value, max(value) AS max_value"
 
 
 @query("series_profile", f"SELECT event_type AS tag, count(*) AS n, {stamp_sql('min(ts)')} AS first_ts, {stamp_sql('max(ts)')} AS last_ts, {STATS} FROM events GROUP BY 1")
@@ -48,7 +48,7 @@ def series_profile(spark, sf):
     return out.withColumn("first_ts", _stamp(F.col("first_ts"))).withColumn("last_ts", _stamp(F.col("last_ts")))
 
 
-@query("wide_profile", "SELECT tag, count(*) AS n, round(avg(v), 6) AS mean_value, min(v) AS min_value, max(v) AS max_value FROM (SELECT 'tag_1' AS tag, value AS v FROM events UNION ALL SELECT 'tag_2', value * 2 FROM events) GROUP BY tag")
+@query("wide_profile", "SELECT tag, count(*) AS n, round(avg(v), 9) AS mean_value, min(v) AS min_value, max(v) AS max_value FROM (SELECT 'tag_1' AS tag, value AS v FROM events UNION ALL SELECT 'tag_2', value * 2 FROM events) GROUP BY tag")
 def wide_profile(spark, sf):
     wide = table(spark, sf, "events").select("ts", F.col("value").alias("tag_1"), (F.col("value") * 2).alias("tag_2"))
     return series.series_profile(series.to_long(wide, ["tag_1", "tag_2"])).drop("first_ts", "last_ts")
@@ -73,7 +73,7 @@ def resample(spark, sf):
 @query(
     "trend",
     "SELECT *, CASE WHEN slope > 0 THEN 'up' WHEN slope < 0 THEN 'down' ELSE 'flat' END AS direction FROM (SELECT event_type AS tag, round(regr_slope(value, epoch_us(ts) / 3.6e9::DOUBLE), 6) AS slope, "
-    "round(arg_max(value, ts) - arg_min(value, ts), 6) AS change, count(*) AS n FROM events GROUP BY 1)",
+    "round(arg_max(value, ts) - arg_min(value, ts), 9) AS change, count(*) AS n FROM events GROUP BY 1)",
 )
 def trend(spark, sf):
     return series.trend(_long(spark, sf))
