@@ -107,6 +107,7 @@ def clean_value(value: Column) -> Column:
 
 def clean_latex(text: Column) -> Column:
     """Drop inline formulas and command prefixes, collapse runs of spaces, trim."""
+    # The three patterns of the clean-up.
     no_formula = F.regexp_replace(text, r"\$[^$]+\$", "")
     no_command = F.regexp_replace(no_formula, r"\\[a-zA-Z]+[ \n\t\r\f]*\{?|\}", "")
     return strip(F.regexp_replace(no_command, r"  +", " "))
@@ -178,12 +179,15 @@ def paragraph_pieces(text: Column, size: int = 600) -> Column:
     ).otherwise(packed)
 
 
+def set_f1(a: Column, b: Column) -> Column:
+    """Overlap of two arrays of distinct tokens as an F1 value in 0..1."""
+    total = F.size(a) + F.size(b)
+    return F.when(total == 0, F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
+
+
 def token_f1(query: Column, text: Column) -> Column:
-    """Overlap of two token sets as an F1 value in 0..1: the built-in pair score."""
-    q = F.array_distinct(tokens(query))
-    t = F.array_distinct(tokens(text))
-    total = F.size(q) + F.size(t)
-    return F.when(total == 0, F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(q, t)) / total)
+    """The built-in pair score: F1 of the token sets of a query and a text."""
+    return set_f1(F.array_distinct(tokens(query)), F.array_distinct(tokens(text)))
 
 
 def sampled_excerpt(text: Column, key: Column, seed: str = "42", size: int = 6000, snap: int = 200) -> Column:

@@ -161,3 +161,23 @@ def test_clusters(spark, vectors):
     rows = summaries.group_summaries(groups, "raptor_summary_", 8, 300)
     assert rows.agg(F.sum("n_members")).first()[0] == 300 and rows.count() == 4
     assert summaries.cluster_count(3) == 2 and summaries.cluster_count(1000) == 10 and summaries.cluster_count(40) == 5
+
+
+def test_rerank_takes_a_user_scorer(spark):
+    import pandas as pd
+
+    from lectern.functions.text import token_f1
+
+    @F.pandas_udf("double")
+    def shorter_is_better(query: pd.Series, text: pd.Series) -> pd.Series:
+        return 1.0 / text.str.len()
+
+    cands = ranked(spark, [(1, 10, 1), (1, 11, 2), (1, 12, 3)])
+    queries = spark.createDataFrame([(1, "red pump")], "query_id long, text string")
+    chunks = spark.createDataFrame([(10, "red pump and more words"), (11, "pump"), (12, "red pump")], "chunk_id long, text string")
+    got = [r.chunk_id for r in context.rerank_topn(cands, queries, chunks, 2, shorter_is_better).orderBy("rank").collect()]
+    assert got == [11, 12]
+    own = context.rerank_topn(cands, queries, chunks, 3).orderBy("rank").collect()
+    assert [(r.chunk_id, r.score) for r in own] == [(12, 1.0), (11, 0.666667), (10, 0.571429)]
+    same = context.rerank_topn(cands, queries, chunks, 3, token_f1).orderBy("rank").collect()
+    assert own == same
