@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.dense import dense_topk
+from lectern.session import staged
 
 METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
 SKIPPED_CATEGORIES = ("Fallback测试（知识库外）", "路由测试（闲聊）")  # fixed values: categories that are not scored
@@ -27,7 +28,7 @@ def silver_labels(qa: DataFrame, chunks: DataFrame) -> DataFrame:
         "query_id", "vector", F.explode(F.array(F.col("page") - 1, F.col("page"), F.col("page") + 1)).alias("page")
     )
     near = dense_topk(pages.where(F.col("page") >= 0), chunks.where(F.col("page").isNotNull()), 1, key="page")
-    near = near.select("query_id", "chunk_id", "score")
+    near = staged(near.select("query_id", "chunk_id", "score"), "labels")  # one row per item, read twice
     rest = asked.join(near.select("query_id"), "query_id", "left_anti")
     far = dense_topk(rest, chunks, 1).select("query_id", "chunk_id", "score")
     found = near.withColumn("found", F.lit("page")).unionByName(far.withColumn("found", F.lit("global")))

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from lectern.functions import hooks
 from lectern.operators import context, dense, evaluate, fusion, graph, keyword, summaries
 from lectern.plans.base import (
-    C, CV, Q, QV, V, bm25, chunk_vectors, corpus, corpus_index, cosine, finish, query, question_vectors, questions, table, vectors,
+    C, Q, QV, V, bm25, corpus, finish, query, question_vectors, questions, table, vectors,
 )
 from lectern.plans.base import dense as dense_sql
 from lectern.plans.evaluation import MEANS, SAMPLES, SCENARIO_SQL, _samples, _scenarios
-from lectern.plans.retrieval import LOCAL, RANKED, _bm25, _local, _ranked
+from lectern.plans.retrieval import LOCAL, _bm25, _local, _ranked
 from lectern.plans.shaping import PACK_ITEMS, PACKED, WINDOWS_SQL, _windows
 from lectern.session import work_path
 from lectern.sources import collections as store

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import dense, evaluate, keyword
-from lectern.plans.base import C, CV, Q, QV, V, bm25, corpus, corpus_index, finish, query, questions, table, vectors
-from lectern.plans.base import cosine
-from lectern.plans.base import dense as dense_sql
+from lectern.operators import evaluate, keyword
+from lectern.plans.base import C, Q, V, bm25, corpus, corpus_index, cosine, finish, query, questions, table, vectors
 from lectern.plans.retrieval import SELF, _self_search
 
 

@@ -8,7 +8,7 @@ from lectern.functions.sizing import join_skewed
 from lectern.functions.text import detect_language, is_aggregation_query, tokens
 from lectern.operators import context, dense, fusion, graph, keyword
 from lectern.plans.base import (
-    C, CV, Q, QV, V, bm25, chunk_vectors, corpus, corpus_index, cosine, finish, merged, query, question_vectors,
+    C, CV, Q, QV, V, bm25, chunk_vectors, corpus, corpus_index, finish, merged, query, question_vectors,
     questions, rrf, table, tok, vectors,
 )
 from lectern.plans.base import dense as dense_sql
