@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,23 +82,26 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
     """
     tail = np.asarray([end_id], "<u4").tobytes()
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:
             for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                out = []
-                for doc, ids in zip(part["_id"].tolist(), encode([x if isinstance(x, str) else "" for x in part["_text"]])):
+                part = batch.slice(at, 500)
+                rows, packed = [], []
+                for k, ids in enumerate(encode([x or "" for x in part.column("_text").to_pylist()])):
                     ids += tail
-                    for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
+                    for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                         own = ids[4 * start : 4 * (start + length)]
-                        packed = (np.frombuffer(own, "<u4").astype("<u2").tobytes(),) if with_ids else ()
-                        out.append((doc, k, start, length, zlib.crc32(own), *packed))
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+                        rows.append((k, piece, start, length, zlib.crc32(own)))
+                        if with_ids:
+                            packed.append(np.frombuffer(own, "<u4").astype("<u2").tobytes())
+                k, piece, start, length, crc = np.array(rows, np.int64).T
+                out = {"doc_id": part.column("_id").take(pa.array(k)), "piece": pa.array(piece, pa.int32()), "start": start, "length": length, "ids_crc32": crc}
+                yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(packed, pa.binary())} if with_ids else {}))
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(pieces, schema)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(pieces, schema)
 
 
 def best_two_fit(counts: np.ndarray, capacity: int = CAPACITY) -> list[Pattern]:
@@ -237,18 +241,17 @@ def pack(pieces: DataFrame, algorithm: Callable[[np.ndarray, int], list[Pattern]
     shift = 1 << 44
     runs = lengths * shift + ranks
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch["length"].to_numpy()
-            rank = first[n, batch["_salt"].to_numpy()] + batch["_rn"].to_numpy() - 1
+            n, salt, rn = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_salt", "_rn"))
+            rank = first[n, salt] + rn - 1
             k = np.searchsorted(runs, n * shift + rank, "right") - 1
-            batch = batch.drop(columns=["_salt", "_rn"])
-            batch["sequence_id"], batch["offset"] = sequences[k] + rank - ranks[k], offsets[k]
-            yield batch
+            out = {c: batch.column(c) for c in batch.schema.names if c not in ("_salt", "_rn")}
+            yield pa.RecordBatch.from_pydict(out | {"sequence_id": sequences[k] + rank - ranks[k], "offset": offsets[k]})
 
     order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return salted.withColumn("_rn", F.row_number().over(order)).mapInPandas(place, f"{kinds}, sequence_id long, offset long")
+    return salted.withColumn("_rn", F.row_number().over(order)).mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, **columns) -> DataFrame:

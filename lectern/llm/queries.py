@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.llm import mixing, packing
+from lectern.llm import chat, mixing, packing, quality
 from lectern.llm.shared import read
 
 QUERIES: dict = {}
@@ -25,6 +25,45 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_quality_rules")
+def op1(spark, sf):
+    scored = quality.score_statistics(read(spark, sf, "documents"), read(spark, sf, "labels"))
+    return scored.select("doc_id", *quality.BASE, "base_failed", "kept", "score")
+
+
+#: Roles, escapes and marks of chat.TEMPLATE, in SQL.
+OP2_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), f AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '\|\[SYS\]|\[/SYS\]|\[INST\]|\[/INST\]|<s>|</s>|\[ROLE\]|\[TEXT\]|\[/ROLE\]'))
+    + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9
+      ELSE 23 + length(role) + len(regexp_extract_all(role, '\|\[SYS\]|\[/SYS\]|\[INST\]|\[/INST\]|<s>|</s>|\[ROLE\]|\[TEXT\]|\[/ROLE\]')) END AS formatted,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+    lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS after
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(formatted)::BIGINT AS formatted_chars,
+  bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user'
+    WHEN before = 'user' THEN role = 'assistant' ELSE false END AND (after IS NOT NULL OR role = 'assistant')) AS valid
+FROM f GROUP BY conv_id
+"""
+
+
+@query("op2_chat_format", OP2_SQL)
+def op2(spark, sf):
+    talks = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
+    )
+    return chat.read_turns(chat.format_turns(talks.unionByName(own)))
+
+
 @query("op4_mix_sources")
 def op4(spark, sf):
     planned = mixing.plan_mix(read(spark, sf, "documents"))
