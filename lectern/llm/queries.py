@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, mixing, packing, quality
+from lectern.llm import chat, context_tree, mixing, packing, quality
 from lectern.llm.shared import read
 
 QUERIES: dict = {}
@@ -80,3 +80,8 @@ def op5(spark, sf):
 def op8(spark, sf):
     packed = packing.pack_documents(read(spark, sf, "documents"), tokenizer_path())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op9_context_tree")
+def op9(spark, sf):
+    return context_tree.score_texts(read(spark, sf, "documents"), context_tree.held_out("doc_id"))
