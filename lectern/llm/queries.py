@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, context_tree, mixing, packing, quality
+from lectern.llm import chat, context_tree, mixing, packing, quality, repeats
 from lectern.llm.shared import read
 
 QUERIES: dict = {}
@@ -85,3 +85,9 @@ def op8(spark, sf):
 @query("op9_context_tree")
 def op9(spark, sf):
     return context_tree.score_texts(read(spark, sf, "documents"), context_tree.held_out("doc_id"))
+
+
+@query("op10_remove_repeats")
+def op10(spark, sf):
+    left = repeats.remove_repeats(read(spark, sf, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
