@@ -2,8 +2,8 @@
 
 A byte is removed if a string of ``length`` bytes that covers it also starts elsewhere, in the same or in another document.
 
-1. Each start of such a string belongs to the anchor of the string: its smallest hash of ``GRAM`` bytes. Equal strings have equal
-   anchors. Neighbouring starts with one anchor form a segment (at most ``RUN`` starts).
+1. Each start of such a string belongs to the anchor of the string: its smallest hash of ``GRAM`` bytes, the first of them. Equal strings
+   have equal anchors. Neighbouring starts with one anchor at one place form a segment (at most ``RUN`` starts).
 2. Segments are counted by anchor and content. A segment that occurs twice is repeated as a whole; an anchor that occurs
    once has no repeated string. What is left are different segments with a common anchor, around the borders of passages.
 3. The bytes of those segments, each content once, meet by anchor in groups of about ``GROUP_BYTES``. There the suffix
@@ -67,14 +67,16 @@ def segments(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     gram = min(GRAM, max(8, length // 4) // 8 * 8)
-    anchor = _window_min(_gram_hashes(data, gram), length - gram + 1)
-    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    n = np.diff(np.append(first, len(anchor)))
+    h = _gram_hashes(data, gram)
+    # the upper half of the hash decides, then the first place; so two equal strings never have one place in common
+    place = _window_min(h >> np.uint64(32) << np.uint64(32) | np.arange(len(h), dtype=np.uint64), length - gram + 1) & np.uint64(0xFFFFFFFF)
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    n = np.diff(np.append(first, len(place)))
     pieces = -(-n // RUN)
     run = np.repeat(np.arange(len(first)), pieces)
     step = np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     start = first[run] + step * RUN
-    return anchor[start].view(np.int64), start, np.minimum(RUN, n[run] - step * RUN)
+    return h[place[start].astype(np.int64)].view(np.int64), start, np.minimum(RUN, n[run] - step * RUN)
 
 
 def _find_segments(length: int):
