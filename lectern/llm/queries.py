@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, context_tree, mixing, packing, quality, repeats
+from lectern.llm import chat, chosen_path, context_tree, mixing, packing, quality, repeats
 from lectern.llm.shared import read
 
 QUERIES: dict = {}
@@ -91,3 +91,26 @@ def op9(spark, sf):
 def op10(spark, sf):
     left = repeats.remove_repeats(read(spark, sf, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents
+), u AS (
+  SELECT t, min(doc_id) AS rep, list_distinct(CASE WHEN len(any_value(w)) = 0 THEN []::VARCHAR[]
+    WHEN len(any_value(w)) < 5 THEN [array_to_string(any_value(w), ' ')]
+    ELSE list_transform(range(1, len(any_value(w)) - 3), lambda i: array_to_string(any_value(w)[i:i + 4], ' ')) END) AS g
+  FROM d GROUP BY t
+), x AS (SELECT rep, len(g) AS n, unnest(g) AS h FROM u),
+p AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) + any_value(b.n) - count(*) AS n, count(*) AS c FROM x a JOIN x b USING (h) WHERE a.rep <> b.rep GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 5 * c >= 4 * n),
+r AS (SELECT rep AS node, rep AS root FROM u UNION SELECT l.b, r.root FROM r JOIN l ON r.node = l.a)
+SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, rep AS text_class
+FROM d JOIN u USING (t) JOIN (SELECT node AS rep, min(root) AS class_id FROM r GROUP BY 1) USING (rep)
+LEFT JOIN (SELECT a AS rep, count(*) AS n_links FROM l GROUP BY 1) USING (rep)
+"""
+
+
+@query("op7_chosen_path_join", OP7_SQL)
+def op7(spark, sf):
+    return chosen_path.jaccard_classes(read(spark, sf, "documents")).drop("_row")
