@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, chosen_path, context_tree, mixing, packing, quality, repeats
+from lectern.llm import chat, chosen_path, context_tree, mixing, packing, quality, repeats, spotsigs
 from lectern.llm.shared import read
 
 QUERIES: dict = {}
@@ -114,3 +114,8 @@ LEFT JOIN (SELECT a AS rep, count(*) AS n_links FROM l GROUP BY 1) USING (rep)
 @query("op7_chosen_path_join", OP7_SQL)
 def op7(spark, sf):
     return chosen_path.jaccard_classes(read(spark, sf, "documents")).drop("_row")
+
+
+@query("op6_spot_signatures")
+def op6(spark, sf):
+    return spotsigs.edited_fingerprints(read(spark, sf, "documents"))
