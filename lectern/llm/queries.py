@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, chosen_path, context_tree, mixing, packing, quality, repeats, spotsigs
+from lectern.llm import chat, chosen_path, context_tree, fuzzy_lines, mixing, packing, quality, repeats, spotsigs
 from lectern.llm.shared import read
 
 QUERIES: dict = {}
@@ -119,3 +119,8 @@ def op7(spark, sf):
 @query("op6_spot_signatures")
 def op6(spark, sf):
     return spotsigs.edited_fingerprints(read(spark, sf, "documents"))
+
+
+@query("op3_fuzzy_lines")
+def op3(spark, sf):
+    return fuzzy_lines.line_report(read(spark, sf, "documents"))
