@@ -4,14 +4,17 @@ A byte is removed if a string of ``length`` bytes that covers it also starts els
 
 1. Each start of such a string belongs to the anchor of the string: its smallest hash of ``GRAM`` bytes, the first of them. Equal strings
    have equal anchors. Neighbouring starts with one anchor at one place form a segment (at most ``RUN`` starts).
-2. Segments are counted by anchor and content. A segment that occurs twice is repeated as a whole; an anchor that occurs
-   once has no repeated string. What is left are different segments with a common anchor, around the borders of passages.
+2. Anchors that occur once have no repeated string and go. Segments are counted by anchor and content: one that occurs twice is
+   repeated as a whole. What is left are different segments with a common anchor, around the borders of passages; of
+   those, only segments that also share the half string before or behind the anchor with another one can hold a repeated string.
 3. The bytes of those segments, each content once, meet by anchor in groups of about ``GROUP_BYTES``. There the suffix
    array and its BWT are built, and intervals are extended backwards, breadth first: level n finds all borders whose common prefix
    is n bytes long. It stops at ``length``; borders that are still open then are those between starts with equal strings.
 4. Anchors with more than ``HOT`` different segments are not put into one group: their strings are counted by hash instead,
    which Spark pre-aggregates, with the same result.
-5. Marked starts go back to their documents, in buckets of about ``BUCKET_BYTES``.
+5. Marked starts become spans of their documents, in buckets of documents; texts are read again to cut them.
+
+Contents and halves of strings are known by 64-bit hashes beside the 64-bit anchor.
 
 Defined results: null text is empty; a document shorter than ``length`` bytes loses nothing; rows equal in id and text are documents of
 their own that repeat each other; ids may be null or repeat; an empty table gives none. Other columns are ignored.
@@ -24,9 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.sizing import broadcast_if_small
 from lectern.llm.shared import parts_for, row_key, text_bytes
 from lectern.session import staged
 
@@ -36,6 +41,7 @@ RUN = 256
 HOT = 4096
 GROUP_BYTES = 1 << 20
 BUCKET_BYTES = 8 << 20
+SMALL = 1_000_000  # rows of a narrow table that are broadcast instead of shuffling texts or all segments
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,11 +68,15 @@ def _window_min(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def segments(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first start, number of starts) of the segments of a text."""
+def gram_length(length: int) -> int:
+    return min(GRAM, max(8, length // 4) // 8 * 8)
+
+
+def segments(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(anchor, first start, number of starts, place of the anchor after the start) of the segments of a text."""
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    gram = min(GRAM, max(8, length // 4) // 8 * 8)
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    gram = gram_length(length)
     h = _gram_hashes(data, gram)
     # the upper half of the hash decides, then the first place; so two equal strings never have one place in common
     place = _window_min(h >> np.uint64(32) << np.uint64(32) | np.arange(len(h), dtype=np.uint64), length - gram + 1) & np.uint64(0xFFFFFFFF)
@@ -76,7 +86,8 @@ def segments(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     run = np.repeat(np.arange(len(first)), pieces)
     step = np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     start = first[run] + step * RUN
-    return h[place[start].astype(np.int64)].view(np.int64), start, np.minimum(RUN, n[run] - step * RUN)
+    at = place[start].astype(np.int64)
+    return h[at].view(np.int64), start, np.minimum(RUN, n[run] - step * RUN), at - start
 
 
 def _find_segments(length: int):
@@ -87,13 +98,14 @@ def _find_segments(length: int):
                 rows, contents = [], []
                 for row, text in zip(part.column("_row").to_pylist(), part.column("_text").to_pylist()):
                     data = text_bytes(text)
-                    anchor, start, n = segments(data, length)
-                    rows.append((np.full(len(anchor), row, np.int64), anchor, start, n))
+                    anchor, start, n, gram_at = segments(data, length)
+                    rows.append((np.full(len(anchor), row, np.int64), anchor, start, n, gram_at))
                     view = memoryview(data)
-                    contents += [hashlib.blake2b(view[s : s + k + length - 1], digest_size=16).digest() for s, k in zip(start.tolist(), n.tolist())]
-                row, anchor, start, n = (np.concatenate(x) for x in zip(*rows))
+                    contents += [xxhash.xxh3_64_intdigest(view[s : s + k + length - 1]) for s, k in zip(start.tolist(), n.tolist())]
+                row, anchor, start, n, gram_at = (np.concatenate(x) for x in zip(*rows))
+                content = np.array(contents, np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_pydict(
-                    {"_row": row, "anchor": anchor, "start": start, "n": n.astype(np.int32), "content": pa.array(contents, pa.binary())}
+                    {"_row": row, "anchor": anchor, "start": start, "n": n.astype(np.int32), "gram_at": gram_at.astype(np.int32), "content": content}
                 )
 
     return find
@@ -110,7 +122,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[: n - h] = rank[h:] + 1
         key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
         rank = np.empty(n, np.int64)
@@ -132,7 +144,7 @@ def open_borders(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndar
     back[np.argsort(bwt, kind="stable")] = np.arange(n)
     border = np.ones(n + 1, bool)
     border[0] = border[n] = False
-    left, right = np.array([0]), np.array([n])
+    left, right, symbols_end = np.array([0]), np.array([n]), int(symbols.max()) + 1
     for level in range(length):
         sizes = right - left
         interval = np.repeat(np.arange(len(left)), sizes)
@@ -140,13 +152,11 @@ def open_borders(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndar
         if not len(at):
             break
         # all elements of an interval with one symbol in front: the first and last of them give the new interval
-        by = np.lexsort((at, bwt[at], interval))
-        at, interval = at[by], interval[by]
-        symbol = bwt[at]
-        new = np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1
-        to_left, to_right = back[at[first]], back[at[last]] + 1
+        key = interval * symbols_end + bwt[at]
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        to_left, to_right = back[np.minimum.reduceat(at, first)], back[np.maximum.reduceat(at, first)] + 1
         found = border[to_right] | ((level == 0) & (to_right == n))
         border[to_right] = False
         # an interval of one suffix has no border inside; its right border is closed all the same
@@ -189,7 +199,7 @@ def _string_hashes(length: int):
                 own = [hashlib.blake2b(view[k : k + length], digest_size=16).digest() for k in range(n)]
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "anchor": pa.array([anchor] * n, pa.int64()), "content": pa.array([content] * n, pa.binary()), "n": pa.array([n] * n, pa.int32()),
+                        "anchor": pa.array([anchor] * n, pa.int64()), "content": pa.array([content] * n, pa.int64()), "n": pa.array([n] * n, pa.int32()),
                         "k": pa.array(range(n), pa.int32()), "string": pa.array(own, pa.binary()),
                     }
                 )
@@ -210,16 +220,33 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ------------------------------------------------------------------------------------------------ documents
 
 
-def _cut_out(own: pa.Table, wanted: pa.Table, length: int) -> pa.Table:
-    """Bytes of the wanted segments of a bucket's documents."""
-    texts = dict(zip(own.column("_row").to_pylist(), own.column("_text").to_pylist()))
-    data = {}
-    out = []
-    for row, start, n in zip(*(wanted.column(c).to_pylist() for c in ("_row", "start", "n"))):
-        if row not in data:
-            data[row] = text_bytes(texts[row])
-        out.append(data[row][start : start + n + length - 1])
-    return pa.table({"anchor": wanted.column("anchor"), "content": wanted.column("content"), "n": wanted.column("n"), "bytes": pa.array(out, pa.binary())})
+def _cut_out(length: int):
+    gram = gram_length(length)
+    half = -(-(length - gram) // 2)
+
+    def sides(data: memoryview, at: int) -> tuple[int | None, int | None]:
+        """Hashes of the anchor with ``half`` bytes before it, and behind it: a string around it has all of one of the two."""
+        left = xxhash.xxh3_64_intdigest(data[at - half : at + gram]) if at >= half else None
+        right = xxhash.xxh3_64_intdigest(data[at : at + gram + half], 1) if at + gram + half <= len(data) else None
+        return left, right
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Bytes of the wanted segments of a document."""
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                part, out = batch.slice(at, 200), []
+                for text, wanted in zip(part.column("_text").to_pylist(), part.column("wanted").to_pylist()):
+                    data = memoryview(text_bytes(text))
+                    for w in wanted:
+                        own = bytes(data[w["start"] : w["start"] + w["n"] + length - 1])
+                        out.append((w["anchor"], w["content"], w["n"], own, *sides(data, w["start"] + w["gram_at"])))
+                anchor, content, n, own, left, right = zip(*out)
+                signed = lambda x: pa.array([None if v is None else v - 2**64 if v >= 2**63 else v for v in x], pa.int64())
+                yield pa.RecordBatch.from_pydict(
+                    {"anchor": pa.array(anchor), "content": pa.array(content), "n": pa.array(n, pa.int32()), "bytes": pa.array(own, pa.binary()), "left": signed(left), "right": signed(right)}
+                )
+
+    return cut
 
 
 def spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -231,29 +258,46 @@ def spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, new)].tolist(), (starts[np.append(new - 1, len(starts) - 1)] + length).tolist()))
 
 
-def _removed(own: pa.Table, marked: pa.Table, length: int) -> pa.Table:
-    """Per document of a bucket: its removed spans, and what is left."""
-    hits: dict[int, list] = {}
-    for row, start, n, bits in zip(*(marked.column(c).to_pylist() for c in ("_row", "start", "n", "bits"))):
-        at = np.arange(n) if bits is None else np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=n))
-        hits.setdefault(row, []).append(start + at)
-    out = []
-    for row, text in zip(own.column("_row").to_pylist(), own.column("_text").to_pylist()):
-        data, kept, at = text_bytes(text), [], 0
-        found = spans(np.concatenate(hits[row]), length) if row in hits else []
-        for a, b in found:
-            kept.append(data[at:a])
-            at = b
-        rest = b"".join([*kept, data[at:]])
-        out.append((len(data), len(data) - len(rest), len(found), hashlib.sha256(rest).hexdigest(), rest, [{"begin": a, "end": b} for a, b in found]))
-    n, removed, count, digest, rest, found = zip(*out) if out else ((),) * 6
-    return pa.table(
-        {
-            "doc_id": own.column("_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(count, pa.int64()),
-            "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(rest, pa.binary()),
-            "spans": pa.array(found, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
-        }
-    )
+def _document_spans(length: int):
+    def run(table: pa.Table) -> pa.Table:
+        """(_row, begins, ends) of the documents of a bucket."""
+        hits: dict[int, list] = {}
+        for row, start, n, bits in zip(*(table.column(c).to_pylist() for c in ("_row", "start", "n", "bits"))):
+            at = np.arange(n) if bits is None else np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=n))
+            hits.setdefault(row, []).append(start + at)
+        found = [spans(np.concatenate(x), length) for x in hits.values()]
+        whole = pa.list_(pa.int64())
+        return pa.table({"_at": list(hits), "begins": pa.array([[a for a, _ in x] for x in found], whole), "ends": pa.array([[b for _, b in x] for x in found], whole)})
+
+    return run
+
+
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is left of each document."""
+    for batch in batches:
+        for at in range(0, len(batch), 500):
+            part, out = batch.slice(at, 500), []
+            for text, begins, ends in zip(*(part.column(c).to_pylist() for c in ("_text", "begins", "ends"))):
+                data, kept, end = text_bytes(text), [], 0
+                for a, b in zip(begins or [], ends or []):
+                    kept.append(data[end:a])
+                    end = b
+                rest = b"".join([*kept, data[end:]])
+                out.append((len(data), len(data) - len(rest), len(begins or []), hashlib.sha256(rest).hexdigest(), rest, [{"begin": a, "end": b} for a, b in zip(begins or [], ends or [])]))
+            n, removed, count, digest, rest, found = zip(*out)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": part.column("_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(count, pa.int64()),
+                    "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(rest, pa.binary()),
+                    "spans": pa.array(found, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
+                }
+            )
+
+
+def _same_segment(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on (anchor, content)."""
+    b = b.withColumnsRenamed({"anchor": "_a", "content": "_c"})
+    return a.join(b, (F.col("anchor") == F.col("_a")) & (F.col("content") == F.col("_c")), how).drop("_a", "_c")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -261,40 +305,44 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), row_key(id_col, text_col).alias("_row"))
     found = staged(
-        rows.select("_row", "_text").mapInArrow(_find_segments(length), "_row long, anchor long, start long, n int, content binary"), "repeat-segments"
+        rows.select("_row", "_text").mapInArrow(_find_segments(length), "_row long, anchor long, start long, n int, gram_at int, content long"), "repeat-segments"
     )
-    n_bytes = rows.agg(F.sum(F.octet_length("_text"))).first()[0]
-    buckets = parts_for(n_bytes, BUCKET_BYTES)
-    bucket: Column = F.pmod(F.col("_row"), F.lit(buckets))
-    rows = rows.withColumn("_bucket", bucket)
-
-    contents = found.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("_row", "start", "n")).alias("at"))
-    anchors = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("times").alias("uses")).where("uses > 1")
-    contents = staged(contents.join(anchors, "anchor"), "repeat-contents")
-    several = contents.where("kinds > 1").select("anchor", "content", "at.*", "kinds")
-    wanted = several.select("anchor", "content", "start", "n", F.col("_row"), F.pmod("_row", F.lit(buckets)).alias("_at"))
-    cut = rows.groupBy("_bucket").cogroup(wanted.groupBy("_at")).applyInArrow(
-        lambda own, want: _cut_out(own, want, length), "anchor long, content binary, n int, bytes binary"
-    )
-    cut = staged(cut, "repeat-bytes")
-    cut = cut.join(several.select(F.col("anchor").alias("_a"), F.col("content").alias("_c"), "kinds"), (F.col("anchor") == F.col("_a")) & (F.col("content") == F.col("_c"))).drop("_a", "_c")
+    several_uses = found.groupBy("anchor").agg(F.count("*").alias("uses")).where("uses > 1").select(F.col("anchor").alias("_a"))
+    several_uses = broadcast_if_small(staged(several_uses, "repeat-anchors"), SMALL)
+    found = staged(found.join(several_uses, F.col("anchor") == F.col("_a"), "left_semi"), "repeat-several")
+
+    contents = found.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("_row", "start", "n", "gram_at")).alias("at"))
+    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).withColumnRenamed("anchor", "_a")
+    contents = staged(contents.join(kinds, F.col("anchor") == F.col("_a")).drop("_a"), "repeat-contents")
+    wanted = contents.where("kinds > 1").select(F.col("at._row").alias("_at"), F.struct("anchor", "content", "at.start", "at.n", "at.gram_at").alias("w"))
+    wanted = broadcast_if_small(staged(wanted.groupBy("_at").agg(F.collect_list("w").alias("wanted")), "repeat-wanted"), SMALL)
+    once = rows.join(wanted, F.col("_row") == F.col("_at")).dropDuplicates(["_row"]).select("_text", "wanted")
+    cut = staged(once.mapInArrow(_cut_out(length), "anchor long, content long, n int, bytes binary, left long, right long"), "repeat-bytes")
+
+    sides = cut.select("anchor", "content", F.explode(F.array("left", "right")).alias("side")).where("side IS NOT NULL")
+    shared = sides.groupBy("anchor", "side").agg(F.count("*").alias("uses")).where("uses > 1").select(F.col("anchor").alias("_a"), F.col("side").alias("_s"))
+    near = sides.join(shared, (F.col("anchor") == F.col("_a")) & (F.col("side") == F.col("_s"))).select("anchor", "content").distinct()
+    near = staged(near, "repeat-near")
+    size = near.groupBy("anchor").agg(F.count("*").alias("kinds")).withColumnRenamed("anchor", "_k")
+    cut = staged(_same_segment(cut.select("anchor", "content", "n", "bytes"), near).join(size, F.col("anchor") == F.col("_k")).drop("_k"), "repeat-bytes")
+
     groups = parts_for(cut.agg(F.sum(F.octet_length("bytes"))).first()[0], GROUP_BYTES)
     small = cut.where(F.col("kinds") <= hot).withColumn("_group", F.pmod(F.xxhash64("anchor"), F.lit(groups)))
-    by_bwt = small.groupBy("_group").applyInArrow(_expand(length), "anchor long, content binary, bits binary")
+    by_bwt = small.groupBy("_group").applyInArrow(_expand(length), "anchor long, content long, bits binary")
 
-    strings = cut.where(F.col("kinds") > hot).drop("kinds").mapInArrow(_string_hashes(length), "anchor long, content binary, n int, k int, string binary")
+    strings = cut.where(F.col("kinds") > hot).drop("kinds").mapInArrow(_string_hashes(length), "anchor long, content long, n int, k int, string binary")
     often = strings.groupBy("string").agg(F.count("*").alias("times")).where("times > 1").select(F.col("string").alias("_s"))
     by_hash = strings.join(often, F.col("string") == F.col("_s")).groupBy("anchor", "content", "n").agg(F.collect_list("k").alias("ks"))
-    by_hash = by_hash.mapInArrow(_bits, "anchor long, content binary, bits binary")
+    by_hash = by_hash.mapInArrow(_bits, "anchor long, content long, bits binary")
 
     whole = contents.where("times > 1").select("anchor", "content", F.lit(None).cast("binary").alias("bits"))
-    once = contents.where("times = 1 AND kinds > 1").select(F.col("anchor").alias("_a"), F.col("content").alias("_c"))
     part = by_bwt.unionByName(by_hash).where(F.length(F.translate(F.hex("bits"), "0", "")) > 0)
-    part = part.join(once, (F.col("anchor") == F.col("_a")) & (F.col("content") == F.col("_c")), "left_semi")
-    marks = staged(whole.unionByName(part).withColumnsRenamed({"anchor": "_a", "content": "_c"}), "repeat-marks")
-    marked = found.join(marks, (F.col("anchor") == F.col("_a")) & (F.col("content") == F.col("_c"))).select("_row", "start", "n", "bits")
-    marked = marked.distinct().withColumn("_at", F.pmod("_row", F.lit(buckets)))
-    return rows.groupBy("_bucket").cogroup(marked.groupBy("_at")).applyInArrow(
-        lambda own, hits: _removed(own, hits, length),
-        f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<begin: bigint, end: bigint>>",
+    part = _same_segment(part, contents.where("times = 1").select("anchor", "content"), "left_semi")
+    marks = staged(whole.unionByName(part), "repeat-marks")
+    marked = _same_segment(found.select("_row", "anchor", "content", "start", "n"), marks).select("_row", "start", "n", "bits")
+    buckets = parts_for(found.count() * 200, BUCKET_BYTES)
+    covered = marked.withColumn("_bucket", F.pmod(F.col("_row"), F.lit(buckets))).groupBy("_bucket").applyInArrow(_document_spans(length), "_at long, begins array<long>, ends array<long>")
+    covered = broadcast_if_small(staged(covered, "repeat-spans"), SMALL)
+    return rows.join(covered, F.col("_row") == F.col("_at"), "left").select("_id", "_text", "begins", "ends").mapInArrow(
+        _removed, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<begin: bigint, end: bigint>>"
     )
