@@ -8,8 +8,10 @@ counted per (length, salt), and the ``capacity * SALTS`` counts are the largest
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,19 +34,37 @@ _CHUNKS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
 
+#: The pieces of byte-level BPE, fixed by the tokenizer file's kind.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_symbols() -> dict[str, int]:
+    """The printable stand-ins of bytes in a byte-level vocabulary: printable Latin-1 characters are themselves, the others follow from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit numbers; ids of frequent words are remembered."""
+    """Token ids of texts as little-endian unsigned 32-bit numbers; ids of frequent words are remembered.
+
+    ``path`` is a tokenizer file of the library tokenizers, of the kind byte-level BPE whose ids stand in the order of their merges. Its
+    vocabulary is run by tiktoken, which gives the same ids in a quarter of the time (tests compare the two).
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
+        symbols = _byte_symbols()
+        ranks = {bytes(symbols[c] for c in token): i for token, i in vocabulary.items() if all(c in symbols for c in token) and token != "<|endoftext|>"}
+        self.encoding = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
+        ids = map(self.encoding.encode_ordinary, texts)
+        return [array("I", x).tobytes() for x in ids]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
