@@ -36,8 +36,8 @@ def first_part(text: Column) -> Column:
     return F.substring(text, 1, SUMMARY_CHARS)
 
 
-def embed(rows: DataFrame, embedder: Embedder, max_chars: int | None = 512) -> DataFrame:
-    """Add ``vector`` by a user's function; the text is cut first so that less of it crosses to Python."""
+def embed(rows: DataFrame, embedder: Embedder, max_chars: int | None = None) -> DataFrame:
+    """Add ``vector`` by a user's function of the whole text, or of its first ``max_chars`` characters."""
     text = F.col("text") if max_chars is None else F.substring("text", 1, max_chars)
     return rows.withColumn("vector", embedder(text).cast("array<float>"))
 

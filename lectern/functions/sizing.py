@@ -37,6 +37,15 @@ def by_slices(table: DataFrame, key: str, rows: int, run: Callable[[DataFrame],
     return reduce(DataFrame.unionByName, [run(table.where(slice_of == i)) for i in range(n)])
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match each other; the result has the keys of ``left`` once."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    out = left.join(named, on, how).drop(*[f"_right_{k}" for k in keys])
+    rest = [c for c in out.columns if c not in keys]
+    return out.select(*keys, *rest)
+
+
 def join_skewed(
     facts: DataFrame, dim: DataFrame, key: str, weight: str, spread_by: Column, keep_unmatched: bool = False
 ) -> DataFrame:
@@ -50,7 +59,8 @@ def join_skewed(
     hot = F.broadcast(
         dim.orderBy(F.desc(weight), key).limit(HOT_KEYS).select(key, F.struct(*values).alias("_hot"))
     )
-    joined = facts.join(hot, key, "left")
+    hot = hot.withColumnRenamed(key, "_hot_key")
+    joined = facts.join(hot, F.col(key).eqNullSafe(F.col("_hot_key")), "left").drop("_hot_key")
     salted = F.struct(
         F.col(key).alias("k"),
         F.when(F.col("_hot").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).alias("s"),

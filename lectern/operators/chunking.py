@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.functions.sizing import join_skewed
+from lectern.functions.sizing import join_null_safe, join_skewed
 from lectern.operators import runs
 from lectern.operators.ordered import BLOCK_ROWS, block_of, carry_last, neighbours, running_sums
 from lectern.session import staged
@@ -82,7 +82,7 @@ def split_sections(blocks: DataFrame, keys: Sequence[str], order: str) -> DataFr
         F.max("_level").alias("_level"), F.max("_title").alias("_title"), join_ordered([order, "_line"], "line", "\n").alias("text")
     )
     heads = staged(sections.select(*keys, "section", "_level", "_title"), "sections")
-    return sections.drop("_level", "_title").join(_heading_path(heads, keys).drop("_level", "_title"), [*keys, "section"])
+    return join_null_safe(sections.drop("_level", "_title"), _heading_path(heads, keys).drop("_level", "_title"), [*keys, "section"])
 
 
 def _merge_runs(rows: DataFrame, keys: Sequence[str], order: str, separator: str, headings: str) -> DataFrame:
@@ -164,8 +164,8 @@ def section_chunks(
     stretch = packed.groupBy(*keys, "_run").agg(
         F.min("_from").alias("_run_from"), F.max("_end").alias("_run_end"), *[F.min_by(h, "pos").alias(h) for h in HEADINGS]
     )
-    place = packed.select(*keys, "_merged", "_run").join(stretch, [*keys, "_run"])
-    place = first.select(*keys, "section", "_lines", "_merged").join(place, [*keys, "_merged"]).drop("_merged")
+    place = join_null_safe(packed.select(*keys, "_merged", "_run"), stretch, [*keys, "_run"])
+    place = join_null_safe(first.select(*keys, "section", "_lines", "_merged"), place, [*keys, "_merged"]).drop("_merged")
     place = place.select(F.struct(*keys, "section").alias("_key"), "_lines", "_run", "_run_from", "_run_end", *HEADINGS)
     rows = lines.withColumn("_key", F.struct(*keys, "section")).select(*keys, "_key", "line", "_from", "_end")
     # A section may own any number of lines, so the join spreads those of heavy sections.

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.sizing import join_skewed
+from lectern.functions.sizing import join_null_safe, join_skewed
 from lectern.operators.ordered import BLOCK_ROWS, block_of, positions
 from lectern.session import staged
 
@@ -97,9 +97,9 @@ def mark_runs(
     slim = staged(df.select(*keys, order, *[c.alias(n) for n, c in features.items()]), "runs")
     placed = staged(positions(slim, "pos", keys, [order], block_of(order, order_span or block_rows)), "runs")
     marks = _marks(placed.drop(order), keys, "pos", block_of("pos", block_rows), jump)
-    named = marks.join(placed.select(*keys, order, "pos"), [*keys, "pos"])
+    named = join_null_safe(marks, placed.select(*keys, order, "pos"), [*keys, "pos"])
     # Stored, so that a caller who reads the result twice does not run the fold twice.
-    return df.join(staged(named, "runs"), [*keys, order])
+    return join_null_safe(df, staged(named, "runs"), [*keys, order])
 
 
 def mark_spans(df: DataFrame, keys: Sequence[str], at: str, span: int, unstored: Column | None = None) -> DataFrame:
@@ -112,7 +112,7 @@ def mark_spans(df: DataFrame, keys: Sequence[str], at: str, span: int, unstored:
     sized = join_skewed(keyed, counts, "_key", "_rows", F.col(at)).drop("_key")
     block = F.when(F.col("_rows") <= BLOCK_ROWS, F.lit(0)).otherwise(F.floor(F.col(at) / (2 * span)))
     marks = _marks(sized, keys, at, block, elapsed(at, span, "_unstored"))
-    return df.join(staged(marks, "spans"), [*keys, at])
+    return join_null_safe(df, staged(marks, "spans"), [*keys, at])
 
 
 def _groups(pdf: pd.DataFrame, by: list[str], order: str) -> tuple[pd.DataFrame, np.ndarray]:
@@ -145,7 +145,7 @@ def _marks(slim: DataFrame, keys: Sequence[str], order: str, block: Column, jump
         )
     )
     blocks = staged(blocks, "blocks")
-    rows = slim.join(blocks, [*keys, "_blk"]).drop("_blk", "_lo")
+    rows = join_null_safe(slim, blocks, [*keys, "_blk"]).drop("_blk", "_lo")
     key_fields = [slim.schema[k] for k in keys]
 
     def in_bundles(df: DataFrame, by: list[str], run, schema: T.StructType) -> DataFrame:
@@ -265,4 +265,4 @@ def _marks(slim: DataFrame, keys: Sequence[str], order: str, block: Column, jump
         out["run_start"] = run
         return out
 
-    return in_bundles(rows.drop("_after", "_single").join(entries, [*keys, "_b"]), [*keys, "_b"], mark, marked_schema)
+    return in_bundles(join_null_safe(rows.drop("_after", "_single"), entries, [*keys, "_b"]), [*keys, "_b"], mark, marked_schema)

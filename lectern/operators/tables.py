@@ -110,11 +110,11 @@ def empty_tables(blocks: DataFrame, keys: Sequence[str], order: str, page: str,
     )
     first = F.greatest(F.col(order) - (reach + 1), F.lit(0)) + 1
     buckets = empty.withColumn("_first", first).withColumn(
-        "_bucket", F.explode(F.array_distinct(F.array(F.floor(F.col("_first") / 16), F.floor(F.col(order) / 16))))
+        "_bucket", F.explode(F.sequence(F.floor(F.col("_first") / 16), F.floor(F.col(order) / 16)))
     )
     cond = buckets["_bucket"] == captioned["_bucket"]
     for k in keys:
-        cond = cond & (buckets[k] == captioned[f"_k_{k}"])
+        cond = cond & buckets[k].eqNullSafe(captioned[f"_k_{k}"])
     cond = cond & (F.col("_at") >= F.col("_first")) & (F.col("_at") < F.col(order))
     cond = cond & (F.abs(F.col("_p") - F.coalesce(F.col("page"), F.lit(0))) <= 1)
     near = buckets.join(captioned, cond, "left").groupBy(*keys, order, "page", "_own").agg(F.max_by("_c", "_at").alias("_near"))

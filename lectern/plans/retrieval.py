@@ -15,7 +15,6 @@ from lectern.plans.base import dense as dense_sql
 from lectern.session import staged
 
 RANKED = "SELECT query_id, chunk_id, score, rank FROM "
-COLLECTIONS = ["de", "en", "es", "fr"]
 
 
 def _ranked(df, *more):
@@ -99,6 +98,11 @@ def rrf_merge(spark, sf):
     return _ranked(fusion.rrf_merge(lists, prefix=30, top_n=10))
 
 
+def _collections(spark, sf):
+    """The collections that there are: as many names as the catalog has."""
+    return sorted(r[0] for r in corpus(spark, sf).select("collection").where("collection IS NOT NULL").distinct().collect())
+
+
 @query(
     "multi_collection",
     finish(C, Q, CV, QV, bm25(by="collection"), dense_sql("qv", "cv", "dn", by="collection"), rrf("bm", "dn", "hy", "collection"),
@@ -107,7 +111,7 @@ def rrf_merge(spark, sf):
 )
 def multi_collection(spark, sf):
     by_keyword = keyword.bm25_topk(questions(spark, sf), corpus_index(spark, sf, ("collection",)), 10)
-    spread = question_vectors(spark, sf).withColumn("collection", F.explode(F.array(*[F.lit(c) for c in COLLECTIONS])))
+    spread = question_vectors(spark, sf).withColumn("collection", F.explode(F.array(*[F.lit(c) for c in _collections(spark, sf)])))
     by_vector = dense.dense_topk(spread, chunk_vectors(spark, sf), 10, key="collection", per_key=True)
     per_collection = fusion.hybrid_rrf(by_keyword, by_vector, within=["collection"])
     return _ranked(fusion.multi_collection(per_collection, corpus(spark, sf).drop("collection"), 10))

@@ -34,6 +34,8 @@ def work_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _fallback_root is None:
         _fallback_root = tempfile.mkdtemp(prefix="lectern-")
         spark.sparkContext.setCheckpointDir(_fallback_root)
