@@ -57,3 +57,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none where it is missing."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [status.getPath().getName() for status in files.listStatus(jvm_path)] if files.exists(jvm_path) else []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -38,15 +39,18 @@ def incremental_ingest(
 ) -> StreamingQuery:
     """Process all new input of ``stream`` (doc_id, collection, source, text) once and stop.
 
-    Each micro-batch becomes one store batch numbered like it: run again after a failure it replaces itself.
-    Documents without text go to ``<root>-rejected``.
+    Each micro-batch becomes one store write named by the stream's id and its number: run again after a failure it
+    changes nothing. Documents without text go to ``<root>-rejected``.
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        # the id that Spark gave the stream when it made the checkpoint: a new checkpoint is a new stream
+        stream_id = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        name = f"{stream_id}-{number}"
         empty = F.coalesce(strip(F.col("text")), F.lit("")) == ""
         batch.where(empty).select("doc_id", "source", F.lit("no text").alias("reason")).write.mode("overwrite").parquet(
-            f"{root}-rejected/batch={number}"
+            f"{root}-rejected/write={name}"
         )
-        upsert_chunks(with_defaults(shape(batch.where(~empty))), root, number)
+        upsert_chunks(with_defaults(shape(batch.where(~empty))), root, name)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

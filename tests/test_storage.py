@@ -43,6 +43,35 @@ def test_append_and_drop(spark, root):
     assert store.append_collection(part, root, "c") and len(current(spark, root, "c")) == 1
 
 
+def test_writes_after_compact_and_drop_are_seen(spark, root):
+    """Named and unnamed writes, compact and drop share one sequence: the later write is always the newer one."""
+    one = lambda i, t: chunks(spark, [("a", i, t)])
+    store.upsert_chunks(one("1", "old"), root, "stream-0")
+    store.compact(spark, root)
+    store.upsert_chunks(one("2", "new"), root, "stream-1")
+    store.upsert_chunks(one("1", "changed"), root, "stream-2")
+    store.upsert_chunks(one("1", "old"), root, "stream-0")  # a repeated write changes nothing
+    assert current(spark, root) == [("a", "1", "changed"), ("a", "2", "new")]
+    store.drop_collection(spark, root, "a")
+    assert current(spark, root) == [] and not store.has_collection(spark, root, "a")
+    store.upsert_chunks(one("3", "x"), root, "stream-3")
+    store.upsert_chunks(one("3", "other"), root, "other-0")
+    store.upsert_chunks(chunks(spark, [("a", None, "t"), ("a", "4", "y")]), root)
+    store.upsert_chunks(chunks(spark, [("a", None, "u")]), root)
+    got = [("a", "3", "other"), ("a", "4", "y"), ("a", None, "u")]
+    rows = store.scan_collection(spark, root)
+    assert sorted(((r.collection, r.chunk_id, r.text) for r in rows.collect()), key=str) == sorted(got, key=str)
+
+
+def test_filters_reach_the_scan_of_a_store(spark, root):
+    rows = spark.range(100).select(F.lit("a").alias("collection"), F.col("id").cast("string").alias("chunk_id"), F.lit("t").alias("text"), (F.col("id") % 10).cast("int").alias("page"))
+    plan = lambda: store.scan_collection(spark, root, ["a"]).where("page = 3")._jdf.queryExecution().executedPlan().toString()
+    store.upsert_chunks(rows, root)
+    assert "EqualTo(page,3)" in plan() and "Exchange" not in plan()
+    store.upsert_chunks(rows.where("id < 20"), root)
+    assert "EqualTo(page,3)" in plan() and store.scan_collection(spark, root).count() == 100
+
+
 def test_catalog_and_defaults(spark):
     rows = store.with_defaults(chunks(spark, [("a", "1", "t"), ("a", "2", "t"), ("b", "1", "t")]))
     assert {(r.source, r.page, r.node_type) for r in rows.collect()} == {("", -1, "chunk")}
