@@ -15,8 +15,8 @@ from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -293,15 +293,22 @@ def packed_sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     part = F.struct("offset", "doc_id", "piece", "start", "length", "ids")
     rows = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(part)).alias("p"))
 
-    def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, positions = [], []
-            for row in batch["ids"]:
-                own = np.frombuffer(b"".join(row), "<u2")
-                ids.append(np.pad(own, (0, capacity - len(own)), constant_values=end_id).astype("<u2").tobytes())
-                at = np.concatenate([np.arange(len(x) // 2) for x in row])
-                positions.append(np.pad(at, (0, capacity - len(at))).astype("<u2").tobytes())
-            yield batch.drop(columns="ids").assign(input_ids=ids, position_ids=positions)
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                parts = part.column("ids")
+                sizes = pa.compute.binary_length(parts.flatten()).to_numpy().astype(np.int64) // 2
+                starts = np.cumsum(sizes) - sizes
+                own = np.frombuffer(b"".join(parts.flatten().to_pylist()), "<u2")
+                row = np.repeat(np.arange(len(part)), pa.compute.list_value_length(parts).to_numpy())
+                filled = np.arange(capacity) < np.bincount(row, weights=sizes, minlength=len(part)).astype(np.int64)[:, None]
+                out = {c: part.column(c) for c in part.schema.names if c != "ids"}
+                for name, rest, values in (("input_ids", end_id, own), ("position_ids", 0, np.arange(len(own)) - np.repeat(starts, sizes))):
+                    matrix = np.full((len(part), capacity), rest, "<u2")
+                    matrix[filled] = values
+                    out[name] = pa.array([x.tobytes() for x in matrix], pa.binary())
+                yield pa.RecordBatch.from_pydict(out)
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
     flat = rows.select(
@@ -309,7 +316,7 @@ def packed_sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
         F.concat(F.array(F.lit(0)), F.transform("p", lambda x: (x["offset"] + x["length"]).cast("int"))).alias("cu_seqlens"),
         F.col("p.doc_id").alias("doc_ids"), F.col("p.piece").alias("pieces"), F.col("p.start").alias("starts"), F.col("p.ids").alias("ids"),
     )
-    return flat.mapInPandas(
+    return flat.mapInArrow(
         matrices,
         f"sequence_id long, n_segments int, cu_seqlens array<int>, doc_ids array<{kind}>, pieces array<int>, starts array<long>, input_ids binary, position_ids binary",
     )
