@@ -286,6 +286,11 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
     ``class_id``: lowest id of the documents that links or equal sets connect with it. ``n_links``: number of different texts that are linked
     with its text. ``text_class``: lowest id of the documents with its very text. ``_row`` is ``shared.row_key``.
     """
+    return _classes(docs, threshold, n, recall, id_col, text_col, leaf, tile).drop("_class")
+
+
+def _classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, tile: int = TILE) -> DataFrame:
+    """``jaccard_classes`` with ``_class``, which tells classes apart whatever their ids: the set at the root of the component."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), row_key(id_col, text_col).alias("_row"))
     kind = docs.schema[id_col].dataType.simpleString()
     described = staged(rows.mapInArrow(_describe(n), f"doc_id {kind}, _row long, sid long, same binary, n_grams long, sketch binary"), "join-sketches")
@@ -331,17 +336,15 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, r
     of_set = of_set.withColumn("root", F.coalesce("root", "sid"))
     lowest = of_set.groupBy("root").agg(F.min("lowest").alias("class_id"))
     same_set = F.when(F.col("n_grams") > 0, F.col("n_texts") - 1).otherwise(0)
-    of_set = staged(of_set.join(lowest, "root").select("sid", "class_id", (F.coalesce("links", F.lit(0)) + same_set).alias("n_links")), "join-classes")
+    of_set = staged(of_set.join(lowest, "root").select("sid", "class_id", F.col("root").alias("_class"), (F.coalesce("links", F.lit(0)) + same_set).alias("n_links")), "join-classes")
     of_text = texts.select(F.col("sid").alias("_s"), F.col("same").alias("_m"), "text_class").join(of_set, F.col("_s") == F.col("sid")).drop("sid")
-    return described.join(of_text, (F.col("sid") == F.col("_s")) & (F.col("same") == F.col("_m"))).select("doc_id", "_row", "class_id", "n_links", "text_class")
+    return described.join(of_text, (F.col("sid") == F.col("_s")) & (F.col("same") == F.col("_m"))).select("doc_id", "_row", "class_id", "n_links", "text_class", "_class")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class: that of the lowest id, or the lowest row key where ids are null or repeat."""
-    classes = jaccard_classes(docs, id_col=id_col, text_col=text_col, **options)
-    first = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("f"))
-    # classes without any id cannot be told apart by it
-    kept = first.where("class_id IS NOT NULL").select(F.col("f._row").alias("_kept"))
-    kept = kept.union(classes.where("class_id IS NULL").select("_row")).distinct()
+    classes = _classes(docs, id_col=id_col, text_col=text_col, **options)
+    first = classes.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("f"))
+    kept = first.select(F.col("f._row").alias("_kept")).distinct()
     marked = docs.withColumn("_at", row_key(id_col, text_col)).join(kept, F.col("_at") == F.col("_kept"), "left_semi")
     return marked.dropDuplicates(["_at"]).select(*docs.columns)

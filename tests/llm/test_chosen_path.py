@@ -96,3 +96,13 @@ def test_connected_groups(spark):
 
 def test_empty_table(spark):
     assert cp.jaccard_classes(no_documents(spark)).count() == cp.keep_first(no_documents(spark)).count() == 0
+
+
+def test_classes_with_repeated_and_null_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d = ([f"{x}{rng.randrange(3000)}" for _ in range(60)] for x in "abcd")
+    near = [mutated(rng, c, 1), mutated(rng, c, 1)]
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (8, " ".join(b)), (None, near[0]), (None, near[1]), (None, " ".join(c)), (None, " ".join(d))]
+    kept = cp.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = sorted(r.text[0] for r in kept)
+    assert texts == ["a", "b", "c", "d"] and [r.doc_id for r in kept if r.text[0] in "ab"] == [7, 7]
