@@ -126,3 +126,14 @@ def test_sequences_hold_every_token_once(spark, plain):
 def test_empty_table(spark):
     assert packing.pack_documents(no_documents(spark), PATH).count() == 0
     assert packing.packed_sequences(no_documents(spark), PATH).count() == 0
+
+
+def test_added_tokens_are_those_of_the_tokenizer(spark):
+    end = "<|endoftext|>"
+    texts = [f"a {end} z", end, end * 2, f"x{end}  y\n{end}", f"{end[:-1]} {end}", f" {end} it's  {end}b", "\x85" + end, "plain"]
+    library = Tokenizer.from_file(PATH)
+    want = [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 220, 50256, 1976]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in rows}
+    assert got == {k: (len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes())) for k, ids in enumerate(want)}
