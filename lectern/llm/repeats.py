@@ -28,10 +28,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.sizing import broadcast_if_small
 from lectern.llm.shared import parts_for, row_key, text_bytes
 from lectern.session import staged
 
@@ -41,7 +40,7 @@ RUN = 256
 HOT = 4096
 GROUP_BYTES = 1 << 20
 BUCKET_BYTES = 8 << 20
-SMALL = 1_000_000  # rows of a narrow table that are broadcast instead of shuffling texts or all segments
+SMALL = 32 << 20  # bytes of a table that is broadcast instead of shuffling texts or all segments
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -294,6 +293,11 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _broadcast_if_small(table: DataFrame, n_bytes: Column) -> DataFrame:
+    """Broadcast hint where the rows of a stored table, of ``n_bytes`` each, are SMALL bytes together or fewer."""
+    return F.broadcast(table) if (table.agg(F.sum(n_bytes)).first()[0] or 0) <= SMALL else table
+
+
 def _same_segment(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     """Join on (anchor, content)."""
     b = b.withColumnsRenamed({"anchor": "_a", "content": "_c"})
@@ -308,14 +312,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         rows.select("_row", "_text").mapInArrow(_find_segments(length), "_row long, anchor long, start long, n int, gram_at int, content long"), "repeat-segments"
     )
     several_uses = found.groupBy("anchor").agg(F.count("*").alias("uses")).where("uses > 1").select(F.col("anchor").alias("_a"))
-    several_uses = broadcast_if_small(staged(several_uses, "repeat-anchors"), SMALL)
+    several_uses = _broadcast_if_small(staged(several_uses, "repeat-anchors"), F.lit(16))
     found = staged(found.join(several_uses, F.col("anchor") == F.col("_a"), "left_semi"), "repeat-several")
 
     contents = found.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("_row", "start", "n", "gram_at")).alias("at"))
     kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).withColumnRenamed("anchor", "_a")
     contents = staged(contents.join(kinds, F.col("anchor") == F.col("_a")).drop("_a"), "repeat-contents")
     wanted = contents.where("kinds > 1").select(F.col("at._row").alias("_at"), F.struct("anchor", "content", "at.start", "at.n", "at.gram_at").alias("w"))
-    wanted = broadcast_if_small(staged(wanted.groupBy("_at").agg(F.collect_list("w").alias("wanted")), "repeat-wanted"), SMALL)
+    wanted = _broadcast_if_small(staged(wanted.groupBy("_at").agg(F.collect_list("w").alias("wanted")), "repeat-wanted"), F.size("wanted") * 64 + 32)
     once = rows.join(wanted, F.col("_row") == F.col("_at")).dropDuplicates(["_row"]).select("_text", "wanted")
     cut = staged(once.mapInArrow(_cut_out(length), "anchor long, content long, n int, bytes binary, left long, right long"), "repeat-bytes")
 
@@ -342,7 +346,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     marked = _same_segment(found.select("_row", "anchor", "content", "start", "n"), marks).select("_row", "start", "n", "bits")
     buckets = parts_for(found.count() * 200, BUCKET_BYTES)
     covered = marked.withColumn("_bucket", F.pmod(F.col("_row"), F.lit(buckets))).groupBy("_bucket").applyInArrow(_document_spans(length), "_at long, begins array<long>, ends array<long>")
-    covered = broadcast_if_small(staged(covered, "repeat-spans"), SMALL)
+    covered = _broadcast_if_small(staged(covered, "repeat-spans"), (F.size("begins") + F.size("ends")) * 8 + 64)
     return rows.join(covered, F.col("_row") == F.col("_at"), "left").select("_id", "_text", "begins", "ends").mapInArrow(
         _removed, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<begin: bigint, end: bigint>>"
     )

@@ -65,3 +65,20 @@ def test_small_tables(spark):
 
 def test_empty_table(spark):
     assert repeats.remove_repeats(no_documents(spark)).count() == 0
+
+
+def test_few_wide_rows_are_not_broadcast(spark, monkeypatch):
+    table = spark.range(4).selectExpr("id", "sequence(1, 1000) AS begins")
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    size = repeats.F.size("begins") * 8
+    assert hinted(repeats._broadcast_if_small(table, size))
+    monkeypatch.setattr(repeats, "SMALL", 4 * 8000 - 1)
+    assert not hinted(repeats._broadcast_if_small(table, size))
+
+
+def test_shuffled_way_equals_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SMALL", 0)
+    rng = random.Random(6)
+    passages = ["".join(rng.choice("abcdef ") for _ in range(260)) for _ in range(4)]
+    rows = [(i, "".join(rng.choice([rng.choice(passages), "".join(rng.choice("xyz ") for _ in range(90))]) for _ in range(6))) for i in range(30)]
+    same(spark, rows)
