@@ -106,3 +106,12 @@ def test_classes_with_repeated_and_null_ids(spark):
     kept = cp.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     texts = sorted(r.text[0] for r in kept)
     assert texts == ["a", "b", "c", "d"] and [r.doc_id for r in kept if r.text[0] in "ab"] == [7, 7]
+
+
+def test_runs_and_sketches_keep_the_recall():
+    from math import ceil, comb
+
+    t, k = cp.COORDINATES, ceil((cp.THRESHOLD - cp.MARGIN) * cp.COORDINATES)
+    by_sketch = sum(comb(t, x) * cp.THRESHOLD**x * (1 - cp.THRESHOLD) ** (t - x) for x in range(k))
+    by_runs = (1 - cp.THRESHOLD**2) ** cp.runs_for()
+    assert by_sketch + by_runs <= 1 - cp.RECALL
