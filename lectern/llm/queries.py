@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, chosen_path, context_tree, fuzzy_lines, mixing, packing, quality, repeats, spotsigs
+from lectern.llm import chat, chosen_path, context_tree, fuzzy_lines, merkle, mixing, packing, quality, repeats, spotsigs
 from lectern.llm.shared import read
 
 QUERIES: dict = {}
@@ -124,3 +124,49 @@ def op6(spark, sf):
 @query("op3_fuzzy_lines")
 def op3(spark, sf):
     return fuzzy_lines.line_report(read(spark, sf, "documents"))
+
+
+#: CRC-32 by its bits, the trees level by level, then each leaf's way up.
+OP13_SQL = r"""
+WITH RECURSIVE k AS (
+  SELECT doc_id, lang, coalesce('=' || lang, '') AS g,
+    (SELECT list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [256 + ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda x, s: CASE WHEN s >= 256 THEN xor(x, s - 256) ELSE xor(x // 2, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END) END)) AS crc,
+    coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+    n_chars, coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail
+  FROM documents
+), l AS (
+  SELECT *, sha256(head || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(head || coalesce(length((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail)
+      ELSE sha256(head || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) END AS changed
+  FROM k
+), p AS (
+  SELECT doc_id, g, leaf, changed, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l
+), t AS (
+  SELECT g, 0 AS level, i, n, leaf AS h FROM p
+  UNION ALL SELECT g, level + 1, i // 2, any_value(n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY g, level, i // 2
+), s AS (SELECT g, h AS subroot, level AS height, row_number() OVER (ORDER BY g) - 1 AS j, count(*) OVER () AS m FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS level, j, m, subroot AS h FROM s
+  UNION ALL SELECT level + 1, j // 2, any_value(m + 1) // 2, sha256(string_agg(h, '' ORDER BY j)) FROM u WHERE m > 1 GROUP BY level, j // 2
+), r AS (SELECT h AS root, level AS depth FROM u WHERE m = 1),
+f AS (
+  SELECT doc_id, leaf, changed AS h, '' AS proof, g, i, 0 AS level, subroot, height, j, root, depth FROM p JOIN s USING (g), r
+  UNION ALL
+  SELECT f.doc_id, f.leaf,
+    CASE WHEN f.level < f.height THEN sha256(CASE WHEN f.i % 2 = 1 THEN a.h || f.h ELSE f.h || coalesce(a.h, '') END)
+      ELSE sha256(CASE WHEN f.j % 2 = 1 THEN b.h || f.h ELSE f.h || coalesce(b.h, '') END) END,
+    f.proof || CASE WHEN f.level < f.height THEN coalesce(a.h, '') ELSE coalesce(b.h, '') END,
+    f.g, CASE WHEN f.level < f.height THEN f.i // 2 ELSE f.i END, f.level + 1, f.subroot, f.height,
+    CASE WHEN f.level < f.height THEN f.j ELSE f.j // 2 END, f.root, f.depth
+  FROM f LEFT JOIN t a ON a.g = f.g AND a.level = f.level AND f.level < f.height AND a.i = xor(f.i, 1)
+    LEFT JOIN u b ON b.level = f.level - f.height AND b.j = xor(f.j, 1)
+  WHERE f.level < f.height + f.depth
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified FROM f WHERE level = height + depth
+"""
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13(spark, sf):
+    return merkle.audit(read(spark, sf, "documents"))
