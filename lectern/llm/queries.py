@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, chosen_path, context_tree, fuzzy_lines, merkle, mixing, packing, quality, repeats, spotsigs
+from lectern.llm import chat, chosen_path, context_tree, fill_middle, fuzzy_lines, merkle, mixing, packing, quality, repeats, spotsigs
 from lectern.llm.shared import read
 
 QUERIES: dict = {}
@@ -126,6 +126,32 @@ def op3(spark, sf):
     return fuzzy_lines.line_report(read(spark, sf, "documents"))
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents
+), h AS (
+  SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda k: list_reduce(list_transform(string_split(substr(x, k, 8), ''), lambda c: strpos('0123456789abcdef', c)::BIGINT - 1), lambda a, b: a * 16 + b)) AS r
+  FROM d
+), c AS (
+  SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS lo, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS hi,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 100 THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+), p AS (
+  SELECT *, array_to_string(u[1:lo], '') AS p, array_to_string(u[lo + 1:hi], '') AS m, array_to_string(u[hi + 1:], '') AS s FROM c
+), o AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS output FROM p
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(output) AS output_sha256, length(output) AS output_chars, sha256(t) AS restored_sha256
+FROM o
+"""
+
+
+@query("op11_fill_middle", OP11_SQL)
+def op11(spark, sf):
+    return fill_middle.digests(read(spark, sf, "documents"))
+
+
 #: CRC-32 by its bits, the trees level by level, then each leaf's way up.
 OP13_SQL = r"""
 WITH RECURSIVE k AS (
