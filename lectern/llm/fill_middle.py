@@ -26,10 +26,11 @@ from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.shared import parts_for
+
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 PIECE_BYTES = 1 << 16
-#: Shuffle partitions for each partition of the scan: a split of 128 MB then gives partitions of about 40 MB of text.
-SPREAD = 8
+PART_BYTES = 32 << 20  # text of a shuffle partition
 #: Order of the parts behind their marks in the output, and in the text.
 FORMS = {"psm": "PSM", "spm": "SPM"}
 IN_TEXT = "PMS"
@@ -114,9 +115,10 @@ def part_of(key: tuple) -> int:
 
 def output_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rates: Rates = Rates(), piece_bytes: int = PIECE_BYTES) -> RDD:
     """((row, place), content) sorted in each partition; all pieces of a row are in one partition, its head comes first."""
+    n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0]
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, parts_for(n_bytes, PART_BYTES))
     slim = docs.select(F.monotonically_increasing_id().alias("r"), F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).rdd
     pieces = slim.flatMap(lambda x: cut(x[0], x[1], x[2], rates, piece_bytes))
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, SPREAD * slim.getNumPartitions())
     return pieces.repartitionAndSortWithinPartitions(parts, part_of)
 
 
