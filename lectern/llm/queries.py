@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, chosen_path, context_tree, fill_middle, fuzzy_lines, merkle, mixing, packing, quality, repeats, spotsigs
+from lectern.llm import chat, chosen_path, context_tree, fill_middle, fuzzy_lines, merkle, mixing, packing, quality, repeats, spotsigs, vp_simhash
 from lectern.llm.shared import read
 
 QUERIES: dict = {}
@@ -152,6 +152,11 @@ def op11(spark, sf):
     return fill_middle.digests(read(spark, sf, "documents"))
 
 
+@query("op12_vp_simhash")
+def op12(spark, sf):
+    return vp_simhash.components(read(spark, sf, "documents"))
+
+
 #: CRC-32 by its bits, the trees level by level, then each leaf's way up.
 OP13_SQL = r"""
 WITH RECURSIVE k AS (
