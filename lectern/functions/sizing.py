@@ -13,6 +13,8 @@ BROADCAST_ROWS = 200_000
 # Keys that are treated as hot in ``join_skewed``; any other key owns at most total / HOT_KEYS rows.
 HOT_KEYS = 1000
 SALTS = 256
+# A core's share of a table that is worth moving to it.
+SPLIT_BYTES = 1 << 20
 
 
 def fits(df: DataFrame, rows: int) -> bool:
@@ -25,6 +27,13 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, rows) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out anew where a scan gives fewer splits than cores though it has some bytes for each of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n_bytes = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if n_bytes >= cores * SPLIT_BYTES and df.rdd.getNumPartitions() < cores else df
+
+
 def by_slices(table: DataFrame, key: str, rows: int, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run ``run`` over hash slices of ``table`` of about ``rows`` rows and union the results.
 

@@ -1,5 +1,9 @@
 """Keyword index and BM25 retrieval for a whole table of queries.
 
+The index holds, per term, blocks of postings in the order of their impact (what a posting adds to a score, before the term's weight). It is
+partitioned by term bucket, so that queries read the buckets of their terms only, and blocks carry their highest impact, so that a block is
+left out where no query could gain a place in its top k from it. Terms with many postings are cut into shards by chunk, each in its own order.
+
 Retrieval keeps matched postings of one chunk in one task (hash partitioned by ``chunk_id``) and joins the
 broadcast query terms there, so a (query, chunk) score is finished where it is computed and each task sends
 on at most k rows per query. The pairs that share a term are never shuffled, however common the term is.
@@ -14,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.functions.sizing import BROADCAST_ROWS, by_slices, fits
+from lectern.functions.sizing import BROADCAST_ROWS, broadcast_if_small, by_slices, fits, join_null_safe
 from lectern.session import staged
 
 # The published BM25 constants of the keyword search server.
@@ -22,25 +26,60 @@ K1 = 1.2
 B = 0.75
 SCORE_DIGITS = 6
 
+BLOCK_POSTINGS = 128  # postings of a block
+SHARD_POSTINGS = 16_384  # postings of a shard of a term, about
+BUCKET_POSTINGS = 4_000_000  # postings of a bucket
+BUCKETS = (32, 4096)  # fewest and most buckets
+FILE_POSTINGS = 16_000_000  # postings of a file of a bucket that outgrows its size
+#: A lower bound of a query's k-th score is known for k up to these ranks.
+RANKS = (10, 100)
+#: Scores are rounded; bounds leave room for that.
+MARGIN = 1e-5
+
 
 @dataclass
 class KeywordIndex:
-    """Postings, document frequencies and corpus sizes; ``by`` names the columns that separate indexes."""
+    """Posting blocks, term and corpus statistics; ``by`` names the columns that separate indexes."""
 
-    postings: DataFrame  # *by, chunk_id, term, tf, dl
-    terms: DataFrame  # *by, term, df
-    stats: DataFrame  # *by, n_chunks, avg_dl
+    blocks: DataFrame  # *by, bucket, term, shard, max_impact, n, chunk_ids, tfs, dls
+    terms: DataFrame  # *by, bucket, term, df, top_1, top_10, top_100
+    stats: DataFrame  # *by, n_chunks, avg_dl, n_postings
     by: tuple[str, ...] = ()
+    n_buckets: int = BUCKETS[0]
+
+    @property
+    def postings(self) -> DataFrame:
+        return unpacked(self.blocks, self.by)
+
+
+def unpacked(blocks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (*by, chunk_id, term, tf, dl) per posting of the blocks."""
+    zipped = F.arrays_zip(F.col("chunk_ids").alias("chunk_id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))
+    return blocks.select(*by, "term", F.explode(zipped).alias("_p")).select(*by, F.col("_p.chunk_id").alias("chunk_id"), "term", F.col("_p.tf").alias("tf"), F.col("_p.dl").alias("dl"))
+
+
+def _counted(words: Column) -> Column:
+    """(term, tf) of each distinct word of a sorted array."""
+
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.get(t, i - 1) != F.get(t, i - 2)))
+        # Through a one-element array, so that the starts are found once.
+        return F.transform(
+            F.array(starts),
+            lambda s: F.transform(
+                s, lambda at, j: F.struct(F.element_at(t, at).alias("term"), (F.coalesce(F.get(s, j + 1), F.size(t) + 1) - at).cast("long").alias("tf"))
+            ),
+        )[0]
+
+    return F.transform(F.array(words), lambda t: F.when(F.size(t) > 0, F.struct(F.size(t).alias("dl"), runs(t).alias("terms"))))[0]
 
 
 def postings(chunks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row per chunk and term with the term's count and the chunk's length."""
-    # Moved once by chunk, while it is still plain text: counting per chunk then needs no further shuffle.
-    placed = chunks.select(*by, "chunk_id", "text").repartition("chunk_id")
-    cut = placed.select(*by, "chunk_id", T.tokens(F.col("text")).alias("_t"))
+    """One row per chunk and term with the term's count and the chunk's length; counted in the row, nothing is shuffled."""
+    cut = chunks.select(*by, "chunk_id", _counted(F.sort_array(T.tokens(F.col("text")))).alias("_c"))
     # explode_outer keeps the optimizer from running the tokenizer again as a pushed filter.
-    words = cut.select(*by, "chunk_id", F.size("_t").alias("dl"), F.explode_outer("_t").alias("term"))
-    return words.where(F.col("term").isNotNull()).groupBy(*by, "chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
+    rows = cut.select(*by, "chunk_id", F.col("_c.dl").alias("dl"), F.explode_outer("_c.terms").alias("_t"))
+    return rows.where(F.col("_t").isNotNull()).select(*by, "chunk_id", F.col("_t.term").alias("term"), "dl", F.col("_t.tf").alias("tf"))
 
 
 def term_stats(posted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -48,30 +87,91 @@ def term_stats(posted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return posted.groupBy(*by, "term").agg(F.count("*").alias("df"))
 
 
-def corpus_stats(posted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Number of non-empty chunks and their mean length."""
-    lengths = posted.groupBy(*by, "chunk_id").agg(F.max("dl").alias("dl"))
-    return lengths.groupBy(*by).agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avg_dl"))
+def corpus_stats(chunks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Number of chunks that have words, their mean length, and how many postings they give."""
+    sizes = F.transform(F.array(T.tokens(F.col("text"))), lambda t: F.struct(F.size(t).alias("dl"), F.size(F.array_distinct(t)).alias("n")))
+    # Through explode_outer, for the reason given in ``postings``.
+    sized = chunks.select(*by, F.explode_outer(sizes).alias("_s")).where(F.col("_s.dl") > 0)
+    return sized.groupBy(*by).agg(F.count("*").alias("n_chunks"), F.avg("_s.dl").alias("avg_dl"), F.sum("_s.n").alias("n_postings"))
+
+
+def impact(k1: float = K1, b: float = B) -> Column:
+    """What a posting adds to a score for a term of weight one."""
+    return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
+
+
+def _bucket(n_buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(n_buckets)).cast("int")
+
+
+def posting_blocks(posted: DataFrame, stats: DataFrame, by: Sequence[str], n_buckets: int, files: int = 1) -> DataFrame:
+    """Blocks of postings, highest impacts first within each shard of a term; one exchange, by bucket and file."""
+    by = list(by)
+    sized = posted.withColumn("_shards", F.lit(1))
+    if stats.where(F.col("n_chunks") > SHARD_POSTINGS).limit(1).count():
+        posted = staged(posted, "postings")
+        hot = term_stats(posted, by).where(F.col("df") > SHARD_POSTINGS).select(*by, "term", F.ceil(F.col("df") / SHARD_POSTINGS).alias("_shards"))
+        # At most one term in SHARD_POSTINGS postings is hot.
+        sized = join_null_safe(posted, broadcast_if_small(staged(hot, "hot-terms")), [*by, "term"], "left")
+    means = stats.select(*by, "avg_dl")
+    sized = join_null_safe(sized, broadcast_if_small(means), by) if by else sized.withColumn("avg_dl", means.scalar())
+    shard = F.pmod(F.xxhash64("chunk_id"), F.coalesce("_shards", F.lit(1))).cast("int")
+    rows = sized.select(*by, _bucket(n_buckets).alias("bucket"), "term", shard.alias("shard"), impact().alias("impact"), "chunk_id", "tf", "dl")
+    rows = rows.withColumn("_file", F.pmod(F.xxhash64(*by, "term", "shard"), F.lit(files)).cast("int"))
+    placed = rows.repartition(n_buckets * files, "bucket", "_file") if files > 1 else rows.repartition("bucket", "_file")
+    run = F.sort_array(F.collect_list(F.struct("impact", "chunk_id", "tf", "dl")), asc=False)
+    runs = placed.groupBy(*by, "bucket", "_file", "term", "shard").agg(run.alias("_run"))
+    slices = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_run") - 1) / BLOCK_POSTINGS).cast("int")), lambda i: F.slice("_run", i * BLOCK_POSTINGS + 1, F.lit(BLOCK_POSTINGS))
+    )
+    at_rank = {f"top_{r}": F.get("_run", F.lit(r - 1))["impact"] for r in RANKS}
+    cut = runs.select(*by, "bucket", "term", "shard", *[c.alias(n) for n, c in at_rank.items()], F.explode(slices).alias("_b"))
+    return cut.select(
+        *by, "bucket", "term", "shard", F.col("_b")[0]["impact"].alias("max_impact"), *at_rank, F.size("_b").cast("long").alias("n"),
+        F.col("_b.chunk_id").alias("chunk_ids"), F.col("_b.tf").alias("tfs"), F.col("_b.dl").alias("dls"),
+    )
+
+
+def term_table(blocks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per term its chunks, its highest impact, and an impact that at least so many postings reach."""
+    tops = [F.max("max_impact").alias("top_1"), *[F.max(f"top_{r}").alias(f"top_{r}") for r in RANKS]]
+    return blocks.groupBy(*by, "bucket", "term").agg(F.sum("n").alias("df"), *tops)
 
 
 def index_of(chunks: DataFrame, by: Sequence[str] = ()) -> KeywordIndex:
-    """An index that is recomputed wherever it is used; see ``write_index`` for the stored form."""
-    posted = postings(chunks, by)
-    return KeywordIndex(posted, term_stats(posted, by), corpus_stats(posted, by), tuple(by))
+    """An index whose tables are recomputed wherever they are used; see ``write_index`` for the stored form."""
+    stats = corpus_stats(chunks, by)
+    blocks = posting_blocks(postings(chunks, by), stats, by, BUCKETS[0])
+    return KeywordIndex(blocks, term_table(blocks, by), stats, tuple(by))
 
 
 def write_index(chunks: DataFrame, path: str, by: Sequence[str] = ()) -> KeywordIndex:
-    """Tokenize once and store postings and both statistics below ``path``."""
-    spark = chunks.sparkSession
-    postings(chunks, by).write.mode("overwrite").parquet(f"{path}/postings")
-    posted = spark.read.parquet(f"{path}/postings")
-    term_stats(posted, by).write.mode("overwrite").parquet(f"{path}/terms")
-    corpus_stats(posted, by).write.mode("overwrite").parquet(f"{path}/stats")
+    """Store blocks and terms by bucket, and the corpus statistics, below ``path``."""
+    spark, by = chunks.sparkSession, list(by)
+    corpus_stats(chunks, by).write.mode("overwrite").parquet(f"{path}/stats")
+    stats = spark.read.parquet(f"{path}/stats")
+    n = _n_postings(stats)
+    n_buckets = _n_buckets(n)
+    blocks = posting_blocks(postings(chunks, by), stats, by, n_buckets, max(1, -(-n // n_buckets // FILE_POSTINGS)))
+    ordered = blocks.sortWithinPartitions("bucket", *by, "term", "shard", F.desc("max_impact"))
+    ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    stored = spark.read.parquet(f"{path}/blocks")
+    terms = term_table(stored.repartition("bucket"), by)
+    terms.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     return read_index(spark, path, by)
 
 
 def read_index(spark: SparkSession, path: str, by: Sequence[str] = ()) -> KeywordIndex:
-    return KeywordIndex(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")], tuple(by))
+    blocks, terms, stats = [spark.read.parquet(f"{path}/{t}") for t in ("blocks", "terms", "stats")]
+    return KeywordIndex(blocks, terms, stats, tuple(by), _n_buckets(_n_postings(stats)))
+
+
+def _n_postings(stats: DataFrame) -> int:
+    return stats.agg(F.sum("n_postings")).first()[0] or 0
+
+
+def _n_buckets(n_postings: int) -> int:
+    return min(max(BUCKETS[0], -(-n_postings // BUCKET_POSTINGS)), BUCKETS[1])
 
 
 def query_terms(queries: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -88,16 +188,16 @@ def rank_by_query(scored: DataFrame, k: int, within: Sequence[str] = (), order:
 
 
 def score_by_terms(
-    matched: DataFrame, weights: DataFrame, on: Sequence[str], value: Sequence[Column], finish=lambda df: df
+    matched: DataFrame, weights: DataFrame, on: Sequence[str], value: Sequence[Column], finish=lambda df: df, stored: bool = False
 ) -> DataFrame:
     """Aggregate per (query, chunk) over shared terms without shuffling the pairs.
 
     ``matched`` rows are hash partitioned by chunk, ``weights`` (query_id, term, ...) is broadcast in slices
-    of bounded size; ``finish`` ranks one slice.
+    of bounded size; ``finish`` ranks one slice. ``stored`` weights are not written again.
     """
     placed = matched.repartition("chunk_id")
     # Small, but costly to derive: stored once, then counted, sliced and broadcast from there.
-    weights = staged(weights, "weights")
+    weights = weights if stored else staged(weights, "weights")
 
     def one(part: DataFrame) -> DataFrame:
         pairs = placed.join(F.broadcast(part), list(on))
@@ -107,36 +207,62 @@ def score_by_terms(
     return by_slices(weights, "query_id", BROADCAST_ROWS, one)
 
 
-def bm25_topk(queries: DataFrame, index: KeywordIndex, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """Any-term BM25 top k: (query_id, *by, chunk_id, score, rank), ranked within each index of ``by``.
+def query_weights(queries: DataFrame, index: KeywordIndex, k: int = 10, bounded: bool = True) -> DataFrame:
+    """(query_id, *by, bucket, term, w, avg_dl, least_impact), stored: a query's terms that the index knows.
 
-    Where ``queries`` itself carries the ``by`` columns, each query only searches its own index.
+    Postings of less impact than ``least_impact`` cannot bring a chunk into the query's first k: at least k chunks reach the k-th impact of
+    one of the query's terms alone, and such a posting stays below that with the highest impacts of all the other terms added.
     """
     by = list(index.by)
     own = [c for c in by if c in queries.columns]
-    terms = query_terms(queries, own)
+    terms = staged(query_terms(queries, own).withColumn("bucket", _bucket(index.n_buckets)), "terms")
     n = F.col("n_chunks")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = index.terms.where(F.col("bucket").isin(_wanted(terms)))
+    small = fits(terms, BROADCAST_ROWS)
+    found = known.join(F.broadcast(terms) if small else terms, ["bucket", "term", *own])
     if by:
-        known = index.terms.join(index.stats, by)
+        found = found.join(broadcast_if_small(index.stats), by)
     else:
-        known = index.terms.withColumn("n_chunks", index.stats.select("n_chunks").scalar()).withColumn(
-            "avg_dl", index.stats.select("avg_dl").scalar()
-        )
-    wanted = terms.select("term").distinct()
-    small = fits(wanted, BROADCAST_ROWS)
-    wanted = F.broadcast(wanted) if small else wanted
-    weights = (
-        known.join(wanted, "term", "left_semi")
-        .join(terms, ["term", *own])
-        .select("query_id", *by, "term", (F.col("qtf") * idf).alias("w"), "avg_dl")
-    )
-    hit = index.postings.join(wanted, "term", "left_semi")
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    score = F.round(F.sum(F.col("w") * part), SCORE_DIGITS).alias("score")
+        found = found.withColumn("n_chunks", index.stats.select("n_chunks").scalar()).withColumn("avg_dl", index.stats.select("avg_dl").scalar())
+    found = found.withColumn("w", F.col("qtf") * idf)
+    rank = next((r for r in RANKS if k <= r), None) if bounded else None
+    one_query = Window.partitionBy("query_id", *by)
+    floor = F.coalesce(F.max(F.col("w") * F.col(f"top_{rank}")).over(one_query), F.lit(0.0)) if rank else F.lit(0.0)
+    most = F.sum(F.col("w") * F.col("top_1")).over(one_query) - F.col("w") * F.col("top_1")
+    found = found.select("query_id", *by, "bucket", "term", "w", "avg_dl", floor.alias("_floor"), most.alias("_others"))
+    least = (F.col("_floor") - MARGIN - F.col("_others")) / F.col("w")
+    return staged(found.withColumn("least_impact", least).drop("_floor", "_others"), "weights")
+
+
+def _wanted(weights: DataFrame) -> list[int]:
+    """The term buckets that occur; there are at most as many as the index has."""
+    return sorted(r[0] for r in weights.select("bucket").distinct().collect())
+
+
+def wanted_blocks(weights: DataFrame, index: KeywordIndex) -> DataFrame:
+    """The blocks of the index that some query needs, from the files of the queries' buckets."""
+    by = list(index.by)
+    least = weights.groupBy(*by, "bucket", "term").agg(F.min("least_impact").alias("least_impact"))
+    least = F.broadcast(least) if fits(least, BROADCAST_ROWS) else least
+    blocks = index.blocks.where(F.col("bucket").isin(_wanted(weights)))
+    return blocks.join(least, ["bucket", "term", *by]).where(F.col("max_impact") >= F.col("least_impact"))
+
+
+def bm25_topk(queries: DataFrame, index: KeywordIndex, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """Any-term BM25 top k: (query_id, *by, chunk_id, score, rank), ranked within each index of ``by``.
+
+    Where ``queries`` itself carries the ``by`` columns, each query only searches its own index. Blocks are passed over by their highest
+    impact where ``k1`` and ``b`` are those that the index was ordered by.
+    """
+    by = list(index.by)
+    weights = query_weights(queries, index, k, (k1, b) == (K1, B))
+    hit = unpacked(wanted_blocks(weights, index), by)
+    score = F.round(F.sum(F.col("w") * impact(k1, b)), SCORE_DIGITS).alias("score")
     # Queries that name their own index are ranked per query, others per query and index.
-    within = [c for c in by if c not in own]
-    return score_by_terms(hit, weights, ["term", *by], [score], lambda df: rank_by_query(df, k, within))
+    within = [c for c in by if c not in queries.columns]
+    needed = weights.select("query_id", *by, "term", "w", "avg_dl")
+    return score_by_terms(hit, needed, ["term", *by], [score], lambda df: rank_by_query(df, k, within), stored=True)
 
 
 def mine_terms(chunks: DataFrame, position: str, batch: int = 10, longest: int = 2) -> DataFrame:

@@ -12,12 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.sizing import spread
 from lectern.operators.keyword import KeywordIndex, read_index, write_index
 from lectern.session import path_exists, work_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
-INDEX_LAYOUT = "1"  # part of the name of stored indexes; raised when their content changes
+INDEX_LAYOUT = "4"  # part of the name of stored indexes; raised when their content changes
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -31,13 +32,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as stored. Documents that arrive in fewer splits than there are cores are spread first:
-    a small file in one row group would otherwise be cut and tokenized by one task."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name == "documents" and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, "doc_id")
-    return df
+    """A table as stored; one that comes in few large splits is spread over the cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

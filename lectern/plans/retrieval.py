@@ -34,7 +34,7 @@ def _bm25(spark, sf, k=10):
 )
 def build_postings(spark, sf):
     index = corpus_index(spark, sf)
-    full = join_skewed(index.postings, index.terms, "term", "df", F.col("chunk_id"))
+    full = join_skewed(index.postings, index.terms.select("term", "df"), "term", "df", F.col("chunk_id"))
     return full.select("chunk_id", "term", "tf", F.col("dl").cast("bigint").alias("dl"), "df")
 
 

@@ -67,6 +67,58 @@ def test_query_slices_change_nothing(spark, monkeypatch):
     assert all(whole[(q, 1)][0] == q for q in range(20))
 
 
+def small_index(spark, path, monkeypatch, n=3000):
+    """Every chunk has ``common``; one in seven has ``some``; each a word of its own; impacts differ by length and count."""
+    monkeypatch.setattr(keyword, "BLOCK_POSTINGS", 8)
+    monkeypatch.setattr(keyword, "SHARD_POSTINGS", 500)
+    text = [" ".join(["common"] * (1 + i % 5) + ["some"] * (i % 7 == 0) * (1 + i % 3) + [f"extra{i}"] + ["filler"] * (i % 11)) for i in range(n)]
+    chunks = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "chunk_id long, text string")
+    return chunks, keyword.write_index(chunks, str(path / "index"))
+
+
+def test_index_reads_the_buckets_of_the_query_terms(spark, tmp_path, monkeypatch, capsys):
+    chunks, index = small_index(spark, tmp_path, monkeypatch)
+    queries = spark.createDataFrame([(1, "common extra77"), (2, "some extra5")], "query_id long, text string")
+    weights = keyword.query_weights(queries, index)
+    wanted = keyword.wanted_blocks(weights, index)
+    files = lambda df: df.select("_metadata.file_path").distinct().count()
+    assert files(index.blocks) > 30
+    assert files(index.blocks.where(F.col("bucket").isin(keyword._wanted(weights)))) <= 4
+    keyword.bm25_topk(queries, index).explain("formatted")
+    assert "PartitionFilters: [isnotnull(bucket" in (plan := capsys.readouterr().out) or "bucket#" in plan.split("PartitionFilters")[1][:200]
+    assert wanted.count() > 0
+
+
+def test_blocks_below_the_bound_are_passed_over(spark, tmp_path, monkeypatch):
+    chunks, index = small_index(spark, tmp_path, monkeypatch)
+    queries = spark.createDataFrame([(1, "common"), (2, "some"), (3, "common some"), (4, "extra9 filler"), (5, "nowhere")], "query_id long, text string")
+    for k in (1, 10, 37, 100, 400):
+        got = {(r.query_id, r.rank): (r.chunk_id, r.score) for r in keyword.bm25_topk(queries, index, k).collect()}
+        whole = keyword.query_weights(queries, index, k, bounded=False)
+        assert keyword.wanted_blocks(whole, index).agg(F.sum("n")).first()[0] > 5000
+        monkeypatch.setattr(keyword, "query_weights", lambda q, i, k=10, bounded=True, real=keyword.query_weights: real(q, i, k, False))
+        assert got == {(r.query_id, r.rank): (r.chunk_id, r.score) for r in keyword.bm25_topk(queries, index, k).collect()}
+        monkeypatch.undo()
+    one = keyword.query_weights(queries.where("query_id < 3"), index, 10)
+    assert keyword.wanted_blocks(one, index).agg(F.sum("n")).first()[0] < 1500
+
+
+def test_shards_of_a_frequent_term_are_bounded(spark, tmp_path, monkeypatch):
+    chunks, index = small_index(spark, tmp_path, monkeypatch)
+    sizes = {r.shard: r.n for r in index.blocks.where("term = 'common'").groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    assert len(sizes) == 6 and max(sizes.values()) < 700 and sum(sizes.values()) == 3000
+    assert index.blocks.agg(F.max("n")).first()[0] == 8
+    assert index.terms.where("term = 'common'").first().df == 3000
+
+
+def test_postings_are_counted_in_the_row(spark, capsys):
+    chunks = spark.createDataFrame([(1, "b a b"), (2, None), (3, ""), (4, "word word Word x")], "chunk_id long, text string")
+    posted = keyword.postings(chunks)
+    assert sorted(tuple(r) for r in posted.select("chunk_id", "term", "tf", "dl").collect()) == [(4, "word", 3, 3)]
+    posted.explain()
+    assert "Exchange" not in capsys.readouterr().out
+
+
 def test_skewed_join_equals_join(spark, monkeypatch):
     monkeypatch.setattr(sizing, "HOT_KEYS", 2)
     facts = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"), "id")
