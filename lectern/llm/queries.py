@@ -37,9 +37,9 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), f AS (
-  SELECT *, length(text) + len(regexp_extract_all(text, '\|\[SYS\]|\[/SYS\]|\[INST\]|\[/INST\]|<s>|</s>|\[ROLE\]|\[TEXT\]|\[/ROLE\]'))
+  SELECT *, length(text) + len(regexp_extract_all(text, '\\|\[SYS\]|\[/SYS\]|\[INST\]|\[/INST\]|<s>|</s>|\[ROLE\]|\[TEXT\]|\[/ROLE\]'))
     + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9
-      ELSE 23 + length(role) + len(regexp_extract_all(role, '\|\[SYS\]|\[/SYS\]|\[INST\]|\[/INST\]|<s>|</s>|\[ROLE\]|\[TEXT\]|\[/ROLE\]')) END AS formatted,
+      ELSE 23 + length(role) + len(regexp_extract_all(role, '\\|\[SYS\]|\[/SYS\]|\[INST\]|\[/INST\]|<s>|</s>|\[ROLE\]|\[TEXT\]|\[/ROLE\]')) END AS formatted,
     lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
     lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS after
   FROM c

@@ -16,6 +16,15 @@ def test_query_equals_sql(spark, sf):
     assert compare(spark, sf, entry.queries()["op2_chat_format"], entry.oracle_sql()["op2_chat_format"], connection(sf)) == ""
 
 
+def test_query_equals_sql_on_control_strings(spark, tmp_path):
+    said = ["a\\b", "x [SYS] y", "|[SYS]", "</s>[/INST]", "\\", "[ROLE]x[TEXT]", ""]
+    rows = [(i // 2, i % 2, ("user", "assistant")[i % 2], t) for i, t in enumerate(said)] + [(90, 0, "to\\ol [SYS]", "a")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = connection("/nowhere")
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert compare(spark, str(tmp_path), entry.queries()["op2_chat_format"], entry.oracle_sql()["op2_chat_format"], con) == ""
+
+
 def test_escapes_go_back():
     marks, rng = chat.Template(chat.TEMPLATE), random.Random(3)
     parts = [*marks.controls, "\\", "[", "<", "/s>", "INST]", "a", "\n", "é"]
