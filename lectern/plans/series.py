@@ -134,19 +134,23 @@ def _event_stream(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-def _drain(spark, df, name):
-    """Run a stream to its end into a Parquet folder and read that."""
+def _drain(spark, events, name, shape):
+    """Run a stream to its end, close it, and read its results."""
     path = work_path(spark, name)
-    q = df.writeStream.format("parquet").option("checkpointLocation", f"{path}-checkpoint").outputMode("append").trigger(availableNow=True).start(path)
-    q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(path)
+    records.open_stream(spark, f"{path}-end", "ts")
+    for last in (False, True):
+        if last:
+            records.close_stream(spark, f"{path}-end", "ts")
+        out = shape(records.closing(events, "ts", f"{path}-end"))
+        records.write_outputs(out, path, f"{path}-checkpoint").awaitTermination()
+    return records.read_outputs(spark, out, path)[0]
 
 
 @query("latest_task_state_stream", TASK_SQL)
 def latest_task_state_stream(spark, sf):
     records.use_rocksdb(spark)
-    out = records.stream_task_state(_updates(_event_stream(spark, sf)), "user_id", "ts", "at", ["status", "percent"])
-    rows = _drain(spark, out, "tasks")
+    shape = lambda up: records.stream_task_state(up, "user_id", "ts", "at", ["status", "percent"])
+    rows = _drain(spark, _updates(_event_stream(spark, sf)), "tasks", shape)
     newest = rows.groupBy("user_id", "opened").agg(F.max_by(F.struct("n_updates", "status", "percent"), "n_updates").alias("r"))
     return newest.select("user_id", "opened", "r.n_updates", "r.status", "r.percent")
 
@@ -154,6 +158,5 @@ def latest_task_state_stream(spark, sf):
 @query("repeat_query_dedup_stream", ASK_SQL)
 def repeat_query_dedup_stream(spark, sf):
     records.use_rocksdb(spark)
-    asked = _asks(_event_stream(spark, sf))
-    out = records.stream_repeat_dedup(asked, ["user_id", "event_type"], "ts", "at", ["event_id"], 24, "lost")
-    return _drain(spark, out, "asks").select("event_id", "answered_from_store")
+    shape = lambda asked: records.stream_repeat_dedup(asked, ["user_id", "event_type"], "ts", "at", ["event_id"], 24, "lost")
+    return _drain(spark, _asks(_event_stream(spark, sf)), "asks", shape).select("event_id", "answered_from_store")

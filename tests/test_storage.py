@@ -1,5 +1,7 @@
 """Collections and streams: repeated writes change nothing, streams equal batches."""
 
+import os
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -127,35 +129,79 @@ def test_repeat_boundary(spark):
     assert [r.answered_from_store for r in out.orderBy("id").collect()] == [False, False, True, True, False, True, False]
 
 
-def drain(spark, df, tmp_path, name):
-    q = df.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start(str(tmp_path / name))
-    q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(str(tmp_path / name))
+def drain(spark, stream, shape, tmp_path, name):
+    """(results, late rows) of a stream that is run to its end and closed."""
+    path, end = str(tmp_path / name), str(tmp_path / f"{name}-end")
+    records.open_stream(spark, end, "ts")
+    for last in (False, True):
+        if last:
+            records.close_stream(spark, end, "ts")
+        out = shape(records.closing(stream, "ts", end))
+        records.write_outputs(out, path, f"{path}-cp").awaitTermination()
+    return records.read_outputs(spark, out, path)
 
 
-def test_streams_equal_batches_over_several_micro_batches(spark, tmp_path):
-    records.use_rocksdb(spark)
-    schema = "id long, question string, at long, lost boolean"
-    folder = tmp_path / "asks"
+def timed(df):
+    return df.withColumn("ts", F.timestamp_micros("at"))
+
+
+def ask_files(spark, folder, parts):
+    """The asks of each part as a file, one micro-batch each; (stream, all rows)."""
     folder.mkdir()
-    for n in range(3):
-        part = [(i, f"q{i % 2}", 10**15 + i * 17 * 60 * 1_000_000, i % 5 == 0) for i in range(n * 20, n * 20 + 20)]
+    schema = "id long, question string, at long, lost boolean"
+    for n, part in enumerate(parts):
         pd.DataFrame(part, columns=["id", "question", "at", "lost"]).to_parquet(folder / f"{n}.parquet")
-    timed = lambda df: df.withColumn("ts", F.timestamp_micros("at"))
-    stream = timed(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder)))
-    whole = timed(spark.read.schema(schema).parquet(str(folder)))
+        os.utime(folder / f"{n}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+    return timed(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))), timed(spark.read.schema(schema).parquet(str(folder)))
+
+
+def asks_shape(df):
+    return records.stream_repeat_dedup(df, ["question"], "ts", "at", ["id"], fallback="lost", delay="5 hours")
+
+
+def tasks_shape(df):
+    status = F.when(F.col("id") % 3 != 0, F.concat(F.lit("s"), F.col("id").cast("string"))).alias("status")
+    return records.stream_task_state(df.select("question", "ts", "at", status), "question", "ts", "at", ["status"], hours=2, delay="5 hours")
+
+
+def task_rows(batch):
+    return sorted((r.question, r.opened, r.status, r.n_updates) for r in batch.collect())
+
+
+def test_shuffled_micro_batches_equal_the_batch_form(spark, tmp_path):
+    records.use_rocksdb(spark)
+    rows = [(i, f"q{i % 2}", 10**15 + i * 17 * 60 * 1_000_000, i % 5 == 0) for i in range(60)]
+    # Neighbouring batches overlap by four hours: most rows arrive behind newer ones, none behind the watermark.
+    mixed = sorted(rows, key=lambda r: r[0] // 15 * 15 + (r[0] * 7) % 23)
+    assert mixed != rows
+    parts = [mixed[:20], mixed[20:40], mixed[40:]]
+    stream, whole = ask_files(spark, tmp_path / "in", parts)
     want = {r.id: r.answered_from_store for r in records.repeat_query_dedup(whole, ["question"], "at", fallback="lost").collect()}
-    got = drain(spark, records.stream_repeat_dedup(stream, ["question"], "ts", "at", ["id"], fallback="lost"), tmp_path, "a")
-    assert {r.id: r.answered_from_store for r in got.collect()} == want and len(want) == 60
-
-    status = F.when(F.col("id") % 3 != 0, F.concat(F.lit("s"), F.col("id").cast("string")))
-    shaped = [df.select("question", "ts", "at", status.alias("status")) for df in (whole, stream)]
-    batch = records.latest_task_state(shaped[0], "question", "at", ["status"], hours=2)
-    rows = drain(spark, records.stream_task_state(shaped[1], "question", "ts", "at", ["status"], hours=2), tmp_path, "b")
-    newest = rows.groupBy("question", "opened").agg(F.max_by(F.struct("n_updates", "status"), "n_updates").alias("r"))
-    assert sorted((r.question, r.opened, r.r.status, r.r.n_updates) for r in newest.collect()) == sorted(
-        (r.question, r.opened, r.status, r.n_updates) for r in batch.collect()
-    )
+    got, late = drain(spark, stream, asks_shape, tmp_path, "a")
+    assert {r.id: r.answered_from_store for r in got.collect()} == want and len(want) == 60 and late.count() == 0
+
+    status = F.when(F.col("id") % 3 != 0, F.concat(F.lit("s"), F.col("id").cast("string"))).alias("status")
+    batch = records.latest_task_state(whole.select("question", "at", status), "question", "at", ["status"], hours=2)
+    got, late = drain(spark, stream, tasks_shape, tmp_path, "b")
+    newest = got.groupBy("question", "opened").agg(F.max_by(F.struct("n_updates", "status"), "n_updates").alias("r")).select("question", "opened", "r.*")
+    assert task_rows(newest) == task_rows(batch) and late.count() == 0
+
+
+def test_late_rows_go_to_the_side_output(spark, tmp_path):
+    records.use_rocksdb(spark)
+    t0, hour = 10**15, 3600 * 1_000_000
+    first = [(i, "q", t0 + i * hour, False) for i in range(20)]
+    second = [(100, "q", t0 + 2 * hour + 5, False), (101, "q", t0 + 3 * hour, False), (20, "q", t0 + 20 * hour, False), (21, "q", t0 + 17 * hour + 9, False)]
+    stream, whole = ask_files(spark, tmp_path / "in", [first, second])
+    got, late = drain(spark, stream, asks_shape, tmp_path, "a")
+    assert sorted((r.id, r.late_at) for r in late.collect()) == [(100, second[0][2]), (101, second[1][2])]
+    on_time = whole.where("id < 100")
+    want = {r.id: r.answered_from_store for r in records.repeat_query_dedup(on_time, ["question"], "at", fallback="lost").collect()}
+    assert {r.id: r.answered_from_store for r in got.collect()} == want and len(want) == 22
+    assert want[21] and not want[20]
+    assert late.where("answered_from_store IS NOT NULL").count() == 0
+    got, late = drain(spark, stream, tasks_shape, tmp_path, "b")
+    assert late.count() == 2 and got.agg(F.sum("n_updates")).first()[0] > 0
 
 
 def test_hooks(spark):
