@@ -10,6 +10,10 @@ known, but the first row is only known once all earlier runs are. The fold is ma
 
 So no task ever holds more than three blocks of a key, and only the transitions of a key meet in one task.
 Keys that fit one block, usually nearly all, go straight to step 3. Python sees bundles of many blocks at once.
+
+A run may have any length: keys with a run that leaves the rows in sight are done again with blocks eight times as long. Such a run
+is put together to one row in the end, so the narrow columns of its block are not what limits it. Rules of time spans make no such row: keys
+that are dense in time take another way there (``_dense_spans``), whose groups are bounded whatever the density.
 """
 
 from __future__ import annotations
@@ -22,8 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.sizing import join_null_safe, join_skewed
-from lectern.operators.ordered import BLOCK_ROWS, block_of, positions
+from lectern.functions.sizing import broadcast_if_small, join_null_safe, join_skewed
+from lectern.operators.ordered import BLOCK_ROWS, block_of, carry_last, positions
 from lectern.session import staged
 
 NONE = -(2**63)  # stands for "no row" in bigint columns of the helper tables
@@ -34,6 +38,9 @@ Columns = dict[str, np.ndarray]
 Jump = Callable[[Columns], tuple[np.ndarray, np.ndarray]]
 
 BUNDLE_ROWS = 50_000
+LONGER = 8  # how much longer the blocks of the next try are
+DENSE_ROWS = 100_000  # rows of a key in a stretch of two spans beyond which its spans are found by doubling
+RANGE_ROWS = 50_000  # rows of a range partition there
 
 
 def _next_forced(forced: np.ndarray) -> np.ndarray:
@@ -90,31 +97,85 @@ def mark_runs(
 ) -> DataFrame:
     """Add ``pos``, the dense position of a row in its key, and ``run_start``, the position its run begins at.
 
-    ``order`` is a bigint column that is unique in the key; ``features`` are the values the jump reads. No run
-    may be longer than ``block_rows`` rows; a chain that needs more raises instead of guessing. Where ``order``
+    ``order`` is a bigint column that is unique in the key; ``features`` are the values the jump reads. Where ``order``
     has wide gaps, ``order_span`` is the stretch of it that holds about ``block_rows`` rows.
     """
     slim = staged(df.select(*keys, order, *[c.alias(n) for n, c in features.items()]), "runs")
     placed = staged(positions(slim, "pos", keys, [order], block_of(order, order_span or block_rows)), "runs")
-    marks = _marks(placed.drop(order), keys, "pos", block_of("pos", block_rows), jump)
+    marks = _marks_of_any_length(placed.drop(order), keys, jump, block_rows)
     named = join_null_safe(marks, placed.select(*keys, order, "pos"), [*keys, "pos"])
     # Stored, so that a caller who reads the result twice does not run the fold twice.
     return join_null_safe(df, staged(named, "runs"), [*keys, order])
 
 
+def _marks_of_any_length(placed: DataFrame, keys: Sequence[str], jump: Jump, block_rows: int) -> DataFrame:
+    marks, stuck = _marks(placed, keys, "pos", block_of("pos", block_rows), jump)
+    if stuck is None:
+        return marks
+    again = join_null_safe(placed, broadcast_if_small(stuck), list(keys))
+    return marks.unionByName(_marks_of_any_length(staged(again, "runs"), keys, jump, block_rows * LONGER))
+
+
 def mark_spans(df: DataFrame, keys: Sequence[str], at: str, span: int, unstored: Column | None = None) -> DataFrame:
     """Add ``run_start``: the time (bigint, unique in the key) at which the row's run of ``span`` began."""
+    keys = list(keys)
     flag = F.lit(False) if unstored is None else unstored
     slim = staged(df.select(*keys, at, flag.alias("_unstored")), "spans")
     # Keys with few rows are one block; the others are cut into stretches of two spans.
+    stretch = F.floor(F.col(at) / (2 * span))
     keyed = slim.withColumn("_key", F.struct(*keys))
-    counts = keyed.groupBy("_key").agg(F.count("*").alias("_rows"))
+    parts = keyed.groupBy("_key", stretch.alias("_s")).agg(F.count("*").alias("_rows"))
+    counts = staged(parts.groupBy("_key").agg(F.sum("_rows").alias("_rows"), F.max("_rows").alias("_densest")), "spans")
     sized = join_skewed(keyed, counts, "_key", "_rows", F.col(at)).drop("_key")
-    block = F.when(F.col("_rows") <= BLOCK_ROWS, F.lit(0)).otherwise(F.floor(F.col(at) / (2 * span)))
-    marks = _marks(sized, keys, at, block, elapsed(at, span, "_unstored"))
+    block = F.when(F.col("_rows") <= BLOCK_ROWS, F.lit(0)).otherwise(stretch)
+    sparse = F.col("_densest") <= DENSE_ROWS
+    marks, _ = _marks(sized.where(sparse).drop("_densest"), keys, at, block, elapsed(at, span, "_unstored"))
+    if counts.where(~sparse).limit(1).count():
+        marks = marks.unionByName(_dense_spans(sized.where(~sparse).drop("_densest", "_rows"), keys, at, span))
     return join_null_safe(df, staged(marks, "spans"), [*keys, at])
 
 
+def _ranged(df: DataFrame, n_rows: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add ``_part``, the number of a row's range partition along (keys, order); parts are about ``RANGE_ROWS`` long however rows lie."""
+    parts = max(1, -(-n_rows // RANGE_ROWS))
+    ranged = df.repartitionByRange(parts, *keys, *order)
+    return staged(ranged.withColumn("_part", F.spark_partition_id().cast("bigint")), "ranges")
+
+
+def _dense_spans(slim: DataFrame, keys: Sequence[str], at: str, span: int) -> DataFrame:
+    """(*keys, at, run_start) by pointer doubling; ``slim`` is (*keys, at, _unstored).
+
+    Each row gets the time at which the next run begins if one begins here: the first event a span later. What is reached from a key's first
+    event along 1, 2, 4, ... such steps are the starts; joins are by (keys, time), which is unique. Order matters in ranges of rows only.
+    """
+    keys = list(keys)
+    slim = staged(slim, "dense")
+    n_rows = slim.count()
+    ahead = F.when(F.col("_unstored"), F.col(at) + 1).otherwise(F.col(at) + span)
+    # Backwards in time: the last event seen by a probe is the first one at or after it; an event stands before a probe of its time.
+    events = slim.select(*keys, (-F.col(at)).alias("_back"), F.lit(0).alias("_kind"), F.col(at).alias("_event"), F.lit(None).cast("bigint").alias("_from"))
+    probes = slim.select(*keys, (-ahead).alias("_back"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_event"), F.col(at).alias("_from"))
+    both = _ranged(events.unionByName(probes), 2 * n_rows, keys, ["_back", "_kind", "_from"])
+    seen = carry_last(both, {"_next": F.col("_event")}, keys, ["_back", "_kind", "_from"], F.col("_part"))
+    steps = staged(seen.where("_kind = 1").select(*keys, F.col("_from").alias("_t"), "_next"), "dense-steps")
+    starts = staged(slim.groupBy(*keys).agg(F.min(at).alias("_t")), "dense-starts")
+    n_starts = starts.count()
+    while True:
+        # What is reached so far, and all that a step leads to from there.
+        onward = join_null_safe(starts, steps, [*keys, "_t"]).where(F.col("_next").isNotNull()).select(*keys, F.col("_next").alias("_t"))
+        starts = staged(starts.unionByName(onward).distinct(), "dense-starts")
+        found = starts.count()
+        if found == n_starts:
+            break
+        n_starts = found
+        # Steps twice as long.
+        behind = steps.select(*keys, F.col("_t").alias("_next"), F.col("_next").alias("_after"))
+        steps = staged(join_null_safe(steps.where(F.col("_next").isNotNull()), behind, [*keys, "_next"]).select(*keys, "_t", F.col("_after").alias("_next")), "dense-steps")
+    marked = starts.select(*keys, F.col("_t").alias(at), F.col("_t").alias("_start"))
+    placed = _ranged(join_null_safe(slim.select(*keys, at), marked, [*keys, at], "left"), n_rows, keys, [at])
+    return carry_last(placed, {"run_start": F.col("_start")}, keys, [at], F.col("_part")).select(*keys, at, "run_start")
+
+
 def _groups(pdf: pd.DataFrame, by: list[str], order: str) -> tuple[pd.DataFrame, np.ndarray]:
     """Rows sorted by group and order, and the bounds of the groups."""
     code = pdf.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
@@ -124,8 +185,11 @@ def _groups(pdf: pd.DataFrame, by: list[str], order: str) -> tuple[pd.DataFrame,
     return pdf.iloc[place].reset_index(drop=True), bounds
 
 
-def _marks(slim: DataFrame, keys: Sequence[str], order: str, block: Column, jump: Jump) -> DataFrame:
-    """(*keys, order, run_start) for a narrow stored table; ``block`` must not decrease along ``order``."""
+def _marks(slim: DataFrame, keys: Sequence[str], order: str, block: Column, jump: Jump) -> tuple[DataFrame, DataFrame | None]:
+    """(*keys, order, run_start) for a narrow stored table, and the keys left out, whose blocks are too short for a run.
+
+    ``block`` must not decrease along ``order``.
+    """
     keys = list(keys)
     slim = slim.withColumn("_blk", block)
     features = [c for c in slim.columns if c not in (*keys, "_blk")]
@@ -215,6 +279,7 @@ def _marks(slim: DataFrame, keys: Sequence[str], order: str, block: Column, jump
             T.StructField("_b", T.IntegerType()),
             T.StructField("_enter", T.LongType()),
             T.StructField("_open", T.LongType()),
+            T.StructField("_stuck", T.BooleanType()),
         ]
     )
 
@@ -223,7 +288,7 @@ def _marks(slim: DataFrame, keys: Sequence[str], order: str, block: Column, jump
         parts = []
         for _, one in pdf.groupby(keys, sort=False, dropna=False):
             table = dict(zip(one["enter"], zip(one["_b"], one["leave"], one["opened"], one["sure"])))
-            current, opened = one["enter"].iloc[0], NONE
+            current, opened, stuck = one["enter"].iloc[0], NONE, False
             found = []
             for b in one["_b"].unique():
                 inside = current != NONE and table[current][0] == b
@@ -231,17 +296,23 @@ def _marks(slim: DataFrame, keys: Sequence[str], order: str, block: Column, jump
                 if inside:
                     _, leave, last, sure = table[current]
                     if not sure:
-                        raise ValueError("a run is longer than a block; use larger blocks")
+                        stuck = True
+                        break
                     opened, current = last, leave
             part = pd.DataFrame(found, columns=["_b", "_enter", "_open"])
+            part["_stuck"] = stuck
             for k in keys:
                 part[k] = one[k].iloc[0]
             parts.append(part)
         return pd.concat(parts, ignore_index=True)[[f.name for f in entries_schema.fields]]
 
-    entries = in_bundles(steps, keys, walk, entries_schema)
     alone = blocks.where("_single").select(*keys, "_b", F.col("_lo").alias("_enter"), F.lit(NONE).alias("_open"))
-    entries = entries.unionByName(alone)
+    entries, stuck = alone, None
+    if blocks.where(~F.col("_single")).limit(1).count():
+        walked = staged(in_bundles(steps, keys, walk, entries_schema), "walks")
+        left_out = walked.where("_stuck").select(*keys).distinct()
+        stuck = left_out if left_out.limit(1).count() else None
+        entries = walked.where("NOT _stuck").drop("_stuck").unionByName(alone)
     marked_schema = T.StructType(key_fields + [slim.schema[order], T.StructField("run_start", T.LongType())])
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -265,4 +336,4 @@ def _marks(slim: DataFrame, keys: Sequence[str], order: str, block: Column, jump
         out["run_start"] = run
         return out
 
-    return in_bundles(join_null_safe(rows.drop("_after", "_single"), entries, [*keys, "_b"]), [*keys, "_b"], mark, marked_schema)
+    return in_bundles(join_null_safe(rows.drop("_after", "_single"), entries, [*keys, "_b"]), [*keys, "_b"], mark, marked_schema), stuck

@@ -15,28 +15,42 @@ from lectern.operators.chunking import join_ordered
 from lectern.operators.ordered import BLOCK_ROWS, block_of, neighbours
 
 def _continues(cols: runs.Columns) -> tuple[np.ndarray, np.ndarray]:
-    """For each block taken as the first of a merged table, the first block that is no part of it."""
-    page, width_of, row_width = cols["_page"], cols["_cols"], cols["_cols_rows"]
-    no_data, ruled, values, cont = (cols[c].astype(bool) for c in ("_no_data", "_has_rule", "_values", "_cont"))
+    """For each block taken as the first of a merged table, the first block that is no part of it.
+
+    What decides at block j is the state of the table so far: page of its first block, width, whether it has no data, its last number. Tables
+    begun at neighbouring blocks soon have equal states, and from an equal state they end at the same block; each state is gone through once.
+    """
+    page, width_of, row_width = (cols[c].tolist() for c in ("_page", "_cols", "_cols_rows"))
+    no_data, ruled, values, cont = (cols[c].astype(bool).tolist() for c in ("_no_data", "_has_rule", "_values", "_cont"))
     last_in, last_rows, first_no = (cols[c].astype(float) for c in ("_last_in", "_last_rows", "_first_no"))
-    n_rows = cols["_n_rows"]
+    has_last = (~np.isnan(last_rows)).tolist()
+    last_in, last_rows, first_no = (np.where(np.isnan(c), -np.inf, c).tolist() for c in (last_in, last_rows, np.where(np.isnan(first_no), np.inf, first_no)))
+    n_rows = cols["_n_rows"].tolist()
     n = len(page)
+    ends: dict[tuple, int] = {}
     nxt = np.empty(n, dtype=np.int64)
-    for i in range(n):
-        width, empty, last = width_of[i], no_data[i], last_in[i]
-        j = i + 1
+    for i in range(n - 1, -1, -1):
+        width, empty, last, rule = width_of[i], no_data[i], last_in[i], ruled[i]
+        j, passed = i + 1, []
         while j < n and abs(page[j] - page[i]) <= 1:
+            state = (j, page[i], width, empty, last, rule)
+            if state in ends:
+                j = ends[state]
+                break
+            passed.append(state)
             apart = abs(width - width_of[j])
             near = apart <= 1 and (cont[j] or empty or first_no[j] == last + 1)
             if not (near or (apart <= 5 and values[j])):
                 break
             # What the merged table looks like with the rows of block j below it.
             width = max(width, row_width[j])
-            if ruled[i]:
+            if rule:
                 empty = empty and n_rows[j] == 0
-                if not np.isnan(last_rows[j]):
+                if has_last[j]:
                     last = last_rows[j]
             j += 1
+        for state in passed:
+            ends[state] = j
         nxt[i] = j
     return nxt, nxt < n
 

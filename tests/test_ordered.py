@@ -1,12 +1,14 @@
 """Ordered helpers and runs against plain loops, with blocks far smaller than a key."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lectern.operators import runs
+from lectern.operators import runs, tables
 from lectern.operators.ordered import block_of, carry_last, neighbours, positions, running_sums
 
 
@@ -52,10 +54,102 @@ def test_constant_sizes_never_realign(spark):
     assert marked.where(F.col("run_start") != F.col("p") - F.col("p") % 3).count() == 0
 
 
-def test_too_long_run_is_refused(spark):
-    df = spark.range(500).select(F.lit("k").alias("k"), F.col("id").alias("p"), F.lit(0).alias("size"))
-    with pytest.raises(Exception, match="larger blocks"):
-        runs.mark_runs(df, ["k"], "p", runs.overflow("size", 30), {"size": F.col("size")}, 31).collect()
+def test_run_of_any_length(spark):
+    # Runs of 500 and of 301 rows in blocks of 31, beside keys that fit.
+    sizes = [("k", i, 0) for i in range(500)] + [(None, i, 7 if i == 300 else 0) for i in range(900)] + [("s", i, 30) for i in range(90)]
+    df = spark.createDataFrame(sizes, "k string, p long, size int")
+    want, acc, start, before = {}, 0, 0, object()
+    for k, p, size in sizes:
+        if k != before or acc + size > 6:
+            acc, start, before = 0, p, k
+        acc += size
+        want[k, p] = start
+    marked = runs.mark_runs(df, ["k"], "p", runs.overflow("size", 6), {"size": F.col("size")}, 31)
+    assert {(r.k, r.p): r.run_start for r in marked.collect()} == want
+
+
+def plain_tables(rows):
+    """First block of each merged table, by the rule of ``merge_tables``, one table after the other."""
+    starts, i = {}, 0
+    while i < len(rows):
+        width, empty, last, rule = rows[i]["_cols"], rows[i]["_no_data"], rows[i]["_last_in"], rows[i]["_has_rule"]
+        starts[i], j = i, i + 1
+        while j < len(rows) and abs(rows[j]["_page"] - rows[i]["_page"]) <= 1:
+            r = rows[j]
+            apart = abs(width - r["_cols"])
+            follows = last is not None and r["_first_no"] is not None and r["_first_no"] == last + 1
+            if not ((apart <= 1 and (r["_cont"] or empty or follows)) or (apart <= 5 and r["_values"])):
+                break
+            width = max(width, r["_cols_rows"])
+            if rule:
+                empty = empty and r["_n_rows"] == 0
+                last = r["_last_rows"] if r["_last_rows"] is not None else last
+            starts[j] = i
+            j += 1
+        i = j
+    return starts
+
+
+def as_columns(rows):
+    return {c: np.array([float("nan") if r[c] is None else r[c] for r in rows]) for c in rows[0]}
+
+
+def table_rows(n, seed):
+    rnd = random.Random(seed)
+    number = lambda p: rnd.randrange(9) if rnd.random() < p else None
+    coin = lambda p: rnd.random() < p
+    return [
+        {"_page": i // 7, "_cols": rnd.choice([2, 3, 3, 4, 9]), "_cols_rows": rnd.choice([2, 3, 4]), "_no_data": coin(0.3), "_has_rule": coin(0.7),
+         "_last_in": number(0.8), "_last_rows": number(0.5), "_first_no": number(0.8), "_n_rows": rnd.randrange(3), "_values": coin(0.2), "_cont": coin(0.4)}
+        for i in range(n)
+    ]
+
+
+def test_table_rule_equals_plain_fold():
+    for seed in range(60):
+        rows = table_rows(120, seed)
+        nxt, _ = tables._continues(as_columns(rows))
+        starts, at = {}, 0
+        while at < len(rows):
+            starts.update({j: at for j in range(at, int(nxt[at]))})
+            at = int(nxt[at])
+        assert starts == plain_tables(rows)
+
+
+def test_table_of_twenty_thousand_parts(spark):
+    n = 20_000
+    parts = [(0, i, 1, f"| No | name |\n|---|---|\n| {i + 1} | x |") for i in range(n)] + [(0, n, 5, "| a | b |\n|---|---|\n| 9 | y |")]
+    merged = tables.merge_tables(spark.createDataFrame(parts, "doc long, seq long, page long, text string"), ["doc"], "seq", "page").collect()
+    assert sorted((r.seq, r.n_blocks) for r in merged) == [(0, n), (n, 1)]
+    assert max(merged, key=lambda r: r.n_blocks).text.count("\n") == 2 * n  # a part adds its heading row and its data row
+    # Linear: every block goes through a state once, not through all blocks behind it.
+    rows = [{**r, "_page": 1, "_cols": 2, "_cols_rows": 2, "_cont": True} for r in table_rows(1, 1)] * 200_000
+    begun = time.time()
+    nxt, _ = tables._continues(as_columns(rows))
+    assert (nxt == 200_000).all() and time.time() - begun < 60
+
+
+def test_spans_of_a_dense_key(spark, monkeypatch):
+    monkeypatch.setattr(runs, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(runs, "DENSE_ROWS", 50)
+    monkeypatch.setattr(runs, "RANGE_ROWS", 200)
+    rnd = random.Random(4)
+    dense = [("hot", t, rnd.random() < 0.01) for t in range(3000)] + [("hot", t, False) for t in sorted(rnd.sample(range(5000, 60000), 300))]
+    times = dense + [(None, t, False) for t in range(0, 400)] + [("b", t * 90, t == 3) for t in range(30)]
+    df = spark.createDataFrame(times, "k string, t long, lost boolean")
+    groups, real = [], runs._ranged
+    monkeypatch.setattr(runs, "_ranged", lambda *a: groups.append(real(*a)) or groups[-1])
+    got = {(r.k, r.t): r.run_start for r in runs.mark_spans(df, ["k"], "t", 100, F.col("lost")).collect()}
+    want, state = {}, {}
+    for k, t, lost in times:
+        start, unstored = state.get(k, (None, False))
+        if start is None or unstored or t >= start + 100:
+            start, unstored = t, lost
+        state[k] = (start, unstored)
+        want[k, t] = start
+    assert got == want
+    assert len(groups) == 2
+    assert max(r["count"] for g in groups for r in g.groupBy("_part").count().collect()) <= 4 * 200
 
 
 def test_spans_equal_fold(spark, monkeypatch):
