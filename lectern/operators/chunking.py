@@ -238,7 +238,7 @@ def sliding_windows(docs: DataFrame, keep: Sequence[str], size: int = 5000, step
 
 
 def pack_segments(
-    chunks: DataFrame, keys: Sequence[str], order: str, max_chars: int = 3000, block_rows: int = BLOCK_ROWS,
+    chunks: DataFrame, keys: Sequence[str], order: str | Sequence[str], max_chars: int = 3000, block_rows: int = BLOCK_ROWS,
     order_span: int | None = None,
 ) -> DataFrame:
     """Consecutive chunks of a key packed to at most ``max_chars``: (*keys, seg_start, n_chunks, text)."""

@@ -92,20 +92,21 @@ def elapsed(at: str, span: int, unstored: str | None = None) -> Jump:
 
 
 def mark_runs(
-    df: DataFrame, keys: Sequence[str], order: str, jump: Jump, features: dict[str, Column], block_rows: int = BLOCK_ROWS,
+    df: DataFrame, keys: Sequence[str], order: str | Sequence[str], jump: Jump, features: dict[str, Column], block_rows: int = BLOCK_ROWS,
     order_span: int | None = None,
 ) -> DataFrame:
     """Add ``pos``, the dense position of a row in its key, and ``run_start``, the position its run begins at.
 
-    ``order`` is a bigint column that is unique in the key; ``features`` are the values the jump reads. Where ``order``
-    has wide gaps, ``order_span`` is the stretch of it that holds about ``block_rows`` rows.
+    ``order`` is a bigint column that is unique in the key, or several that are together; ``features`` are the values the jump reads. Where
+    the (first) column has wide gaps or holds several rows, ``order_span`` is the stretch of it that holds about ``block_rows`` rows.
     """
-    slim = staged(df.select(*keys, order, *[c.alias(n) for n, c in features.items()]), "runs")
-    placed = staged(positions(slim, "pos", keys, [order], block_of(order, order_span or block_rows)), "runs")
-    marks = _marks_of_any_length(placed.drop(order), keys, jump, block_rows)
-    named = join_null_safe(marks, placed.select(*keys, order, "pos"), [*keys, "pos"])
+    orders = [order] if isinstance(order, str) else list(order)
+    slim = staged(df.select(*keys, *orders, *[c.alias(n) for n, c in features.items()]), "runs")
+    placed = staged(positions(slim, "pos", keys, orders, block_of(orders[0], order_span or block_rows)), "runs")
+    marks = _marks_of_any_length(placed.drop(*orders), keys, jump, block_rows)
+    named = join_null_safe(marks, placed.select(*keys, *orders, "pos"), [*keys, "pos"])
     # Stored, so that a caller who reads the result twice does not run the fold twice.
-    return join_null_safe(df, staged(named, "runs"), [*keys, order])
+    return join_null_safe(df, staged(named, "runs"), [*keys, *orders])
 
 
 def _marks_of_any_length(placed: DataFrame, keys: Sequence[str], jump: Jump, block_rows: int) -> DataFrame:

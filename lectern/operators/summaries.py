@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -116,7 +118,7 @@ def safe_id(source):
 
 
 def document_summaries(
-    chunks: DataFrame, order: str, done: DataFrame | None = None, max_chars: int = 3000, text_fn: TextFunction = first_part,
+    chunks: DataFrame, order: str | Sequence[str], done: DataFrame | None = None, max_chars: int = 3000, text_fn: TextFunction = first_part,
     order_span: int | None = None,
 ) -> DataFrame:
     """One summary row per packed segment of each source that has none yet."""

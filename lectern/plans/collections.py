@@ -102,13 +102,17 @@ def incremental_ingest(spark, sf):
 
 # ------------------------------------------------------------------------------- parents, neighbours over windows
 
-PARENTS = (*WINDOWS_SQL, "pc AS (SELECT doc_id * 10000 + chunk_index AS chunk_id, CASE WHEN chunk_index % 7 <> 6 THEN doc_id END AS parent_chunk_id, chunk_index, text FROM wn)")
+PARENTS = (*WINDOWS_SQL, "pc AS (SELECT doc_id || '-' || chunk_index AS chunk_id, CASE WHEN chunk_index % 7 <> 6 THEN doc_id END AS parent_chunk_id, chunk_index, text FROM wn)")
+
+
+def _window_id(shift=0):
+    return F.concat_ws("-", F.col("doc_id").cast("string"), (F.col("chunk_index") + shift).cast("string"))
 
 
 def _children(spark, sf):
     w = _windows(spark, sf)
     parent = F.when(F.col("chunk_index") % 7 != 6, F.col("doc_id"))
-    return w.select((F.col("doc_id") * 10000 + F.col("chunk_index")).alias("chunk_id"), parent.alias("parent_chunk_id"), "chunk_index", "text")
+    return w.select(_window_id().alias("chunk_id"), parent.alias("parent_chunk_id"), "chunk_index", "text")
 
 
 @query("rebuild_parents", finish(*PARENTS, select="SELECT parent_chunk_id AS chunk_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY chunk_index)) AS text_hash, count(*) AS n_children FROM pc WHERE parent_chunk_id IS NOT NULL GROUP BY 1"))
@@ -126,7 +130,7 @@ def _window_hits(spark, sf, k=10):
     "swap_parents",
     finish(*PARENTS, Q, bm25(chunks="pc"),
            "hp AS (SELECT bm.*, CASE WHEN parent_chunk_id % 5 <> 0 THEN parent_chunk_id END AS par FROM bm JOIN pc USING (chunk_id))",
-           "sw AS (SELECT query_id, coalesce(par, chunk_id)::VARCHAR AS chunk_id, par IS NOT NULL AS is_parent, score, rank AS r FROM hp QUALIFY row_number() OVER (PARTITION BY query_id, par IS NOT NULL, coalesce(par, chunk_id) ORDER BY rank) = 1)",
+           "sw AS (SELECT query_id, coalesce(par::VARCHAR, chunk_id) AS chunk_id, par IS NOT NULL AS is_parent, score, rank AS r FROM hp QUALIFY row_number() OVER (PARTITION BY query_id, par IS NOT NULL, coalesce(par::VARCHAR, chunk_id) ORDER BY rank) = 1)",
            select="SELECT query_id, chunk_id, is_parent, score, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM sw"),
 )
 def swap_parents(spark, sf):
@@ -139,16 +143,16 @@ def swap_parents(spark, sf):
 @query(
     "expand_neighbours",
     finish(*PARENTS, Q, bm25(chunks="pc"),
-           "lk AS (SELECT doc_id * 10000 + chunk_index AS chunk_id, CASE WHEN chunk_index > 0 THEN doc_id * 10000 + chunk_index - 1 END AS p, CASE WHEN chunk_index + 1 < n_windows THEN doc_id * 10000 + chunk_index + 1 END AS n FROM wn)",
+           "lk AS (SELECT doc_id || '-' || chunk_index AS chunk_id, CASE WHEN chunk_index > 0 THEN doc_id || '-' || (chunk_index - 1) END AS p, CASE WHEN chunk_index + 1 < n_windows THEN doc_id || '-' || (chunk_index + 1) END AS n FROM wn)",
            "nb AS (SELECT query_id, rank, 0 AS side, p AS chunk_id FROM bm JOIN lk USING (chunk_id) WHERE p IS NOT NULL UNION ALL SELECT query_id, rank, 1, n FROM bm JOIN lk USING (chunk_id) WHERE n IS NOT NULL)",
            "nx AS (SELECT query_id, chunk_id, min(rank * 2 + side) AS o FROM nb ANTI JOIN bm USING (query_id, chunk_id) GROUP BY ALL)",
            "al AS (SELECT query_id, chunk_id, score, rank AS o FROM bm UNION ALL SELECT query_id, chunk_id, 0.0, 1000000 + o FROM nx)",
            select="SELECT query_id, chunk_id, score::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY o) AS rank FROM al"),
 )
 def expand_neighbours(spark, sf):
-    i, k = F.col("chunk_index"), F.col("doc_id") * 10000 + F.col("chunk_index")
+    i = F.col("chunk_index")
     links = _windows(spark, sf).select(
-        k.alias("chunk_id"), F.when(i > 0, k - 1).alias("prev_chunk_id"), F.when(i + 1 < F.col("n_windows"), k + 1).alias("next_chunk_id")
+        _window_id().alias("chunk_id"), F.when(i > 0, _window_id(-1)).alias("prev_chunk_id"), F.when(i + 1 < F.col("n_windows"), _window_id(1)).alias("next_chunk_id")
     )
     return _ranked(context.expand_neighbours(_window_hits(spark, sf), links))
 
@@ -237,9 +241,9 @@ def summary_search(spark, sf):
            select="SELECT source, 'raptor_' || source || '_' || seg_index AS chunk_id, 'raptor_summary' AS node_type, seg_index, n_segs, orig_chunks, text FROM nm"),
 )
 def document_summaries(spark, sf):
-    placed = _windows(spark, sf).withColumn("place", F.col("doc_id") * 2**20 + F.col("chunk_index"))
+    windows = _windows(spark, sf)
     done = table(spark, sf, "documents").where(F.col("source") == "src3").select("source")
-    return summaries.document_summaries(placed, "place", done, order_span=64 * 2**20)
+    return summaries.document_summaries(windows, ["doc_id", "chunk_index"], done, order_span=64)
 
 
 @query("hashing_vectors")

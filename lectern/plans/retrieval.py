@@ -239,21 +239,21 @@ def rerank_topn(spark, sf):
     return _ranked(context.rerank_topn(_bm25(spark, sf), questions(spark, sf), corpus(spark, sf), 3))
 
 
-SUBS = "sq AS (SELECT item_id * 1000 + i AS query_id, s AS text FROM (SELECT item_id, unnest(string_split(text, '.')) AS s, generate_subscripts(string_split(text, '.'), 1) AS i FROM benchmark))"
+SUBS = "sq AS (SELECT {'query': item_id, 'part': i} AS query_id, s AS text FROM (SELECT item_id, unnest(string_split(text, '.')) AS s, generate_subscripts(string_split(text, '.'), 1) AS i FROM benchmark))"
 
 
 @query(
     "subquery_union",
     finish(C, Q, SUBS, bm25("sq"),
-           "u AS (SELECT query_id // 1000 AS query_id, query_id % 1000 AS sub_idx, chunk_id, rank, text FROM bm JOIN c USING (chunk_id))",
+           "u AS (SELECT query_id.query AS query_id, query_id.part AS sub_idx, chunk_id, rank, text FROM bm JOIN c USING (chunk_id))",
            "uu AS (SELECT query_id, chunk_id FROM u QUALIFY row_number() OVER (PARTITION BY query_id, text[1:80] ORDER BY sub_idx, rank, chunk_id) = 1)",
            rerank_sql("uu", "rr", 3), select=RANKED + "rr"),
 )
 def subquery_union(spark, sf):
     parts = questions(spark, sf).select("query_id", F.posexplode(F.split("text", r"\.")).alias("i", "text"))
-    coded = parts.select((F.col("query_id") * 1000 + F.col("i") + 1).alias("query_id"), "text")
+    coded = parts.select(F.struct(F.col("query_id").alias("query"), (F.col("i") + 1).alias("part")).alias("query_id"), "text")
     found = keyword.bm25_topk(coded, corpus_index(spark, sf), 10)
-    ranked = found.select(F.floor(F.col("query_id") / 1000).alias("query_id"), (F.col("query_id") % 1000).alias("sub_idx"), "chunk_id", "rank")
+    ranked = found.select(F.col("query_id.query").alias("query_id"), F.col("query_id.part").alias("sub_idx"), "chunk_id", "rank")
     union = context.subquery_union(ranked, corpus(spark, sf))
     return _ranked(context.rerank_topn(union, questions(spark, sf), corpus(spark, sf), 3))
 

@@ -274,13 +274,12 @@ PACKED = (fold_sql("it", "i.size", "f.acc + i.size > 3000", "f.acc + i.size"),
 
 @query("pack_segments", finish(*WINDOWS_SQL, PACK_ITEMS, *PACKED, select="SELECT * FROM sg"))
 def pack_segments(spark, sf):
-    placed = _windows(spark, sf).withColumn("place", F.col("doc_id") * 2**20 + F.col("chunk_index"))
-    return chunking.pack_segments(placed, ["source"], "place", order_span=64 * 2**20)
+    return chunking.pack_segments(_windows(spark, sf), ["source"], ["doc_id", "chunk_index"], order_span=64)
 
 
 @query(
     "page_segments",
-    finish(f"bl AS (SELECT source, doc_id, doc_id // 3 AS page, {strip_sql('text[1:90]')} AS text FROM documents WHERE doc_id % 5 <> 4)",
+    finish(f"bl AS (SELECT source, doc_id, doc_id // 3 AS page, {strip_sql('text')} AS text FROM documents WHERE doc_id % 5 <> 4)",
            "pg AS (SELECT source, page, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM bl WHERE text <> '' GROUP BY ALL)",
            "it AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY page) AS pos, length(text) AS size FROM pg)",
            fold_sql("it", "i.size", "f.acc >= 150", "f.acc + 1 + i.size"),
@@ -288,9 +287,9 @@ def pack_segments(spark, sf):
            select="SELECT * FROM m WHERE length(text) >= 50"),
 )
 def page_segments(spark, sf):
-    # Short opening passages as blocks, three documents to a page.
+    # Texts as blocks, three documents to a page.
     rows = _docs(spark, sf).select(
-        "source", "doc_id", F.floor(F.col("doc_id") / 3).alias("page"), F.substring("text", 1, 90).alias("text"),
+        "source", "doc_id", F.floor(F.col("doc_id") / 3).alias("page"), "text",
         F.when(F.col("doc_id") % 5 == 4, "image").when(F.col("doc_id") % 5 == 3, "table").otherwise("text").alias("type"),
     )
     return chunking.page_segments(rows, ["source"], "page", "doc_id")

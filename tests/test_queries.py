@@ -35,3 +35,34 @@ def test_no_query_multiplies_tables(spark, capsys):
         entry.queries()[name](spark, SF).explain()
         plan = capsys.readouterr().out
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
+
+
+def test_a_document_of_many_chunks_keeps_its_ids(spark, tmp_path):
+    """Document 5 has more than 10 000 windows: none of them is taken for one of document 6."""
+    from lectern.plans.collections import _children
+
+    rows = [(5, "w " * (48 * 10_001 + 20), "en", "s", 0), (6, "other words " * 300, "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    ids = _children(spark, str(tmp_path)).select("chunk_id")
+    n = ids.count()
+    assert n > 10_010 and ids.distinct().count() == n
+    own = {r.chunk_id: r.n_children for r in entry.queries()["rebuild_parents"](spark, str(tmp_path)).collect()}
+    windows = {5: 10_002, 6: n - 10_002}
+    assert own == {doc: sum(i % 7 != 6 for i in range(m)) for doc, m in windows.items()}
+
+
+def test_left_out_where_a_package_is_absent(monkeypatch):
+    import builtins
+    import sys
+
+    real = builtins.__import__
+
+    def without(name, *args, **kwargs):
+        if name == "xxhash":
+            raise ModuleNotFoundError("No module named 'xxhash'", name="xxhash")
+        return real(name, *args, **kwargs)
+
+    for name in [m for m in sys.modules if m.startswith("lectern.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setattr(builtins, "__import__", without)
+    assert "bm25_topk" in entry.queries() and "pipeline" not in entry.queries()
