@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +60,10 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             data = json.load(file)
         vocabulary, own = data["model"]["vocab"], data.get("added_tokens") or []
+        before = data.get("pre_tokenizer") or {}
+        if data["model"].get("type", "BPE") != "BPE" or data.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            raise ValueError("only byte-level BPE without a normaliser or a blank before the text is supported")
+        self.largest = max([*vocabulary.values(), *[x["id"] for x in own]])
         if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in own):
             raise ValueError("added tokens that hang on the text around them are not supported")
         self.added = {x["content"]: array("I", [x["id"]]).tobytes() for x in own} if added else {}
@@ -100,21 +105,41 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def id_width(largest: int) -> int:
+    """Bytes of an id in matrices: two where they hold the largest id."""
+    return 2 if largest < 1 << 16 else 4
+
+
+def squeezed(ids: np.ndarray, width: int, compress: Callable[[bytes], bytes]) -> bytes:
+    """Ids as compressed bytes, the low bytes of all ids first."""
+    if len(ids) and int(ids.max()) >> 8 * width:
+        raise ValueError(f"an id does not fit into {width} bytes")
+    return compress(np.ascontiguousarray(ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes())
+
+
+def stretched(data: bytes, width: int, decompress: Callable[[bytes], bytes]) -> np.ndarray:
+    planes = np.frombuffer(decompress(data), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: only the first may be shorter than the capacity."""
     first = (n - 1) % capacity + 1
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", width: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) for every document: its token ids, then ``end_id``, cut into pieces.
 
+    With a ``width``, ``ids`` are a piece's ids of that many bytes each, ``squeezed``.
+
     Null text is empty: it gives one piece that holds the end id only. Rows with equal or null ids are cut on their own.
     """
     tail = np.asarray([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
+        compress = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
@@ -124,14 +149,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
                     for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                         own = ids[4 * start : 4 * (start + length)]
                         rows.append((k, piece, start, length, zlib.crc32(own)))
-                        if with_ids:
-                            packed.append(np.frombuffer(own, "<u4").astype("<u2").tobytes())
+                        if width:
+                            packed.append(squeezed(np.frombuffer(own, "<u4"), width, compress))
                 k, piece, start, length, crc = np.array(rows, np.int64).T
                 out = {"doc_id": part.column("_id").take(pa.array(k)), "piece": pa.array(piece, pa.int32()), "start": start, "length": length, "ids_crc32": crc}
-                yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(packed, pa.binary())} if with_ids else {}))
+                yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(packed, pa.binary())} if width else {}))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * bool(width)
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(pieces, schema)
 
 
@@ -294,29 +319,32 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, **
 def packed_sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 50256, **columns) -> DataFrame:
     """Best-fit-decreasing packing into model input, a row per sequence.
 
-    ``input_ids`` and ``position_ids`` are rows of the id and position matrices: ``capacity`` little-endian unsigned 16-bit numbers,
-    filled up with the end id and zeros; positions start again at 0 with each piece. ``cu_seqlens`` are the ends of the pieces, from 0.
+    ``input_ids`` and ``position_ids`` are rows of the id and position matrices: ``capacity`` little-endian unsigned 16-bit numbers
+    (32-bit ones where the vocabulary or the end id asks for it), filled up with the end id and zeros; positions start again at 0 with each piece. ``cu_seqlens`` are the ends of the pieces, from 0.
     ``doc_ids``, ``pieces`` and ``starts`` tell what each piece is. Every token of every document is in exactly one place; documents
     longer than the capacity are cut into pieces. An empty table gives no sequence.
     """
-    pieces = staged(token_pieces(docs, tokenizer, end_id, capacity, with_ids=True, **columns), "pack-ids")
+    width = id_width(max(encoder(tokenizer).largest, end_id, capacity))
+    pieces = staged(token_pieces(docs, tokenizer, end_id, capacity, width=width, **columns), "pack-ids")
     packed = pack(pieces, best_fit_decreasing, capacity)
     part = F.struct("offset", "doc_id", "piece", "start", "length", "ids")
     rows = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(part)).alias("p"))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decompress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
                 parts = part.column("ids")
-                sizes = pa.compute.binary_length(parts.flatten()).to_numpy().astype(np.int64) // 2
+                segments = [stretched(x, width, decompress) for x in parts.flatten().to_pylist()]
+                sizes = np.fromiter(map(len, segments), np.int64, len(segments))
                 starts = np.cumsum(sizes) - sizes
-                own = np.frombuffer(b"".join(parts.flatten().to_pylist()), "<u2")
+                own = np.concatenate(segments)
                 row = np.repeat(np.arange(len(part)), pa.compute.list_value_length(parts).to_numpy())
                 filled = np.arange(capacity) < np.bincount(row, weights=sizes, minlength=len(part)).astype(np.int64)[:, None]
                 out = {c: part.column(c) for c in part.schema.names if c != "ids"}
                 for name, rest, values in (("input_ids", end_id, own), ("position_ids", 0, np.arange(len(own)) - np.repeat(starts, sizes))):
-                    matrix = np.full((len(part), capacity), rest, "<u2")
+                    matrix = np.full((len(part), capacity), rest, f"<u{width}")
                     matrix[filled] = values
                     out[name] = pa.array([x.tobytes() for x in matrix], pa.binary())
                 yield pa.RecordBatch.from_pydict(out)

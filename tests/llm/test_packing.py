@@ -1,7 +1,9 @@
+import json
 import random
 import zlib
 
 import numpy as np
+import zstandard
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -137,3 +139,31 @@ def test_added_tokens_are_those_of_the_tokenizer(spark):
     rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()
     got = {r.doc_id: (r.length, r.ids_crc32) for r in rows}
     assert got == {k: (len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes())) for k, ids in enumerate(want)}
+
+
+@pytest.mark.parametrize("width", [2, 4])
+def test_ids_come_back_from_squeezed_bytes(width):
+    rng = np.random.default_rng(width)
+    for n in (1, 2, 700, 2048):
+        ids = rng.integers(0, 1 << (8 * width), n, dtype=np.uint64).astype("<u4")
+        data = packing.squeezed(ids, width, zstandard.ZstdCompressor(level=1).compress)
+        assert (packing.stretched(data, width, zstandard.ZstdDecompressor().decompress) == ids).all()
+
+
+def test_large_ids_are_not_cut(spark, tmp_path):
+    assert packing.id_width(65_535) == 2 and packing.id_width(65_536) == 4
+    with pytest.raises(ValueError, match="does not fit"):
+        packing.squeezed(np.array([70_000], "<u4"), 2, bytes)
+    docs = spark.createDataFrame([(1, "some words"), (2, "")], "doc_id long, text string")
+    (row,) = packing.packed_sequences(docs, public_tokenizers.path("byte_bpe_50k.json"), 64, end_id=70_000).collect()
+    ids = np.frombuffer(row.input_ids, "<u4")
+    assert len(ids) == 64 and 70_000 in ids and 70_000 - 65_536 not in ids and (ids[row.cu_seqlens[-1] :] == 70_000).all()
+
+
+def test_other_kinds_of_tokenizers_are_refused(tmp_path):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        data = json.load(file)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}):
+        (tmp_path / "t.json").write_text(json.dumps(data | change), encoding="utf-8")
+        with pytest.raises(ValueError, match="byte-level"):
+            packing.Encoder(str(tmp_path / "t.json"))
