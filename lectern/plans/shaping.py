@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import markdown as M
+from lectern.functions import separators
 from lectern.functions import text as T
 from lectern.operators import chunking, tables
 from lectern.operators.ordered import block_of
@@ -242,6 +243,32 @@ def token_windows(spark, sf):
     return _windows(spark, sf).select("doc_id", _big("chunk_index", "chunk_index"), _big("n_windows", "n_windows"), "text")
 
 
+#: Texts cut level by level, leaves of one cut that follow each other as groups, and chunks of a group from running lengths.
+SEPARATED_SQL = finish(
+    f"""cu AS (SELECT doc_id, []::BIGINT[] AS place, text, 1 AS level, false AS ready FROM documents WHERE text <> ''
+  UNION ALL SELECT doc_id, list_append(place, k), piece, lv + 1, length(piece) < 300 OR lv = 7 FROM (
+    SELECT doc_id, place, lv, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM (
+      SELECT doc_id, place, lv, list_filter(CASE WHEN lv = 7 THEN string_split(text, '')
+        ELSE list_prepend(string_split(text, seps[lv])[1], list_transform(string_split(text, seps[lv])[2:], lambda x: seps[lv] || x)) END, lambda x: x <> '') AS pieces
+      FROM (SELECT *, coalesce(list_filter([1, 2, 3, 4, 5, 6], lambda i: i >= level AND contains(text, seps[i]))[1], 7) AS lv
+        FROM (SELECT *, [chr(10) || chr(10), chr(10), '。', '；', '，', ' '] AS seps FROM cu WHERE NOT ready)))))""",
+    "lf AS (SELECT doc_id, place, text, place[1:len(place) - 1] AS parent FROM cu WHERE ready)",
+    "lg AS (SELECT *, sum(CASE WHEN parent IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place) AS g FROM (SELECT *, lag(parent) OVER (PARTITION BY doc_id ORDER BY place) AS before FROM lf))",
+    "gr AS (SELECT doc_id, g, list(text ORDER BY place) AS pieces FROM lg GROUP BY ALL)",
+    "gp AS (SELECT doc_id, g, pieces, list_prepend(0::BIGINT, list(t ORDER BY i)) AS p FROM (SELECT doc_id, g, pieces, i, sum(length(pieces[i])) OVER (PARTITION BY doc_id, g ORDER BY i)::BIGINT AS t FROM (SELECT *, generate_subscripts(pieces, 1) AS i FROM gr)) GROUP BY doc_id, g, pieces)",
+    """ch AS (SELECT doc_id, g, 0 AS c, 0::BIGINT AS j, len(list_filter(p, lambda x: x <= 300)) - 1 AS e FROM gp
+  UNION ALL SELECT doc_id, g, c + 1, j2, len(list_filter(p, lambda x: x <= p[j2 + 1] + 300)) - 1 FROM (
+    SELECT doc_id, g, c, p, len(list_filter(p, lambda x: x < greatest(p[e + 1] - 40, p[e + 2] - 300))) AS j2 FROM ch JOIN gp USING (doc_id, g) WHERE e + 1 < len(p)))""",
+    f"tx AS (SELECT doc_id, g, c, {strip_sql("array_to_string(pieces[(j + 1):e], '')")} AS text FROM ch JOIN gp USING (doc_id, g))",
+    select="SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g, c) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS n_chunks, text FROM tx WHERE text <> ''",
+)
+
+
+@query("separator_chunks", SEPARATED_SQL)
+def separator_chunks(spark, sf):
+    return separators.separator_chunks(_docs(spark, sf), ["doc_id"], 300, 40)
+
+
 @query(
     "enrich_chunks",
     finish(*WINDOWS_SQL, "en AS (SELECT *, sha256(concat_ws('|', source, doc_id || '-' || chunk_index, text)) AS chunk_id, CASE WHEN chunk_index % 2 = 0 THEN source || ' > ' || doc_id ELSE source END AS section_path FROM wn)",
