@@ -111,15 +111,14 @@ def id_width(largest: int) -> int:
 
 
 def squeezed(ids: np.ndarray, width: int, compress: Callable[[bytes], bytes]) -> bytes:
-    """Ids as compressed bytes, the low bytes of all ids first."""
+    """Ids as compressed bytes."""
     if len(ids) and int(ids.max()) >> 8 * width:
         raise ValueError(f"an id does not fit into {width} bytes")
-    return compress(np.ascontiguousarray(ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes())
+    return compress(ids.astype(f"<u{width}").tobytes())
 
 
 def stretched(data: bytes, width: int, decompress: Callable[[bytes], bytes]) -> np.ndarray:
-    planes = np.frombuffer(decompress(data), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
+    return np.frombuffer(decompress(data), f"<u{width}")
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -139,7 +138,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        compress = zstandard.ZstdCompressor(level=1).compress
+        compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
