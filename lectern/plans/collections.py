@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import hooks
 from lectern.operators import context, dense, evaluate, fusion, graph, keyword, summaries
 from lectern.plans.base import (
-    C, Q, QV, V, bm25, corpus, finish, query, question_vectors, questions, table, vectors,
+    C, Q, QV, V, bm25, corpus, finish, query, question_vectors, questions, table, tok, vectors,
 )
 from lectern.plans.base import dense as dense_sql
 from lectern.plans.evaluation import MEANS, SAMPLES, SCENARIO_SQL, _samples, _scenarios
@@ -246,7 +246,7 @@ def document_summaries(spark, sf):
     return summaries.document_summaries(windows, ["doc_id", "chunk_index"], done, order_span=64)
 
 
-@query("hashing_vectors")
+@query("hashing_vectors", f"SELECT doc_id AS chunk_id, 64::INT AS dimensions, CASE WHEN len({tok('text')}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents")
 def hashing_vectors(spark, sf):
     chunks = corpus(spark, sf).select("chunk_id", "text")
     embedded = hooks.embed_hashing(chunks, hooks.fit_hashing(chunks, 64))

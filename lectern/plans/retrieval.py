@@ -69,6 +69,14 @@ def dense_topk_cells(spark, sf):
     return _ranked(dense.dense_topk_cells(q, v, 10, n_cells=8, n_probe=4, skip_same=True))
 
 
+@query("dense_topk_all_cells", finish(*SELF, select=RANKED + "dn"))
+def dense_topk_all_cells(spark, sf):
+    """Search by cells with every cell probed: the exact result."""
+    v = vectors(spark, sf)
+    q = v.select(F.col("chunk_id").alias("query_id"), "vector")
+    return _ranked(dense.dense_topk_cells(q, v, 10, n_cells=8, n_probe=8, skip_same=True))
+
+
 def _dense(spark, sf, k=10):
     return dense.dense_topk(question_vectors(spark, sf), chunk_vectors(spark, sf), k)
 
