@@ -62,11 +62,10 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: fl
 
 def _ranked(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     h = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    return docs.withColumns(
-        {
-            "size": n_words(F.col(text_col)), "_source": F.col(source_col), "_key": row_key(id_col, text_col),
-            "_u": (F.shiftrightunsigned(h, 12) + F.lit(0.5)) * F.lit(UNIT),
-        }
+    # the row travels as one struct, so that no column of it clashes with those added here
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), n_words(F.col(text_col)).alias("size"), F.col(source_col).alias("_source"),
+        row_key(id_col, text_col).alias("_key"), ((F.shiftrightunsigned(h, 12) + F.lit(0.5)) * F.lit(UNIT)).alias("_u"),
     )
 
 
@@ -127,16 +126,20 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     zone = zone.where("p > 0 AND _bin BETWEEN _from AND _to").select("_s", "_key", "_rank", "size", "gap")
     walked = staged(zone.groupBy("_s").applyInPandas(_fill, "_key long, _take boolean").where("_take"), "mix-zone")
 
-    rows = _with_rank(ranked.drop("source_size", "target", "copies").join(broadcast_if_small(cuts), on_source))
+    rows = _with_rank(ranked.join(broadcast_if_small(cuts), on_source))
     rows = rows.join(broadcast_if_small(walked), "_key", "left")
     # a source without a cut bin takes all of its sample's documents
     sampled = (F.col("p") > 0) & ((F.col("_bin") < F.col("_from")) | F.col("_from").isNull() | F.coalesce("_take", F.lit(False)))
     copies = (F.col("_base") + sampled.cast("long")).alias("copies")
-    kept = [F.col(c) for c in docs.columns if c not in ("size", "copies", "source_size", "target")]
+    kept = [F.col(f"_all.`{c}`") for c in docs.columns if c not in ("size", "copies", "source_size", "target")]
     return rows.select(*kept, "size", "source_size", "target", copies)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: the columns of ``docs``, a row for each copy taken."""
-    copies = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")
-    return plan_mix(docs, **options).where("copies > 0").select(*docs.columns, copies).drop("_copy")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all")
+    names = {k: options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    held = docs.select(row, *[F.col(v).alias(k) for k, v in names.items()])
+    planned = plan_mix(held, **{**options, **{k: k for k in names}}).where("copies > 0")
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return planned.select("all", copies).select(*[F.col(f"all.`{c}`") for c in docs.columns])

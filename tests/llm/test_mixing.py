@@ -72,6 +72,17 @@ def test_same_every_time_and_mixed_rows(spark):
     assert planned.where("copies > 3 OR size IS NULL").count() == 0
 
 
+def test_clashing_columns_pass_through(spark):
+    names = ["p", "gap", "_take", "_s", "_key", "_copy", "_all", "_u", "size", "copies", "a.b"]
+    docs = odd_documents(spark)
+    extra = docs.select(*[F.col(c) for c in docs.columns if c not in names], *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    mixed = mixing.mix(extra)
+    assert mixed.columns == extra.columns and mixed.count() == mixing.mix(docs).count() > 0
+    assert all(tuple(r)[-len(names) :] == tuple(range(len(names))) for r in mixed.collect())
+    planned = mixing.plan_mix(extra).collect()
+    assert all((r["p"], r["gap"], r["_take"], r["_s"], r["_key"], r["_copy"]) == (0, 1, 2, 3, 4, 5) for r in planned)
+
+
 def test_empty_table(spark):
     assert mixing.plan_mix(no_documents(spark)).count() == 0
     assert mixing.mix(no_documents(spark)).count() == 0
