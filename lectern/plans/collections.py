@@ -94,7 +94,8 @@ def incremental_ingest(spark, sf):
     """Documents as a stream of files, cut, linked and upserted batch by batch."""
     root = work_path(spark, "ingest")
     schema = table(spark, sf, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
+    # A pattern that names the table alone, whether it is one file (no folder to start from) or a folder of files.
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/documents.parque[t]")
     docs = stream.select("doc_id", F.col("lang").alias("collection"), "source", "text")
     ingest.incremental_ingest(docs, root, f"{root}-checkpoint", lambda d: ingest.chunk_documents(d, 128, 32)).awaitTermination()
     return store.scan_collection(spark, root).select("collection", "source", "chunk_id", "prev_chunk_id", "next_chunk_id", "text")

@@ -51,6 +51,21 @@ def test_a_document_of_many_chunks_keeps_its_ids(spark, tmp_path):
     assert own == {doc: sum(i % 7 != 6 for i in range(m)) for doc, m in windows.items()}
 
 
+@pytest.mark.parametrize("files", [0, 3])
+def test_ingest_reads_a_table_in_one_file_or_a_folder(spark, tmp_path, files):
+    import pandas as pd
+
+    rows = [(i, f"word{i} " * 300, "en", "s", 0) for i in range(12)]
+    frame = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"])
+    path = tmp_path / "documents.parquet"
+    if files:
+        spark.createDataFrame(frame).repartition(files).write.parquet(str(path))
+    else:
+        frame.to_parquet(path)
+    got = entry.queries()["incremental_ingest"](spark, str(tmp_path))
+    assert got.count() == 12 * 3 and got.where("prev_chunk_id IS NULL").count() == 12
+
+
 def test_left_out_where_a_package_is_absent(monkeypatch):
     import builtins
     import sys
