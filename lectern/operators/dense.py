@@ -18,24 +18,15 @@ from pyspark.sql import types as T
 
 from lectern.functions.sizing import join_skewed
 from lectern.functions.vectors import as_double, matrix, unit_rows
-from lectern.operators.keyword import SCORE_DIGITS, rank_by_query
+from lectern.operators.best import SCORE_DIGITS, Best
+from lectern.operators.keyword import rank_by_query
 
 QUERY_ROWS = 8192  # broadcast bound: 64 MB of doubles at 1024 dimensions
 CELL_ROWS = 20_000  # rows per side of a grid cell
 PRODUCT_SIZE = 4_000_000  # entries of one score block
-
-
-def _best(ids, scores: np.ndarray, query_ids, k: int) -> pd.DataFrame:
-    """Best k of each score row by (score desc, id asc), ties at the border resolved by id."""
-    n_items = scores.shape[1]
-    if n_items > k:
-        border = np.partition(scores, n_items - k, axis=1)[:, n_items - k]
-        rows, cols = np.nonzero(scores >= border[:, None])
-    else:
-        rows, cols = np.nonzero(np.ones_like(scores, dtype=bool))
-    return _cut(
-        pd.DataFrame({"query_id": query_ids[rows], "chunk_id": ids[cols], "score": scores[rows, cols]}), k
-    )
+BLOCK_QUERIES = 2048  # queries of a score block
+SINGLE = 2.0**-23  # relative step of single precision
+FIRST_ITEMS = 64  # items of the first score block; later ones are twice as large each, up to the size above
 
 
 def _cut(frame: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -44,15 +35,34 @@ def _cut(frame: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def _search(q_ids, q, ids, v, k: int, skip_same: bool) -> pd.DataFrame:
-    step = max(1, PRODUCT_SIZE // max(1, len(q_ids)))
+    """Best k items of each query by (score desc, id asc); holds one score block and the kept rows."""
+    order = pd.Series(ids).sort_values(kind="stable").index.to_numpy()
+    ids, v = ids[order], v[order]
+    if skip_same:
+        codes = pd.factorize(np.concatenate([np.asarray(q_ids, dtype=object), np.asarray(ids, dtype=object)]))[0]
+        q_code, code = codes[: len(q_ids)], codes[len(q_ids) :]
     found = []
-    for lo in range(0, len(ids), step):
-        block = np.round(q @ v[lo : lo + step].T, SCORE_DIGITS) + 0.0
-        part = _best(ids[lo : lo + step], block, q_ids, k + 1 if skip_same else k)
-        if skip_same:
-            part = part[part["query_id"] != part["chunk_id"]]
-        found.append(part)
-    return _cut(pd.concat(found, ignore_index=True), k)
+    # Single precision picks the rows that are worked out, with room for its error.
+    narrow_q, narrow_v, room = q.astype(np.float32), v.astype(np.float32), SINGLE * (v.shape[1] + 8)
+    for first in range(0, len(q_ids), BLOCK_QUERIES):
+        block = narrow_q[first : first + BLOCK_QUERIES]
+        best = Best(len(block), k)
+        lo, step = 0, FIRST_ITEMS
+        while lo < len(ids):
+            scores = block @ narrow_v[lo : lo + step].T
+            # Few pass once the first items are in.
+            row, at = np.divmod(np.flatnonzero(scores > (best.floor() - room).astype(np.float32)[:, None]), scores.shape[1])
+            at += lo
+            value = np.round(np.einsum("ij,ij->i", q[row + first], v[at]), SCORE_DIGITS) + 0.0
+            if skip_same:
+                own = q_code[row + first]
+                other = (own != code[at]) | (own < 0)
+                row, at, value = row[other], at[other], value[other]
+            best.offer(row, at, value)
+            lo, step = lo + step, min(2 * step, max(FIRST_ITEMS, PRODUCT_SIZE // len(block)))
+        row, at, value = best.found()
+        found.append(pd.DataFrame({"query_id": q_ids[row + first], "chunk_id": ids[at], "score": value}))
+    return pd.concat(found, ignore_index=True)
 
 
 def _result_schema(queries: DataFrame, items: DataFrame, key: str | None) -> T.StructType:

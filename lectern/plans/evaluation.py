@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.operators import evaluate, keyword
 from lectern.plans.base import C, Q, V, bm25, corpus, corpus_index, cosine, finish, query, questions, table, vectors
 from lectern.plans.retrieval import SELF, _self_search
+from lectern.session import staged
 
 
 def _paged(spark, sf):
@@ -40,7 +41,7 @@ def _label_truth(spark, sf):
     other = v.select("chunk_id", F.col("label").alias("other"))
     hits = ranked.join(own, "query_id").join(other, "chunk_id").where(F.col("own") == F.col("other"))
     first = own.select("query_id").join(hits.groupBy("query_id").agg(F.min("rank").alias("rank")), "query_id", "left")
-    return first
+    return staged(first, "first-hits")  # two columns, read several times; the search behind them is run once
 
 
 FIRST = (*SELF, "fh AS (SELECT sq.query_id, min(CASE WHEN v.label = sq.label THEN rank END) AS rank FROM sq LEFT JOIN dn USING (query_id) LEFT JOIN v USING (chunk_id) GROUP BY sq.query_id)")
@@ -198,7 +199,7 @@ TRUE_CHUNK = "((query_id * 7 + 1) % (SELECT count(*) FROM v))"
 def _scenarios(spark, sf):
     """Truth for each vector: its nearest neighbour for even ids, some other vector for odd ones."""
     v = vectors(spark, sf)
-    ranked = _self_search(spark, sf)
+    ranked = staged(_self_search(spark, sf), "ranked")  # read for the truth, the best scores and the ranks
     n = v.agg(F.count("*")).scalar()
     k = F.col("query_id")
     best = ranked.where(F.col("rank") == 1 + F.col("query_id") % 6).select("query_id", F.col("chunk_id").alias("_near"))
@@ -209,7 +210,8 @@ def _scenarios(spark, sf):
     from lectern.functions.vectors import cosine as cos
 
     scored = truth.join(a, "query_id").join(v.select("chunk_id", "vector"), "chunk_id")
-    return ranked, scored.select("query_id", "scenario", "chunk_id", F.round(cos(F.col("_q"), F.col("vector")), 6).alias("truth_score"))
+    truth = scored.select("query_id", "scenario", "chunk_id", F.round(cos(F.col("_q"), F.col("vector")), 6).alias("truth_score"))
+    return ranked, staged(truth, "truth")
 
 
 SCENARIO_SQL = (*SELF, f"tt AS (SELECT sq.query_id, {SCENARIO} AS scenario, CASE WHEN sq.query_id % 2 = 0 THEN dn.chunk_id ELSE {TRUE_CHUNK.replace('query_id', 'sq.query_id')} END AS chunk_id FROM sq LEFT JOIN dn ON dn.query_id = sq.query_id AND dn.rank = 1 + sq.query_id % 6)".replace("CASE query_id % 4", "CASE sq.query_id % 4"),

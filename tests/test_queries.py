@@ -51,6 +51,14 @@ def test_a_document_of_many_chunks_keeps_its_ids(spark, tmp_path):
     assert own == {doc: sum(i % 7 != 6 for i in range(m)) for doc, m in windows.items()}
 
 
+@pytest.mark.parametrize("name, step", [("hit_by_group", "InPandas"), ("corrected_hit_rate", "InPandas"), ("scenario_accuracy", "InPandas"), ("compare_scenarios", "InPandas"),
+                                        ("swap_parents", "regexp_extract_all"), ("expand_neighbours", "regexp_extract_all"), ("build_postings", "(_jk")])
+def test_costly_steps_are_not_run_again(spark, capsys, name, step):
+    """What is read several times is stored; blocks of postings meet their terms without a shuffle where these are few."""
+    entry.queries()[name](spark, SF).explain()
+    assert step not in capsys.readouterr().out
+
+
 @pytest.mark.parametrize("files", [0, 3])
 def test_ingest_reads_a_table_in_one_file_or_a_folder(spark, tmp_path, files):
     import pandas as pd

@@ -56,6 +56,50 @@ def test_cells_equal_exact_search_when_all_are_probed(vectors):
     assert recall == sorted(recall)
 
 
+def test_a_cell_is_searched_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(12_000, 16)).round(1)
+    v[6000:9000] = v[:3000]  # equal scores are told apart by id
+    v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+    ids = rng.permutation(12_000)
+    tracemalloc.start()
+    got = dense._search(ids[:4000], v[:4000], ids, v, 10, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70e6
+    found = got.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True]).groupby("query_id")["chunk_id"].agg(list)
+    for i in range(0, 4000, 97):
+        scores = np.round(v[i] @ v.T, 6)
+        assert found[ids[i]] == [int(ids[j]) for j in sorted(range(12_000), key=lambda j: (-scores[j], ids[j])) if j != i][:10]
+
+
+def test_a_repeated_id_does_not_push_out_others(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(12)] * 2
+    items = spark.createDataFrame(rows, "chunk_id long, vector array<float>")
+    queries = items.select(F.col("chunk_id").alias("query_id"), "vector").distinct()
+    got = dense.dense_topk(queries, items, 5, skip_same=True)
+    assert {r["count"] for r in got.groupBy("query_id").count().collect()} == {5} and got.where("query_id = chunk_id").count() == 0
+
+
+def test_pairs_are_not_rows_of_the_plan(spark, tmp_path, monkeypatch, capsys):
+    """A (query, chunk) pair that shares a term is added up where it lies, also over batches and bounds of tasks."""
+    chunks, index = small_index(spark, tmp_path, monkeypatch)
+    queries = spark.createDataFrame([(i, f"common some extra{i} filler common") for i in range(40)], "query_id long, text string")
+    whole = keyword.bm25_topk(queries, index, 7)
+    whole.explain()
+    assert "keys=[query_id" not in capsys.readouterr().out
+    want = sorted(tuple(r) for r in whole.collect())
+    assert len(want) == 280
+    monkeypatch.setattr(keyword, "PAIRS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(tuple(r) for r in keyword.bm25_topk(queries, index, 7).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_query_slices_change_nothing(spark, monkeypatch):
     chunks = spark.createDataFrame([(i, f"common word{i % 5} word{i % 7} extra{i}") for i in range(60)], "chunk_id long, text string")
     queries = spark.createDataFrame([(i, f"common word{i % 5} extra{i}") for i in range(20)], "query_id long, text string")
