@@ -20,6 +20,9 @@ SEPARATORS = ("\n\n", "\n", "。", "；", "，", " ", "")
 # Fixed value: blanks that are trimmed off chunks.
 BLANKS = " \t\n\r\f\x0b"
 
+# Characters of chunks after which a task passes on what it has.
+OUT_CHARS = 1 << 20
+
 _UNITS = re.compile(r"[一-鿿]|[^ \n\t\r一-鿿]+")
 SIZES: dict[str, Callable[[str], int]] = {"chars": len, "words": lambda text: len(_UNITS.findall(text))}
 
@@ -88,16 +91,26 @@ def separator_chunks(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, index, count, texts = [], [], [], []
-            for row, text in enumerate(batch.column("_text").to_pylist()):
+            column, rows, index, count, texts, chars = batch.column("_text"), [], [], [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                kept = batch.select(list(keep)).take(pa.array(rows, pa.int64()))
+                columns = [*kept.columns, pa.array(index, pa.int64()), pa.array(count, pa.int64()), pa.array(texts, pa.string())]
+                return pa.RecordBatch.from_arrays(columns, names=[*keep, "chunk_index", "n_chunks", "text"])
+
+            for row in range(batch.num_rows):
+                text = column[row].as_py()
                 chunks = list(cut(text, size, overlap, length, seps)) if text else []
                 rows += [row] * len(chunks)
                 index += range(len(chunks))
                 count += [len(chunks)] * len(chunks)
                 texts += chunks
-            kept = batch.take(pa.array(rows, pa.int64()))
-            columns = [kept.column(c) for c in keep] + [pa.array(index, pa.int64()), pa.array(count, pa.int64()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "chunk_index", "n_chunks", "text"])
+                chars += sum(map(len, chunks))
+                # A batch holds a number of rows, however long they are: what comes out of it leaves in parts.
+                if chars >= OUT_CHARS:
+                    yield flush()
+                    rows, index, count, texts, chars = [], [], [], [], 0
+            yield flush()
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{kinds}chunk_index long, n_chunks long, text string")

@@ -82,3 +82,10 @@ def test_odd_rows(spark):
     own = [r for r in got if r.doc_id == 4]
     assert len(own) == 2 * own[0].n_chunks and all(len(r.text) <= 100 for r in own)
     assert sep.separator_chunks(docs.limit(0), ["doc_id"]).count() == 0
+
+
+def test_what_comes_out_of_a_batch_leaves_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i} " * (i * 7 % 200)) for i in range(50)] + [(50, None)], "doc_id long, text string").coalesce(1)
+    want = sorted(tuple(r) for r in sep.separator_chunks(docs, ["doc_id"], 60, 10).collect())
+    monkeypatch.setattr(sep, "OUT_CHARS", 100)
+    assert sorted(tuple(r) for r in sep.separator_chunks(docs, ["doc_id"], 60, 10).collect()) == want and len(want) > 500
