@@ -35,18 +35,18 @@ def _cut(frame: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def _search(q_ids, q, ids, v, k: int, skip_same: bool) -> pd.DataFrame:
-    """Best k items of each query by (score desc, id asc); holds one score block and the kept rows."""
+    """Best k items of each query by (score desc, id asc); holds one score block and the kept rows.
+
+    ``skip_same`` leaves the item with the query's id out of the best k + 1.
+    """
     order = pd.Series(ids).sort_values(kind="stable").index.to_numpy()
     ids, v = ids[order], v[order]
-    if skip_same:
-        codes = pd.factorize(np.concatenate([np.asarray(q_ids, dtype=object), np.asarray(ids, dtype=object)]))[0]
-        q_code, code = codes[: len(q_ids)], codes[len(q_ids) :]
-    found = []
+    wanted, found = k + 1 if skip_same else k, []
     # Single precision picks the rows that are worked out, with room for its error.
     narrow_q, narrow_v, room = q.astype(np.float32), v.astype(np.float32), SINGLE * (v.shape[1] + 8)
     for first in range(0, len(q_ids), BLOCK_QUERIES):
         block = narrow_q[first : first + BLOCK_QUERIES]
-        best = Best(len(block), k)
+        best = Best(len(block), wanted)
         lo, step = 0, FIRST_ITEMS
         while lo < len(ids):
             scores = block @ narrow_v[lo : lo + step].T
@@ -54,15 +54,13 @@ def _search(q_ids, q, ids, v, k: int, skip_same: bool) -> pd.DataFrame:
             row, at = np.divmod(np.flatnonzero(scores > (best.floor() - room).astype(np.float32)[:, None]), scores.shape[1])
             at += lo
             value = np.round(np.einsum("ij,ij->i", q[row + first], v[at]), SCORE_DIGITS) + 0.0
-            if skip_same:
-                own = q_code[row + first]
-                other = (own != code[at]) | (own < 0)
-                row, at, value = row[other], at[other], value[other]
             best.offer(row, at, value)
             lo, step = lo + step, min(2 * step, max(FIRST_ITEMS, PRODUCT_SIZE // len(block)))
         row, at, value = best.found()
         found.append(pd.DataFrame({"query_id": q_ids[row + first], "chunk_id": ids[at], "score": value}))
-    return pd.concat(found, ignore_index=True)
+    # Rows of a repeated query id share its places.
+    kept = _cut(pd.concat(found, ignore_index=True), wanted)
+    return _cut(kept[kept["query_id"] != kept["chunk_id"]], k) if skip_same else kept
 
 
 def _result_schema(queries: DataFrame, items: DataFrame, key: str | None) -> T.StructType:
