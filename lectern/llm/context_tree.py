@@ -1,18 +1,20 @@
 """Language-model scoring by context-tree weighting over binary-decomposed bytes.
 
 The model writes a text as its tokens: the bytes of each word, a blank after it, and one line break at the end of the text. Each byte
-is eight binary decisions. A decision's context are the ``DEPTH`` bytes before it, back to the start of its word (blanks beyond), so
-a token's probability hangs on its bytes only and is worked out once per distinct token, not once per occurrence.
+is eight binary decisions. A decision's context are the ``DEPTH`` bytes of the running text before it, across words (blanks before
+the text's start), so the order of words counts.
 
 At each node (context of d bytes, bits of the byte so far) a Krichevsky-Trofimov estimate of the counts below it is mixed
 with the product of its children's weighted probabilities, half and half: context-tree weighting. The predictive probability of
 a bit mixes the estimates along its path with the weights that this gives; depths whose node was never seen in training take no part.
 The probabilities of both bits add up to one, so scores are those of a proper model.
 
-How it runs: one pass over the texts turns blocks of documents into local word lists with counts (as many blocks as the text
-asks for). Counts of words, then of (context, byte) keys, are summed over all training documents by Spark. The trees below each
-pair of last bytes are worked out in a group of their own; only the nodes of depth one (256 * 255 at most) meet on the driver.
-Word values go back to the blocks by a join with a row per block and distinct word, so frequent words are not hot.
+How it runs: one pass over the texts turns blocks of documents (as many as the text asks for) into local lists, with training counts, of their
+distinct words and (context, byte) keys, packed by bucket: words by their hash, keys by that of their last ``LOW`` context bytes.
+Groups of a bucket add up the lists of all blocks. The trees below each ``LOW`` bytes are worked out in their bucket; their
+tops meet by last byte, and the nodes of depth one (256 * 255 at most) on the driver. What lies above each tree goes back to its bucket,
+and each block gets the counts of its words and the log probabilities of its keys (in steps of ``STEP``), in the order of its lists.
+There every position of every text is looked up. A word or key takes part once per block, so frequent ones are not hot.
 
 Defined results: null text is empty, i.e. the end token alone; a null id counts as the empty text in the split; rows with equal ids are
 documents of their own; without training documents every bit has probability one half and V, N are 0; an empty table gives none.
@@ -20,20 +22,28 @@ documents of their own; without training documents every bit has probability one
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import text_bytes
+from lectern.llm.shared import parts_for, text_bytes
 from lectern.session import staged
 
-DEPTH = 6
-BLOCK_BYTES = 16 << 20
-CHUNK_WORDS = 300_000
+DEPTH = 6  # at most: a key's bytes and its own fit into one number
+LOW = 4  # context bytes that the keys of a bucket's tree share
+BLOCK_BYTES = 8 << 20
+BUCKET_BYTES = 32 << 20  # of text for each bucket
+MIN_BUCKETS = 48
+SLICE_BYTES = 1 << 19  # of text whose keys are in memory at once, and of a compressed part of a block's texts
+PIECE_BYTES = 1 << 18
+STEP = 2.0**-34  # to which a log probability is kept
 END = b"\n"
 KEY_TYPE = np.int64
 
@@ -42,81 +52,221 @@ def held_out(id_col: str, folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-# ------------------------------------------------------------------------------------------------ tokens in blocks
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents (word null) and rows of words (payload null), in blocks of about BLOCK_BYTES of text."""
-    part, number = TaskContext.get().partitionId(), 0
-    docs, size = [], 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        payload, n_train = [], np.zeros(0, np.int64)
-        for _, held, data in docs:
-            words = data.lower().split()
-            words.append(END)
-            ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
-            own, count = np.unique(ids, return_counts=True)
-            payload.append((np.diff(own, prepend=0).astype("<i4").tobytes(), count.astype("<i4").tobytes(), len(words)))
-            if len(known) > len(n_train):
-                n_train = np.pad(n_train, (0, max(len(known), 2 * len(n_train)) - len(n_train)))
-            if not held:
-                n_train[own] += count
-        ids, counts, n = zip(*payload)
-        block, k, w = (part << 24) + number, len(docs), len(known)
-        yield _rows(
-            block=[block] * k, doc_id=pa.array([d[0] for d in docs]), held_out=[d[1] for d in docs], n_bytes=[len(d[2]) for d in docs], n_tokens=n,
-            ids=ids, counts=counts, kind=batch_kind,
-        )
-        yield _rows(block=[block] * w, word=list(known), local=np.arange(w), n_train=n_train[:w], kind=batch_kind)
+# ------------------------------------------------------------------------------------------------ lists of blocks
+
+
+def stream(text: bytes) -> bytes:
+    """What the model writes: each word with a blank behind it, then the end."""
+    words = text.lower().split()
+    return b" ".join([*words, END])
+
+
+def running_keys(streams: list[bytes], depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pieces of: for each byte of each text a key of the ``depth`` bytes before it and itself, and the number of its text.
+
+    The last byte before it is the highest of the key, so contexts that share their last bytes stand together.
+    """
+    parts, owner, held = [], [], 0
+
+    def keyed() -> tuple[np.ndarray, np.ndarray]:
+        # each eight bytes of the text as one number: its highest byte is the key's own, those below are the bytes before it
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        eight = np.lib.stride_tricks.as_strided(data[:8].view("<u8"), (len(data) - 7,), (1,))
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        inside = np.ones(len(eight), bool)
+        inside[(np.cumsum(lengths)[:-1, None] - np.arange(1, 8)).ravel()] = False  # those that end in the blanks or bytes before a part
+        eight = eight[inside]
+        context = (eight >> np.uint64(48 - 8 * depth)) & np.uint64((1 << 8 * (depth + 1)) - 256)
+        return (context | eight >> np.uint64(56)).astype(KEY_TYPE), np.repeat(owner, lengths - 7)
+
+    for k, text in enumerate(streams):
+        for at in range(0, len(text), PIECE_BYTES):
+            parts.append(text[max(0, at - 7) : at].rjust(7, b" ") + text[at : at + PIECE_BYTES])
+            owner.append(k)
+            held += len(parts[-1])
+            if held >= SLICE_BYTES:
+                yield keyed()
+                parts, owner, held = [], [], 0
+    if parts:
+        yield keyed()
+
 
-    batch_kind = None
-    for batch in batches:
-        batch_kind = batch.schema.field("_id").type
-        for doc, held, text in zip(*(batch.column(c).to_pylist() for c in ("_id", "_held", "_text"))):
-            docs.append((doc, held, text_bytes(text)))
-            size += len(docs[-1][2]) + 1
-            if size >= BLOCK_BYTES:
-                yield from flush()
-                docs, size, number = [], 0, number + 1
-    if docs:
-        yield from flush()
+def word_keys(words: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """``running_keys`` of words that each begin a text of their own, and the number of its word."""
+    found = list(running_keys([w if w == END else w + b" " for w in words], depth))
+    return tuple(np.concatenate([x[k] for x in found] or [np.zeros(0, KEY_TYPE)]) for k in (0, 1))
+
+
+def _merged(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of ``n`` of each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
+
+
+def _key_counts(streams: list[bytes], held: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of texts, and how often each occurs in those that are not held out."""
+    own, at = np.empty(sum(map(len, streams)), KEY_TYPE), 0
+    for keys, text in running_keys(streams, depth):
+        own[at : at + len(keys)] = keys << 1 | held[text]
+        at += len(keys)
+    own.sort()
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    n = np.diff(first, append=len(own))
+    own = own[first]
+    n[own & 1 == 1] = 0
+    own >>= 1
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return own[first], np.add.reduceat(n, first)
+
+
+def _key_buckets(keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
+    shared = (keys >> (8 * (depth + 1 - min(LOW, depth)))).astype(np.uint64)
+    return ((shared * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _word_buckets(words: list[bytes], buckets: int) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+
+
+def _by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of rows by bucket, the buckets that there are, and where each begins in it."""
+    order = np.argsort(bucket, kind="stable")
+    own, first = np.unique(bucket[order], return_index=True)
+    return order, own, np.append(first, len(order))
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers as compressed bytes: all lowest bytes first."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize)
+    return _zip(raw.T.tobytes())
+
+
+def _unpack(data: bytes, n: int, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = pa.decompress(data, n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).ravel()
+
+
+def _zip(data: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=5).compress(data, asbytes=True)
+
+
+def _blocks(depth: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of documents (list null), of their texts in parts, and of the words and keys by bucket, in blocks of about BLOCK_BYTES of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        docs, size, kind = [], 0, None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            block = (part << 24) + number
+            ids, held, n_bytes, texts = zip(*docs)
+            yield _rows(kind, block=[block] * len(docs), doc_id=pa.array(ids), held_out=held, n_bytes=n_bytes, size=range(len(docs)))
+            whole = memoryview(b"".join(texts))
+            for k, at in enumerate(range(0, len(whole), SLICE_BYTES)):
+                piece = whole[at : at + SLICE_BYTES]
+                yield _rows(kind, block=[block], list=["texts"], bucket=[k], size=[len(piece)], names=[_zip(bytes(piece))])
+            del whole
+            n_train, others = Counter(), set()
+            for out, text in zip(held, texts):
+                (others if out else n_train).update(_tokens(text))
+            words = sorted(others.union(n_train))
+            n = np.fromiter(map(n_train.__getitem__, words), np.int64, len(words))
+            del n_train, others
+            order, own, first = _by_bucket(_word_buckets(words, buckets))
+            for b, start, end in zip(own, first, first[1:]):
+                at = order[start:end]
+                names = b" ".join([words[k] for k in at])
+                yield _rows(kind, block=[block], list=["words"], bucket=[b], size=[len(at)], n_bytes=[len(names)], names=[_zip(names)], counts=[_pack(n[at])])
+            del words, names
+            keys, n = _key_counts(texts, np.array(held), depth)
+            order, own, first = _by_bucket(_key_buckets(keys, depth, buckets))
+            for b, start, end in zip(own, first, first[1:]):
+                at = order[start:end]
+                names = _pack(np.diff(keys[at], prepend=0))
+                yield _rows(kind, block=[block], list=["keys"], bucket=[b], size=[len(at)], names=[names], counts=[_pack(n[at])])
+
+        for batch in batches:
+            kind = batch.schema.field("_id").type
+            for doc, held, text in zip(*(batch.column(c) for c in ("_id", "_held", "_text"))):
+                doc, held, text = doc.as_py(), held.as_py(), text.as_py()
+                text = text_bytes(text)
+                docs.append((doc, held, len(text), stream(text)))
+                size += len(text) + 1
+                if size >= BLOCK_BYTES:
+                    yield from flush()
+                    docs, size, number = [], 0, number + 1
+        if docs:
+            yield from flush()
+
+    return run
+
+
+def _tokens(text: bytes) -> list[bytes]:
+    """The tokens of a ``stream``."""
+    return [*text.split(), END]
 
 
 def _rows(kind: pa.DataType, **columns) -> pa.RecordBatch:
     types = {
-        "block": pa.int64(), "doc_id": kind, "held_out": pa.bool_(), "n_bytes": pa.int64(), "n_tokens": pa.int64(), "ids": pa.binary(), "counts": pa.binary(),
-        "word": pa.binary(), "local": pa.int32(), "n_train": pa.int64(),
+        "block": pa.int64(), "doc_id": kind, "held_out": pa.bool_(), "n_bytes": pa.int64(),
+        "list": pa.string(), "bucket": pa.int32(), "size": pa.int32(), "names": pa.binary(), "counts": pa.binary(),
     }
     n = len(columns["block"])
     return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()], names=list(types))
 
 
-# ------------------------------------------------------------------------------------------------ the tree
-
+def _key_lists(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(block, keys, training counts) of each list of a bucket."""
+    for block, size, names, counts in zip(*(table.column(c) for c in ("block", "size", "names", "counts"))):
+        size = size.as_py()
+        yield block.as_py(), np.cumsum(_unpack(names.as_py(), size, "<i8")), _unpack(counts.as_py(), size, "<i8")
+
+
+def _bucket_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a bucket with their training counts; lists are added up as they come."""
+    keys, n, held = [np.zeros(0, KEY_TYPE)], [np.zeros(0, np.int64)], 0
+    for _, own, count in _key_lists(table):
+        keys.append(own)
+        n.append(count)
+        held += len(own)
+        if held > max(1 << 21, 2 * len(keys[0])):
+            own, count = _merged(np.concatenate(keys), np.concatenate(n))
+            keys, n, held = [own], [count], 0
+    return _merged(np.concatenate(keys), np.concatenate(n))
+
+
+def _word_counts(table: pa.Table) -> pa.Table:
+    """For each list of a bucket of words: their counts in all training documents. Its first row holds the bucket's sums."""
+    sizes = table.column("size").to_numpy()
+    words = []
+    for names, length in zip(table.column("names"), table.column("n_bytes")):
+        words.append(pa.array(pa.decompress(names.as_py(), length.as_py(), codec="zstd", asbytes=True).split(b" "), pa.binary()))
+    at = pc.dictionary_encode(pa.chunked_array(words).combine_chunks()).indices.to_numpy()
+    n = np.concatenate([_unpack(c.as_py(), s, "<i8") for c, s in zip(table.column("counts"), sizes)])
+    total = np.zeros(at.max() + 1, np.int64)
+    np.add.at(total, at, n)
+    lists = np.split(total[at], np.cumsum(sizes)[:-1])
+    rest = [0] * (len(sizes) - 1)
+    return pa.table(
+        {
+            "block": table.column("block"), "list": ["words"] * len(sizes), "bucket": table.column("bucket"), "size": table.column("size"),
+            "found": pa.array(map(_pack, lists), pa.binary()),
+            "tokens": [int(total.sum()), *rest], "distinct": [int((total > 0).sum()), *rest],
+        }
+    )
 
-def word_keys(words: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each word and the blank behind it: a key of its context and itself, and the number of its word.
 
-    The last byte before it is the highest of the key, so contexts that share their last bytes stand together.
-    """
-    pad = b" " * depth
-    own = [w if w == END else w + b" " for w in words]
-    data = np.frombuffer(b"".join(pad + w for w in own), np.uint8).astype(KEY_TYPE)
-    lengths = np.fromiter(map(len, own), np.int64, len(own))
-    word = np.repeat(np.arange(len(own)), lengths)
-    at = np.arange(len(word)) + depth * (word + 1)
-    keys = data[at]
-    for d in range(1, depth + 1):
-        keys |= data[at - d] << (8 * (depth + 1 - d))
-    return keys, word
+# ------------------------------------------------------------------------------------------------ the tree
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
-    shift = np.zeros_like(x)
-    for k in range(8):
-        shift += np.log(x + k)
+    shift = x.copy()
+    for k in range(1, 8):
+        shift *= x + k
+    shift = np.log(shift)
     y = x + 8
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
@@ -126,178 +276,196 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.where(n0 + n1 > 0, _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1.0) - np.log(np.pi), 0.0)
 
 
-class Subtree:
-    """Nodes of depth ``low`` to ``depth`` over some (context, byte) keys that share ``low`` context bytes."""
+class Levels:
+    """Nodes of depth ``low`` to ``depth``, from those of the deepest: names (bits so far, then the context's last bytes), counts, weighted probabilities."""
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int, low: int):
+    def __init__(self, names: np.ndarray, n: np.ndarray, log_pw: np.ndarray, depth: int, low: int):
         self.depth, self.low = depth, low
-        byte, context = keys & 255, keys >> 8
-        prefix = np.concatenate([(1 << k) | (byte >> (8 - k)) for k in range(8)])
-        bit = np.concatenate([(byte >> (7 - k)) & 1 for k in range(8)])
-        context, n = np.tile(context, 8), np.tile(n, 8).astype(float)
-        # a node of any depth is a run of leaves in this order
-        leaf = (prefix << (8 * depth)) | context
-        self.leaves, self.of_row = np.unique(leaf, return_inverse=True)
-        self.bit = bit
-        self.n = {depth: np.stack([np.bincount(self.of_row, n * (bit == b), len(self.leaves)) for b in (0, 1)], axis=1)}
-        self.log_pw, self.beta, self.up = {depth: log_kt(*self.n[depth].T)}, {}, {}
-        names = self.leaves
+        self.n, self.log_pw, self.beta, self.up = {depth: n}, {depth: log_pw}, {}, {}
         for d in range(depth - 1, low - 1, -1):
             names, first, self.up[d + 1] = np.unique(names >> 8, return_index=True, return_inverse=True)
             self.n[d] = np.add.reduceat(self.n[d + 1], first)
             kt, below = log_kt(*self.n[d].T), np.add.reduceat(self.log_pw[d + 1], first)
             self.beta[d] = kt - below
             self.log_pw[d] = np.logaddexp(kt, below) - np.log(2)
-        self.top = names  # (prefix, the context's last bytes)
-
-    def ones(self, above: np.ndarray | None = None) -> np.ndarray:
-        """For each leaf: the probabilities of bit 0 and 1. ``above`` (per top node): what the shallower depths say (log weight of
-        the part below, probabilities of both bits from above); none at the root."""
-        estimate = {d: (self.n[d] + 0.5) / (self.n[d].sum(axis=1, keepdims=True) + 1) for d in self.n}
-        seen = {d: self.n[d].sum(axis=1) > 0 for d in self.n}
-        p = estimate[self.depth]
-        # from the leaf upwards: node of depth d for each leaf
-        node = np.arange(len(self.leaves))
-        for d in range(self.depth - 1, self.low - 1, -1):
-            below_seen = seen[d + 1][node]
-            node = self.up[d + 1][node]
-            own = 1 / (1 + np.exp(-np.clip(self.beta[d][node], -700, 700)))
-            own = np.where(below_seen, own, 1.0)[:, None]
-            p = own * estimate[d][node] + (1 - own) * p
-        if above is not None:
-            share, rest = above[0][node], above[1][node]
-            share = np.where(seen[self.low][node], share, 0.0)[:, None]
-            p = share * p + (1 - share) * rest
-        return p
+        self.top = names
+
+    def fall(self, share: np.ndarray | None = None, from_above: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each of the deepest nodes: the weight of itself and all below, and what the shallower depths say of both bits, times their weights.
+
+        Given the same of the top nodes; at the root nothing lies above.
+        """
+        if share is None:
+            share, from_above = np.ones(len(self.top)), np.zeros((len(self.top), 2))
+        for d in range(self.low, self.depth):
+            own = 1 / (1 + np.exp(-np.clip(self.beta[d], -700, 700)))
+            up = self.up[d + 1]
+            own = np.where(self.n[d + 1].sum(axis=1) > 0, own[up], 1.0)
+            from_above = from_above[up] + (share[up] * own)[:, None] * self.estimate(d)[up]
+            share = share[up] * (1 - own)
+        return share, from_above
+
+    def estimate(self, d: int) -> np.ndarray:
+        return (self.n[d] + 0.5) / (self.n[d].sum(axis=1, keepdims=True) + 1)
+
+
+class Subtree(Levels):
+    """Nodes of depth ``low`` to ``depth`` over some (context, byte) keys; keys that share ``low`` context bytes are there together."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int, low: int):
+        byte, context = keys & 255, keys >> 8
+        prefix = np.concatenate([(1 << k) | (byte >> (8 - k)) for k in range(8)])
+        self.bit = np.concatenate([(byte >> (7 - k)) & 1 for k in range(8)])
+        # a node of any depth is a run of leaves in this order
+        leaf = (prefix << (8 * depth)) | np.tile(context, 8)
+        leaves, self.of_row = np.unique(leaf, return_inverse=True)
+        n = np.tile(n, 8).astype(float)
+        n = np.stack([np.bincount(self.of_row, n * (self.bit == b), len(leaves)) for b in (0, 1)], axis=1)
+        super().__init__(leaves, n, log_kt(*n.T), depth, low)
+
+    def ones(self, share: np.ndarray | None = None, from_above: np.ndarray | None = None) -> np.ndarray:
+        """For each leaf: the probabilities of bit 0 and 1, given what lies above the top nodes (``fall``)."""
+        share, p = self.fall(share, from_above)
+        return p + share[:, None] * self.estimate(self.depth)
 
     def log10(self, p: np.ndarray, n_keys: int) -> np.ndarray:
         """log10 probability of each key's byte."""
         return np.log10(p[self.of_row, self.bit]).reshape(8, n_keys).sum(axis=0)
 
 
-def _shallow(nodes: dict[tuple[int, int], tuple[float, float, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From all depth-one nodes ((byte, prefix) -> n0, n1, log_pw): what lies above each of them, at the root."""
-    n, pw, there = np.zeros((256, 256, 2)), np.zeros((256, 256)), np.zeros((256, 256), bool)
-    for (byte, prefix), (n0, n1, log_pw) in nodes.items():
-        n[byte, prefix], pw[byte, prefix], there[byte, prefix] = (n0, n1), log_pw, True
-    root = n.sum(axis=0)
-    root_estimate = (root + 0.5) / (root.sum(axis=1, keepdims=True) + 1)
-    beta = log_kt(*root.T) - pw.sum(axis=0)
-    share_below = 1 / (1 + np.exp(np.clip(beta, -700, 700)))  # weight of depth one and deeper
-    return n, share_below, root_estimate
+NODES = "bucket int, c1 int, node long, n0 double, n1 double, log_pw double"
 
 
-def _key_values(keys: DataFrame, depth: int) -> DataFrame:
-    """(key, logp): log10 probability of the byte of each key after its context, from (key, n)."""
-    c1, c2 = F.shiftright("key", 8 * depth).cast("int"), F.shiftright("key", 8 * (depth - 1)).bitwiseAND(255).cast("int")
-    keys = keys.withColumns({"_c1": c1, "_c2": c2})
+def _key_values(lists: DataFrame, depth: int) -> DataFrame:
+    """(block, list, bucket, size, found): log10 probabilities of the bytes of each list's keys after their contexts."""
+    low = min(LOW, depth)
 
-    def two_bytes(table: pa.Table) -> pa.Table:
-        """Nodes of depth two."""
-        tree = Subtree(table.column("key").to_numpy(), table.column("n").to_numpy(), depth, 2)
-        c1 = table.column("_c1")[0].as_py()
-        return pa.table({"c1": [c1] * len(tree.top), "prefix": tree.top >> 16, "n0": tree.n[2][:, 0], "n1": tree.n[2][:, 1], "log_pw": tree.log_pw[2]})
+    def tops(table: pa.Table) -> pa.Table:
+        """Nodes of depth ``low``."""
+        tree = Subtree(*_bucket_keys(table), depth, low)
+        n = len(tree.top)
+        return pa.table(
+            {
+                "bucket": pa.array(np.full(n, table.column("bucket")[0].as_py(), np.int32)), "c1": pa.array(((tree.top >> (8 * (low - 1))) & 255).astype(np.int32)),
+                "node": tree.top, "n0": tree.n[low][:, 0], "n1": tree.n[low][:, 1], "log_pw": tree.log_pw[low],
+            }
+        )
+
+    nodes = staged(lists.groupBy("bucket").applyInArrow(tops, NODES), "ctw-nodes")
+
+    def upper(table: pa.Table) -> tuple[pa.Table, Levels]:
+        """Depth one to ``low`` over one last byte."""
+        table = table.sort_by("node")
+        node, n0, n1, log_pw = (table.column(c).to_numpy() for c in ("node", "n0", "n1", "log_pw"))
+        return table, Levels(node, np.stack([n0, n1], axis=1), log_pw, low, 1)
 
     def one_byte(table: pa.Table) -> pa.Table:
-        """Nodes of depth one: 255 at most for each byte, from 256 * 255 rows at most."""
-        prefix, n0, n1, pw = (table.column(c).to_numpy() for c in ("prefix", "n0", "n1", "log_pw"))
-        a, b, below = (np.bincount(prefix, x, 256) for x in (n0, n1, pw))
-        own = np.unique(prefix)
-        log_pw = np.logaddexp(log_kt(a[own], b[own]), below[own]) - np.log(2)
-        beta = log_kt(a[own], b[own]) - below[own]
-        return pa.table({"c1": [table.column("c1")[0].as_py()] * len(own), "prefix": own, "n0": a[own], "n1": b[own], "log_pw": log_pw, "beta": beta})
-
-    two = keys.groupBy("_c1", "_c2").applyInArrow(two_bytes, "c1 long, prefix long, n0 double, n1 double, log_pw double")
-    ones = two.groupBy("c1").applyInArrow(one_byte, "c1 long, prefix long, n0 double, n1 double, log_pw double, beta double").collect()
-    n, share_root, root = _shallow({(r.c1, r.prefix): (r.n0, r.n1, r.log_pw) for r in ones})
-    share_one = np.zeros((256, 256))
-    for r in ones:
-        share_one[r.c1, r.prefix] = 1 / (1 + np.exp(np.clip(r.beta, -700, 700)))
-
-    def values(table: pa.Table) -> pa.Table:
-        own = table.column("key").to_numpy()
-        tree = Subtree(own, table.column("n").to_numpy(), depth, 2)
-        c1, prefix = table.column("_c1")[0].as_py(), tree.top >> 16
-        # depth one over the root, for each node of depth two
-        seen = n[c1, prefix].sum(axis=1, keepdims=True)
-        one = (n[c1, prefix] + 0.5) / (seen + 1)
-        w = np.where(seen[:, 0] > 0, share_root[prefix], 0.0)[:, None]
-        # p = (1 - w) root + w (share_one p2 + (1 - share_one) one) where depth two was seen, else w one instead
-        share = w[:, 0] * share_one[c1, prefix]
-        with_two = (1 - w) * root[prefix] + w * (1 - share_one[c1, prefix])[:, None] * one
-        without = (1 - w) * root[prefix] + w * one
-        rest = np.where(share[:, None] < 1, with_two / np.maximum(1 - share, 1e-300)[:, None], 0.5)
-        two_seen = (tree.n[2].sum(axis=1) > 0)[:, None]
-        p = tree.ones((share, np.where(two_seen, rest, without)))
-        return pa.table({"key": own, "logp": tree.log10(p, len(own))})
-
-    return keys.groupBy("_c1", "_c2").applyInArrow(values, "key long, logp double")
+        tree = upper(table)[1]
+        return pa.table({"node": tree.top, "n0": tree.n[1][:, 0], "n1": tree.n[1][:, 1], "log_pw": tree.log_pw[1]})
+
+    ones = sorted(nodes.groupBy("c1").applyInArrow(one_byte, "node long, n0 double, n1 double, log_pw double").collect())
+    if ones:
+        names, n0, n1, log_pw = map(np.array, zip(*ones))
+        root_share, root_above = Levels(names, np.stack([n0, n1], axis=1), log_pw, 1, 0).fall()
+
+    def lower(table: pa.Table) -> pa.Table:
+        """What lies above each node of depth ``low``."""
+        table, tree = upper(table)
+        at = np.searchsorted(names, tree.top)
+        share, p = tree.fall(root_share[at], root_above[at])
+        return pa.table({"at": table.column("bucket"), "node": table.column("node"), "share": share, "p0": p[:, 0], "p1": p[:, 1]})
+
+    above = nodes.groupBy("c1").applyInArrow(lower, "at int, node long, share double, p0 double, p1 double")
+
+    def values(own: pa.Table, found: pa.Table) -> pa.Table:
+        keys, n = _bucket_keys(own)
+        found = found.sort_by("node")
+        share, p0, p1 = (found.column(c).to_numpy() for c in ("share", "p0", "p1"))
+        tree = Subtree(keys, n, depth, low)
+        logp = tree.log10(tree.ones(share, np.stack([p0, p1], axis=1)), len(keys))
+        steps = np.rint(-logp / STEP).astype("<i8")
+        out = pa.array((_pack(steps[np.searchsorted(keys, k)]) for _, k, _ in _key_lists(own)), pa.binary())
+        return pa.table({"block": own.column("block"), "list": own.column("list"), "bucket": own.column("bucket"), "size": own.column("size"), "found": out})
+
+    return lists.groupBy("bucket").cogroup(above.groupBy("at")).applyInArrow(values, "block long, list string, bucket int, size int, found binary")
 
 
 # ------------------------------------------------------------------------------------------------ scores
 
 
+def _in_order(found: pa.Table, name: str, order: np.ndarray) -> np.ndarray:
+    """The numbers of a block's lists, in the order of its words or keys."""
+    found = found.filter(pc.equal(found.column("list"), name)).sort_by("bucket")
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.concatenate([_unpack(v.as_py(), s.as_py(), "<i8") for v, s in zip(found.column("found"), found.column("size"))])
+    return out
+
+
+def _texts(found: pa.Table) -> list[bytes]:
+    """The streams of a block's documents."""
+    found = found.filter(pc.equal(found.column("list"), "texts")).sort_by("bucket")
+    whole = b"".join(pa.decompress(v.as_py(), s.as_py(), codec="zstd", asbytes=True) for v, s in zip(found.column("found"), found.column("size")))
+    return [text + END for text in whole.split(END)[:-1]]
+
+
 def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every document.
 
     ``held`` tells the documents that the model does not learn from.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    doc_id = docs.schema[id_col].dataType.simpleString()
+    buckets = max(MIN_BUCKETS, parts_for(docs.agg(F.sum(F.octet_length(text_col))).first()[0], BUCKET_BYTES))
     rows = docs.select(F.col(id_col).alias("_id"), held.alias("_held"), F.col(text_col).alias("_text")).mapInArrow(
-        _blocks,
-        f"block long, doc_id {kind}, held_out boolean, n_bytes long, n_tokens long, ids binary, counts binary, word binary, local int, n_train long",
+        _blocks(depth, buckets),
+        f"block long, doc_id {doc_id}, held_out boolean, n_bytes long, list string, bucket int, size int, names binary, counts binary",
     )
     rows = staged(rows, "ctw-blocks")
-    documents, words = rows.where("word IS NULL").drop("word", "local", "n_train"), rows.where("word IS NOT NULL").select("block", "word", "local", "n_train")
-
-    vocabulary = staged(words.groupBy("word").agg(F.sum("n_train").alias("n")), "ctw-words")
-    total = vocabulary.agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("distinct"), F.count("*").alias("words")).first()
-    chunks = max(1, -(-total["words"] // CHUNK_WORDS))
-    vocabulary = vocabulary.withColumn("chunk", F.pmod(F.xxhash64("word"), F.lit(chunks)))
-
-    def chunk_keys(table: pa.Table) -> pa.Table:
-        keys, word = word_keys(table.column("word").to_pylist(), depth)
-        own, at = np.unique(keys, return_inverse=True)
-        n = np.bincount(at, table.column("n").to_numpy()[word], len(own)).astype(np.int64)
-        return pa.table({"chunk": np.full(len(own), table.column("chunk")[0].as_py()), "key": own, "n": n})
-
-    chunked = staged(vocabulary.groupBy("chunk").applyInArrow(chunk_keys, "chunk long, key long, n long"), "ctw-keys")
-    keys = staged(chunked.groupBy("key").agg(F.sum("n").alias("n")), "ctw-counts")
-    values = staged(_key_values(keys, depth), "ctw-values")
-
-    def word_values(own: pa.Table, found: pa.Table) -> pa.Table:
-        keys, word = word_keys(own.column("word").to_pylist(), depth)
-        known, logp = found.column("key").to_numpy(), found.column("logp").to_numpy()
-        order = np.argsort(known)
-        value = np.bincount(word, logp[order][np.searchsorted(known[order], keys)], own.num_rows)
-        return pa.table({"word": own.column("word"), "n": own.column("n"), "logp": value})
-
-    looked_up = chunked.select(F.col("chunk").alias("at"), "key").join(values, "key")
-    scored = vocabulary.groupBy("chunk").cogroup(looked_up.groupBy("at")).applyInArrow(word_values, "word binary, n long, logp double")
+    documents = rows.where("list IS NULL").select("block", "doc_id", "held_out", "n_bytes", F.col("size").alias("place"))
+    texts = rows.where("list = 'texts'").select("block", "list", "bucket", "size", F.col("names").alias("found"))
+    lists = rows.where("list IN ('words', 'keys')").select("block", "list", "bucket", "size", "n_bytes", "names", "counts")
 
+    counted = lists.where("list = 'words'").groupBy("bucket").applyInArrow(
+        _word_counts, "block long, list string, bucket int, size int, found binary, tokens long, distinct long"
+    )
+    counted = staged(counted, "ctw-words")
+    total = counted.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
     tokens, distinct = int(total["tokens"] or 0), int(total["distinct"] or 0)
+    values = _key_values(lists.where("list = 'keys'").drop("n_bytes"), depth)
 
     def document_values(own: pa.Table, found: pa.Table) -> pa.Table:
-        local = found.column("local").to_numpy()
-        c, logp = np.zeros(len(local), np.int64), np.zeros(len(local))
-        c[local], logp[local] = found.column("n").to_numpy(), found.column("logp").to_numpy()
+        own, texts = own.sort_by("place"), _texts(found)
+        words = set()
+        for text in texts:
+            words.update(_tokens(text))
+        words = sorted(words)
+        c = _in_order(found, "words", _by_bucket(_word_buckets(words, buckets))[0])
+        local = dict(zip(words, range(len(words))))
         base = np.log10((c + 1) / (tokens + distinct + 1))
-        out = []
-        for ids, counts in zip(own.column("ids").to_pylist(), own.column("counts").to_pylist()):
-            k, n = np.cumsum(np.frombuffer(ids, "<i4")), np.frombuffer(counts, "<i4")
-            out.append((int(n[c[k] > 0].sum()), float(n @ base[k]), float(n @ logp[k])))
-        known, base_score, score = zip(*out)
-        n_bytes = own.column("n_bytes").to_numpy()
+        n_tokens, n_known, base_score = [], [], []
+        for text in texts:
+            split = _tokens(text)
+            at = np.fromiter(map(local.__getitem__, split), np.int64, len(split))
+            n_tokens.append(len(split))
+            n_known.append(int((c[at] > 0).sum()))
+            base_score.append(float(base[at].sum()))
+        del local, words
+
+        keys, _ = _key_counts(texts, np.zeros(len(texts), bool), depth)
+        logp = _in_order(found, "keys", _by_bucket(_key_buckets(keys, depth, buckets))[0]) * -STEP
+        score = np.zeros(len(texts))
+        for key, text in running_keys(texts, depth):
+            distinct_keys, at = np.unique(key, return_inverse=True)
+            score += np.bincount(text, logp[np.searchsorted(keys, distinct_keys)][at], len(texts))
         return pa.table(
             {
-                "doc_id": own.column("doc_id"), "held_out": own.column("held_out"), "n_tokens": own.column("n_tokens"), "n_known": pa.array(known, pa.int64()),
+                "doc_id": own.column("doc_id"), "held_out": own.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
                 "train_tokens": pa.array([tokens] * own.num_rows, pa.int64()), "base_score": base_score, "score": score,
-                "bits_per_byte": -np.array(score) / np.log10(2) / (n_bytes + 1),
+                "bits_per_byte": -score / np.log10(2) / (own.column("n_bytes").to_numpy() + 1),
             }
         )
 
-    per_block = words.select(F.col("block").alias("at"), "word", "local").join(scored, "word").select("at", "local", "n", "logp")
-    return documents.groupBy("block").cogroup(per_block.groupBy("at")).applyInArrow(
+    found = counted.drop("tokens", "distinct").unionByName(values).unionByName(texts).withColumnRenamed("block", "at")
+    return documents.groupBy("block").cogroup(found.groupBy("at")).applyInArrow(
         document_values,
-        f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double",
+        f"doc_id {doc_id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double",
     )
