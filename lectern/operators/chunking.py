@@ -81,7 +81,9 @@ def split_sections(blocks: DataFrame, keys: Sequence[str], order: str) -> DataFr
     sections = numbered.groupBy(*keys, "section").agg(
         F.max("_level").alias("_level"), F.max("_title").alias("_title"), join_ordered([order, "_line"], "line", "\n").alias("text")
     )
-    heads = staged(sections.select(*keys, "section", "_level", "_title"), "sections")
+    # Read for the heading paths and for the result: lines are numbered and joined once.
+    sections = staged(sections, "sections")
+    heads = sections.select(*keys, "section", "_level", "_title")
     return join_null_safe(sections.drop("_level", "_title"), _heading_path(heads, keys).drop("_level", "_title"), [*keys, "section"])
 
 
@@ -104,7 +106,8 @@ def merge_short_sections(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Prepend each section shorter than ``min_length`` to the next one; later headings win."""
-    rows = sections.withColumn("text", T.strip(F.col("text"))).where(F.col("text") != "")
+    # Stored, as the runs are decided on sizes and texts are joined to them afterwards; else all steps before would run twice.
+    rows = staged(sections.withColumn("text", T.strip(F.col("text"))).where(F.col("text") != ""), "sections")
     # +1 per row stands for the line break between merged sections.
     extra = 1 if unit == "chars" else 0
     size = size_in(unit, F.col("text")) + extra
@@ -120,6 +123,7 @@ def greedy_chunks(
 
     Output (*keys, order of the first section, piece, h1..h4, text).
     """
+    sections = staged(sections, "sections")  # as in ``merge_short_sections``
     deepest = F.coalesce(*[F.when(F.col(h).isNotNull(), F.lit(i)) for i, h in ((4, "h4"), (3, "h3"), (2, "h2"), (1, "h1"))], F.lit(0))
     features = {"_size": size_in(unit, F.col("text")), "_strong": deepest.isin(1, 2)}
     jump = runs.overflow("_size", chunk_size, "_strong")

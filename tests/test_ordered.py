@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lectern.operators import runs, tables
+from lectern.operators import chunking, runs, tables
 from lectern.operators.ordered import block_of, carry_last, neighbours, positions, running_sums
 
 
@@ -186,3 +186,19 @@ def test_running_sum_without_keys(spark):
     df = spark.range(1000).select(F.col("id").alias("p"), F.lit(2).alias("v"))
     out = running_sums(df, {"total": F.col("v")}, [], ["p"], block_of("p", 50))
     assert out.where("total <> 2 * (p + 1)").count() == 0
+
+
+def test_packing_reads_its_sections_once(spark):
+    """Texts are joined to the runs after these are decided; the steps before must not run again for that."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(text):
+        seen.add(1)
+        return text
+
+    rows = [("a", k, f"{k} " * (k % 40 + 1)) for k in range(300)]
+    looked = F.udf(look, "string").asNondeterministic()
+    sections = spark.createDataFrame(rows, "source string, section long, text string").withColumn("text", looked("text"))
+    headed = sections.select("*", *[F.lit(None).cast("string").alias(h) for h in chunking.HEADINGS])
+    merged = chunking.greedy_chunks(chunking.merge_short_sections(headed, ["source"], "section"), ["source"], "section").collect()
+    assert seen.value == len(rows) and sum(len(r.text.split()) for r in merged) >= sum(k % 40 + 1 for k in range(300))
