@@ -25,14 +25,14 @@ def _key_cols(keys: Sequence[str]) -> list:
     return [F.col(k) for k in keys] or [F.lit(0)]
 
 
+def _in_blocks(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+    """Add ``_blk``, and ``_own``, key and block as one value: null keys are equal in it, so windows and the join back need one exchange."""
+    return df.withColumn("_blk", block).withColumn("_own", F.struct(*keys, "_blk"))
+
+
 def _join_back(df: DataFrame, per_block: DataFrame, keys: Sequence[str]) -> DataFrame:
-    right = per_block
-    cond = F.col("_blk") == F.col("_rblk")
-    right = right.withColumnRenamed("_blk", "_rblk")
-    for k in keys:
-        right = right.withColumnRenamed(k, f"_r_{k}")
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return df.join(right, cond, "left").drop("_rblk", *[f"_r_{k}" for k in keys])
+    right = per_block.withColumn("_block", F.struct(*keys, "_blk")).drop(*keys, "_blk")
+    return df.join(right, F.col("_own") == F.col("_block"), "left").drop("_own", "_block")
 
 
 def running_sums(
@@ -40,8 +40,8 @@ def running_sums(
 ) -> DataFrame:
     """Add inclusive running sums along ``order`` within ``keys`` (no keys: over the whole table)."""
     cols = df.columns
-    base = df.withColumn("_blk", block)
-    inside = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    base = _in_blocks(df, keys, block)
+    inside = Window.partitionBy("_own").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = (
         Window.partitionBy(*_key_cols(keys)).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -65,9 +65,9 @@ def carry_last(
 ) -> DataFrame:
     """Add the last non-null value seen so far along ``order`` within ``keys``."""
     cols = df.columns
-    base = df.select("*", block.alias("_blk"), *[v.alias(f"_v_{n}") for n, v in values.items()])
+    base = _in_blocks(df, keys, block).select("*", *[v.alias(f"_v_{n}") for n, v in values.items()])
     at = F.struct(*order)
-    inside = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_own").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = (
         Window.partitionBy(*_key_cols(keys)).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -87,9 +87,9 @@ def neighbours(
 ) -> DataFrame:
     """Add the value of the row before and of the row behind along ``order`` within ``keys``."""
     cols = df.columns
-    base = df.withColumn("_blk", block)
+    base = _in_blocks(df, keys, block)
     at = F.struct(*order)
-    inside = Window.partitionBy(*keys, "_blk").orderBy(*order)
+    inside = Window.partitionBy("_own").orderBy(*order)
     across = Window.partitionBy(*_key_cols(keys)).orderBy("_blk")
     edges = base.groupBy(*keys, "_blk").agg(F.min_by(value, at).alias("_lo"), F.max_by(value, at).alias("_hi"))
     edges = edges.select(

@@ -202,3 +202,14 @@ def test_packing_reads_its_sections_once(spark):
     headed = sections.select("*", *[F.lit(None).cast("string").alias(h) for h in chunking.HEADINGS])
     merged = chunking.greedy_chunks(chunking.merge_short_sections(headed, ["source"], "section"), ["source"], "section").collect()
     assert seen.value == len(rows) and sum(len(r.text.split()) for r in merged) >= sum(k % 40 + 1 for k in range(300))
+
+
+def test_rows_move_once_for_running_sums(spark, table):
+    """One exchange of the rows, and three of the narrow sums of blocks."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = running_sums(table, {"total": F.col("size")}, ["k"], ["p"], block_of("p", 64))
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
