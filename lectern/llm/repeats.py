@@ -40,6 +40,7 @@ RUN = 256
 HOT = 4096
 GROUP_BYTES = 1 << 20
 BUCKET_BYTES = 8 << 20
+PACKED = 4  # symbols that the first sort of suffixes compares
 SMALL = 32 << 20  # bytes of a table that is broadcast instead of shuffling texts or all segments
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,21 +114,43 @@ def _find_segments(length: int):
 # ------------------------------------------------------------------------------------------------ suffixes of a group
 
 
+def _by_key(key: np.ndarray, bits: int) -> np.ndarray:
+    """Places in the order of keys of so many bits; sorted together with the places where both fit one number, which is faster."""
+    own = len(key).bit_length()
+    if bits + own > 63:
+        return np.argsort(key)
+    return np.sort(key << own | np.arange(len(key))) & ((1 << own) - 1)
+
+
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """By prefix doubling; the last symbol of each segment occurs once, so all ranks get different."""
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    n, h = len(rank), 1
+    """By prefix doubling from ``PACKED`` symbols on; symbols above 255 occur once, the last one is such. Only ties are sorted again."""
+    n, end = len(symbols), symbols > 255
+    key, after, code = np.zeros(n, np.int64), np.zeros(n, bool), np.minimum(symbols, 256) + 1
+    for k in range(PACKED):
+        key <<= 9
+        key[: n - k] += np.where(after[: n - k], 0, code[k:])
+        after[: n - k] |= end[k:]
+    order = _by_key(key, 9 * PACKED)
+    # those with a separator among the packed symbols are different all the same, in the order of their separators
+    alone = after[order]
+    own = order[alone]
+    order[alone] = own[np.lexsort((own, key[own]))]
+    key = key[order]
+    head = np.concatenate([[True], (key[1:] != key[:-1]) | alone[1:]])  # of the suffixes that share the first h symbols
+    rank, h, bits = np.empty(n, np.int64), PACKED, n.bit_length()
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     while True:
-        after = np.zeros(n, np.int64)
-        after[: n - h] = rank[h:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key)
-        ordered = key[order]
-        new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
+        tied = ~head
+        tied[:-1] |= ~head[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
             return order
+        own = order[at]
+        key = rank[own] << bits | rank[own + h]  # tied ones have no separator among h symbols, so they do not end there
+        by = _by_key(key, 2 * bits)
+        own, key = own[by], key[by]
+        order[at], head[at] = own, np.concatenate([[True], key[1:] != key[:-1]])
+        rank[own] = np.maximum.accumulate(np.where(head[at], at, 0))
         h *= 2
 
 
@@ -138,24 +161,25 @@ def open_borders(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndar
     still open gives it the common prefix n - 1 and is extended further; others have been seen.
     """
     n = len(order)
-    bwt = symbols[order - 1]  # the symbol before each suffix; before the first one stands the last separator
-    back = np.empty(n, np.int64)
-    back[np.argsort(bwt, kind="stable")] = np.arange(n)
+    rank = np.empty(n, np.int32)
+    rank[order] = np.arange(n, dtype=np.int32)
+    back = rank[order - 1]  # the place of the suffix with one symbol more in front; before the first stands the last separator
+    letter, owner = symbols[order].astype(np.int32), np.empty(n, np.int32)
     border = np.ones(n + 1, bool)
     border[0] = border[n] = False
-    left, right, symbols_end = np.array([0]), np.array([n]), int(symbols.max()) + 1
+    left, right = np.array([0]), np.array([n])
     for level in range(length):
-        sizes = right - left
-        interval = np.repeat(np.arange(len(left)), sizes)
-        at = np.arange(len(interval)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + left[interval]
-        if not len(at):
+        if not len(left):
             break
-        # all elements of an interval with one symbol in front: the first and last of them give the new interval
-        key = interval * symbols_end + bwt[at]
-        by = np.argsort(key)
-        at, key = at[by], key[by]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        to_left, to_right = back[np.minimum.reduceat(at, first)], back[np.maximum.reduceat(at, first)] + 1
+        sizes = right - left
+        interval = np.repeat(np.arange(len(left), dtype=np.int32), sizes)
+        to = back[np.arange(len(interval)) + np.repeat(left - np.cumsum(sizes) + sizes, sizes)]
+        # all elements of an interval with one symbol in front stand together: the first and last of them give the new interval
+        owner[to] = interval
+        to.sort()
+        mine, front = owner[to], letter[to]
+        first = np.flatnonzero(np.concatenate([[True], (mine[1:] != mine[:-1]) | (front[1:] != front[:-1])]))
+        to_left, to_right = to[first], to[np.append(first[1:], len(to)) - 1] + 1
         found = border[to_right] | ((level == 0) & (to_right == n))
         border[to_right] = False
         # an interval of one suffix has no border inside; its right border is closed all the same

@@ -47,6 +47,27 @@ def test_borders_equal_plain_prefixes():
             assert np.unpackbits(np.frombuffer(own, np.uint8), count=k).tolist() == [int(count[t[i : i + n]] > 1) for i in range(k)]
 
 
+def joined(texts):
+    out = []
+    for k, t in enumerate(texts):
+        out += [*t, 256 + k]
+    return np.array(out)
+
+
+def test_suffixes_are_in_order_and_only_ties_are_sorted_again(monkeypatch):
+    rng = random.Random(3)
+    for letters in (b"a", b"ab", bytes(range(256))):
+        texts = [bytes(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(rng.randrange(1, 12))]
+        symbols = joined([*texts, *texts[:3]])
+        assert repeats.suffix_array(symbols).tolist() == sorted(range(len(symbols)), key=lambda k: symbols[k:].tolist())
+    sorted_keys = []
+    by_key = repeats._by_key
+    monkeypatch.setattr(repeats, "_by_key", lambda key, bits: sorted_keys.append(len(key)) or by_key(key, bits))
+    symbols = joined([rng.randbytes(400) for _ in range(50)] + [b"x" * 50] * 2)
+    assert repeats.suffix_array(symbols).tolist() == sorted(range(len(symbols)), key=lambda k: symbols[k:].tolist())
+    assert sum(sorted_keys) < 1.1 * len(symbols)
+
+
 @pytest.mark.parametrize("hot", [repeats.HOT, 1])
 def test_random_passages(spark, hot):
     rng = random.Random(5)
