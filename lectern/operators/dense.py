@@ -26,7 +26,8 @@ CELL_ROWS = 20_000  # rows per side of a grid cell
 PRODUCT_SIZE = 4_000_000  # entries of one score block
 BLOCK_QUERIES = 2048  # queries of a score block
 SINGLE = 2.0**-23  # relative step of single precision
-FIRST_ITEMS = 64  # items of the first score block; later ones are twice as large each, up to the size above
+EXACT_VALUES = 1 << 23  # numbers of vectors that are worked out at once
+STEP = 1.1 * 10.0**-SCORE_DIGITS  # scores further apart stay in their order when they are rounded
 
 
 def _cut(frame: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -44,18 +45,24 @@ def _search(q_ids, q, ids, v, k: int, skip_same: bool) -> pd.DataFrame:
     wanted, found = k + 1 if skip_same else k, []
     # Single precision picks the rows that are worked out, with room for its error.
     narrow_q, narrow_v, room = q.astype(np.float32), v.astype(np.float32), SINGLE * (v.shape[1] + 8)
+    piece = max(1, EXACT_VALUES // max(1, v.shape[1]))
+    finite = bool(np.isfinite(narrow_q).all() and np.isfinite(narrow_v).all())
     for first in range(0, len(q_ids), BLOCK_QUERIES):
         block = narrow_q[first : first + BLOCK_QUERIES]
         best = Best(len(block), wanted)
-        lo, step = 0, FIRST_ITEMS
-        while lo < len(ids):
+        step = max(1, PRODUCT_SIZE // len(block))
+        for lo in range(0, len(ids), step):
             scores = block @ narrow_v[lo : lo + step].T
-            # Few pass once the first items are in.
-            row, at = np.divmod(np.flatnonzero(scores > (best.floor() - room).astype(np.float32)[:, None]), scores.shape[1])
+            least = best.floor() - room
+            # Few pass once the first items are in; of those, none that stays behind the best by more than all errors.
+            if lo == 0 and finite and scores.shape[1] > wanted:
+                least = np.partition(scores, -wanted, axis=1)[:, -wanted].astype(float) - 3 * room - STEP
+            row, at = np.divmod(np.flatnonzero(scores > least.astype(np.float32)[:, None]), scores.shape[1])
             at += lo
-            value = np.round(np.einsum("ij,ij->i", q[row + first], v[at]), SCORE_DIGITS) + 0.0
-            best.offer(row, at, value)
-            lo, step = lo + step, min(2 * step, max(FIRST_ITEMS, PRODUCT_SIZE // len(block)))
+            # In pieces: where many vectors are alike, all pairs of a block pass.
+            for n in range(0, len(row), piece):
+                r, a = row[n : n + piece], at[n : n + piece]
+                best.offer(r, a, np.round(np.einsum("ij,ij->i", q[r + first], v[a]), SCORE_DIGITS) + 0.0)
         row, at, value = best.found()
         found.append(pd.DataFrame({"query_id": q_ids[row + first], "chunk_id": ids[at], "score": value}))
     # Rows of a repeated query id share its places.

@@ -1,5 +1,7 @@
 """Retrieval operators on small rows: exactness of both vector ways, fusion rules, context rules."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +46,37 @@ def test_dense_ways_are_exact(vectors, key, bound):
     assert by_query(got) == brute(rows, 5, key is not None)
 
 
+def plain_search(ids, v, k):
+    out = []
+    for i, q in zip(ids, v):
+        best = sorted((-round(float(x @ q), 6) + 0.0, j) for j, x in zip(ids, v))[: k + 1]
+        out += [(i, j, -s) for s, j in best if j != i][:k]
+    return sorted(out)
+
+
+def test_cell_of_equal_vectors_stays_in_bounded_memory():
+    n, rng = 2500, np.random.default_rng(4)
+    v = np.repeat(dense.unit_rows(rng.normal(size=(1, 64))), n, axis=0)
+    tracemalloc.start()
+    found = dense._search(np.arange(n), v, np.arange(n), v, 3, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+    assert found.groupby("query_id")["chunk_id"].apply(list).tolist() == [[j for j in range(5) if j != i][:3] if i < 4 else [0, 1, 2] for i in range(n)]
+
+
+@pytest.mark.parametrize("block", [1, 50, 4_000_000])
+def test_cell_with_near_ties(monkeypatch, block):
+    monkeypatch.setattr(dense, "PRODUCT_SIZE", block)
+    monkeypatch.setattr(dense, "BLOCK_QUERIES", 37)
+    monkeypatch.setattr(dense, "EXACT_VALUES", 60)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(12, 6))[rng.integers(0, 12, 150)] + rng.choice([0, 1e-7, 3e-6], size=(150, 1))
+    v = dense.unit_rows(v)
+    got = dense._search(np.arange(150), v, np.arange(150), v, 4, True)
+    assert sorted((i, j, round(s, 6)) for i, j, s in got.itertuples(index=False)) == [(i, j, round(s, 6)) for i, j, s in plain_search(range(150), v, 4)]
+
+
 def test_cells_equal_exact_search_when_all_are_probed(vectors):
     rows, items = vectors
     queries = items.select(F.col("chunk_id").alias("query_id"), "vector")
