@@ -23,7 +23,6 @@ documents of their own; without training documents every bit has probability one
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -105,6 +104,50 @@ def _merged(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
 
 
+def _distinct_keys(streams: list[bytes], depth: int) -> np.ndarray:
+    """The keys of ``_key_counts`` alone."""
+    own, at = np.empty(sum(map(len, streams)), KEY_TYPE), 0
+    for keys, _ in running_keys(streams, depth):
+        own[at : at + len(keys)] = keys
+        at += len(keys)
+    own.sort()
+    return own[np.concatenate([np.ones(min(1, len(own)), bool), own[1:] != own[:-1]])]
+
+
+class Places:
+    """Finds where keys stand in an array of different ones, by a table of hashes; a taken place leads to the next one."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, max(8, (2 * len(keys)).bit_length())
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), self._slots(keys)
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]  # of keys with one place the last one gets it
+            left_out = self.table[slot] != left
+            left, slot = left[left_out], self._next(slot[left_out])
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, slot: np.ndarray) -> np.ndarray:
+        return (slot + 1) & ((1 << self.bits) - 1)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key; all of them are there."""
+        slot = self._slots(keys)
+        out = self.table[slot]
+        left = np.flatnonzero(self.keys[out] != keys)
+        slot = slot[left]
+        while len(left):
+            slot = self._next(slot)
+            out[left] = self.table[slot]
+            other = self.keys[out[left]] != keys[left]
+            left, slot = left[other], slot[other]
+        return out
+
+
 def _key_counts(streams: list[bytes], held: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys of texts, and how often each occurs in those that are not held out."""
     own, at = np.empty(sum(map(len, streams)), KEY_TYPE), 0
@@ -169,12 +212,10 @@ def _blocks(depth: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 piece = whole[at : at + SLICE_BYTES]
                 yield _rows(kind, block=[block], list=["texts"], bucket=[k], size=[len(piece)], names=[_zip(bytes(piece))])
             del whole
-            n_train, others = Counter(), set()
-            for out, text in zip(held, texts):
-                (others if out else n_train).update(_tokens(text))
-            words = sorted(others.union(n_train))
-            n = np.fromiter(map(n_train.__getitem__, words), np.int64, len(words))
-            del n_train, others
+            words, at, ends = _words(texts)
+            learnt = np.repeat(~np.array(held), np.diff(ends, prepend=0))
+            n = np.bincount(at[learnt], minlength=len(words))
+            del at, learnt
             order, own, first = _by_bucket(_word_buckets(words, buckets))
             for b, start, end in zip(own, first, first[1:]):
                 at = order[start:end]
@@ -204,9 +245,18 @@ def _blocks(depth: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
-def _tokens(text: bytes) -> list[bytes]:
-    """The tokens of a ``stream``."""
-    return [*text.split(), END]
+def _words(streams: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct tokens in order, the number of each token of all streams, and where each stream ends among these."""
+    data = pa.py_buffer(b"".join(streams))
+    raw = np.frombuffer(data, np.uint8)
+    stops = np.flatnonzero((raw == 32) | (raw == END[0])) + 1
+    tokens = pa.Array.from_buffers(pa.large_binary(), len(stops), [None, pa.py_buffer(np.append(0, stops)), data]).dictionary_encode()
+    words = [w.rstrip(b" ") for w in tokens.dictionary.to_pylist()]
+    order = sorted(range(len(words)), key=words.__getitem__)
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    ends = np.searchsorted(stops, np.cumsum(np.fromiter(map(len, streams), np.int64, len(streams)))) + 1
+    return [words[k] for k in order], rank[tokens.indices.to_numpy()], ends
 
 
 def _rows(kind: pa.DataType, **columns) -> pa.RecordBatch:
@@ -434,28 +484,21 @@ def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
 
     def document_values(own: pa.Table, found: pa.Table) -> pa.Table:
         own, texts = own.sort_by("place"), _texts(found)
-        words = set()
-        for text in texts:
-            words.update(_tokens(text))
-        words = sorted(words)
+        words, at, ends = _words(texts)
         c = _in_order(found, "words", _by_bucket(_word_buckets(words, buckets))[0])
-        local = dict(zip(words, range(len(words))))
         base = np.log10((c + 1) / (tokens + distinct + 1))
-        n_tokens, n_known, base_score = [], [], []
-        for text in texts:
-            split = _tokens(text)
-            at = np.fromiter(map(local.__getitem__, split), np.int64, len(split))
-            n_tokens.append(len(split))
-            n_known.append(int((c[at] > 0).sum()))
-            base_score.append(float(base[at].sum()))
-        del local, words
-
-        keys, _ = _key_counts(texts, np.zeros(len(texts), bool), depth)
+        n_tokens, n_known, base_score = np.diff(ends, prepend=0), [], []
+        for start, end in zip(ends - n_tokens, ends):
+            own_words = at[start:end]
+            n_known.append(int((c[own_words] > 0).sum()))
+            base_score.append(float(base[own_words].sum()))
+        del at, words
+
+        keys = _distinct_keys(texts, depth)
         logp = _in_order(found, "keys", _by_bucket(_key_buckets(keys, depth, buckets))[0]) * -STEP
-        score = np.zeros(len(texts))
+        score, places = np.zeros(len(texts)), Places(keys)
         for key, text in running_keys(texts, depth):
-            distinct_keys, at = np.unique(key, return_inverse=True)
-            score += np.bincount(text, logp[np.searchsorted(keys, distinct_keys)][at], len(texts))
+            score += np.bincount(text, logp[places.of(key)], len(texts))
         return pa.table(
             {
                 "doc_id": own.column("doc_id"), "held_out": own.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),

@@ -118,6 +118,27 @@ def test_long_text_in_pieces(monkeypatch):
     assert len(parts) > 20 and (np.concatenate([k for k, _ in parts]) == whole).all()
 
 
+def test_tokens_of_a_block_are_numbered():
+    streams = [ct.stream(x) for x in (b"b a\x01 a", b"", b"a  B\n\xc3\xa9 a", b" ")]
+    words, at, ends = ct._words(streams)
+    split = [[*x.split(), ct.END] for x in streams]
+    assert words == sorted({w for own in split for w in own})
+    assert [[words[k] for k in at[end - len(own) : end]] for own, end in zip(split, ends)] == split and ends[-1] == len(at)
+
+
+def test_keys_are_found_where_hashes_collide():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 56, 5000))
+    streams = [ct.stream(b"some words and some words more " * 9), ct.END]
+    for own in (keys, keys[:1], keys[:200]):
+        places = ct.Places(own)
+        wanted = rng.integers(0, len(own), 3000)
+        assert (places.of(own[wanted]) == wanted).all()
+        if len(own) > 1:
+            assert len(np.unique(places._slots(own))) < len(own)
+    assert (ct._distinct_keys(streams, 6) == ct._key_counts(streams, np.zeros(2, bool), 6)[0]).all()
+
+
 def test_nothing_to_learn_from(spark):
     got = ct.score_texts(spark.createDataFrame([(2, "ab")], "doc_id long, text string"), ct.F.lit(True)).first()
     assert (got.n_known, got.train_tokens) == (0, 0) and abs(got.score - 32 * math.log10(0.5)) < 1e-9
