@@ -284,6 +284,27 @@ def test_clusters(spark, vectors):
     assert summaries.cluster_count(3) == 2 and summaries.cluster_count(1000) == 10 and summaries.cluster_count(40) == 5
 
 
+def test_postings_of_frequent_terms_are_dealt_over_tasks(spark, monkeypatch):
+    """A task holds its files' postings alone, whatever the number of shuffle partitions is, and not the whole of a term."""
+    monkeypatch.setattr(keyword, "SHARD_POSTINGS", 50)
+    monkeypatch.setattr(keyword, "PIECE_SHARDS", 2)
+    chunks = spark.range(4000).selectExpr("id AS chunk_id", "concat('every common w', id % 200, ' v', id % 300) AS text")
+    counts = keyword.counted(chunks)
+    blocks = keyword.posting_blocks(keyword.exploded(counts), keyword.stats_of(counts), [], 32)
+    held = [r["n"] for r in blocks.groupBy(F.spark_partition_id()).agg(F.sum("n").alias("n")).collect()]
+    assert sum(held) == 16_000 and max(held) < 2000
+    df = {r["term"]: r["df"] for r in keyword.term_table(blocks, []).collect()}
+    assert df["every"] == df["common"] == 4000 and len(df) == 502
+
+
+def test_dealt_rows_ask_for_partitions(spark, monkeypatch):
+    monkeypatch.setattr(sizing, "TASK_ROWS", 10)
+    rows = spark.range(1000).withColumnRenamed("id", "k")
+    placed = sizing.dealt(rows, 1000, "k")
+    assert placed.rdd.getNumPartitions() == 100 and placed.distinct().count() == 1000
+    assert sizing.dealt(rows, 20, "k").rdd.getNumPartitions() <= 8
+
+
 def test_rerank_takes_a_user_scorer(spark):
     import pandas as pd
 
