@@ -22,18 +22,22 @@ MAX_FILE_BYTES = 300 * 1024 * 1024
 UPLOAD_SUFFIXES = ("pdf", "doc", "docx", "xlsx", "xls")
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, path, block_idx, *block fields) of JSON block lists, one list per file, order kept.
+def read_blocks(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """(doc, path, block_idx, *block fields) of JSON block lists, order kept: one list per file, named after it.
 
     A list is one JSON value, so a file is one row until it is exploded; broken files give no rows here and
-    are listed by ``broken_files``.
+    are listed by ``broken_files``. ``packed`` files hold many lists, one object with ``doc`` and ``blocks`` per line, so that
+    their number does not grow with that of the documents.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    files = files.select(F.input_file_name().alias("path"), F.from_json("value", f"array<{BLOCK}>").alias("blocks"))
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), rf"({LIST_SUFFIX})?\.[^.]*$", "")
-    return files.select(F.url_decode(name).alias("doc"), "path", F.posexplode("blocks").alias("block_idx", "b")).select(
-        "doc", "path", "block_idx", "b.*"
-    )
+    files = spark.read.option("wholetext", not packed).option("recursiveFileLookup", True).text(path)
+    if packed:
+        line = F.from_json("value", f"struct<doc: string, blocks: array<{BLOCK}>>")
+        files = files.select(line["doc"].alias("doc"), F.input_file_name().alias("path"), line["blocks"].alias("blocks"))
+    else:
+        files = files.select(F.input_file_name().alias("path"), F.from_json("value", f"array<{BLOCK}>").alias("blocks"))
+        name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), rf"({LIST_SUFFIX})?\.[^.]*$", "")
+        files = files.select(F.url_decode(name).alias("doc"), "path", "blocks")
+    return files.select("doc", "path", F.posexplode("blocks").alias("block_idx", "b")).select("doc", "path", "block_idx", "b.*")
 
 
 def broken_files(spark: SparkSession, path: str) -> DataFrame:

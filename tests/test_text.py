@@ -1,5 +1,7 @@
 """Text, table and sheet operators on hand-made rows, with CJK text that the driver tables lack."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +266,29 @@ def test_sample_is_exact_and_repeatable(spark):
     a = sorted(r.id for r in curate.stratified_sample(df, "id", 7, "g").collect())
     assert len(a) == 21 and a == sorted(r.id for r in curate.stratified_sample(df.repartition(5), "id", 7, "g").collect())
     assert curate.stratified_sample(df, "id", 9).count() == 9
+
+
+def test_packed_block_lists_equal_one_file_each(spark, tmp_path):
+    """Lists that lie many to a file, one a line, give the rows of lists in files of their own; a broken line gives none."""
+    lists = {"a": [{"type": "text", "text": "one\ntwo\r three"}, {"type": "image", "text": "x"}, {"type": "equation", "text": " y "}], "b é": [], "c": [{"type": "text", "text": "z", "page_idx": 4}]}
+    for k, (doc, own) in enumerate(lists.items()):
+        (tmp_path / "each").mkdir(exist_ok=True)
+        (tmp_path / "each" / f"{doc}_content_list.json").write_text(json.dumps(own))
+    (tmp_path / "packed").mkdir()
+    (tmp_path / "packed" / "part-0.txt").write_text("\n".join([*(json.dumps({"doc": d, "blocks": own}) for d, own in lists.items()), "{broken"]))
+    each, packed = (sorted(map(tuple, B.scan_blocks(B.read_blocks(spark, str(tmp_path / name), packed=name == "packed")).collect())) for name in ("each", "packed"))
+    assert each == packed and len(each) == 3
+
+
+def test_scan_blocks_writes_few_files(spark, monkeypatch):
+    """The number of files does not grow with that of the documents (30 in this table)."""
+    import glob
+
+    import __spark_entry__ as entry
+    from lectern.plans import shaping
+
+    paths = []
+    monkeypatch.setattr(shaping, "work_path", lambda s, name, real=shaping.work_path: paths.append(real(s, name)) or paths[-1])
+    found = entry.queries()["scan_blocks"](spark, "/root/testdata/sf0.001")
+    assert found.select("source").distinct().count() == 30
+    assert 0 < len(glob.glob(f"{paths[0].removeprefix('file:')}/**/*.txt", recursive=True)) <= 8
