@@ -214,3 +214,25 @@ def test_hooks(spark):
     assert [r.vector for r in hooks.embed(rows, lengths).orderBy("chunk_id").collect()] == [[3.0, 1.0], [1.0, 1.0]]
     chained = hooks.wrap(lambda q, c: c, lambda df: df.where("chunk_id > 1"), lambda df: df.select("chunk_id"))
     assert [r.chunk_id for r in chained(rows, rows).collect()] == [2]
+
+
+def test_postings_are_moved_packed_and_stored_small(spark, tmp_path):
+    """Counts and lengths above 16 bits come back from the number they are moved in; what is stored is compressed tightly."""
+    import glob
+
+    import pyarrow.parquet as pq
+    from lectern.operators import keyword
+
+    chunks = spark.createDataFrame([("a-1", "often " * 70_000 + "once rare"), ("a-2", "often twice twice"), (None, "rare")], "chunk_id string, text string")
+    index = keyword.write_index(chunks, str(tmp_path / "index"))
+    got = {(r.chunk_id, r.term): (r.tf, r.dl) for r in index.postings.collect()}
+    assert got == {
+        ("a-1", "often"): (70_000, 70_002), ("a-1", "once"): (1, 70_002), ("a-1", "rare"): (1, 70_002),
+        ("a-2", "often"): (1, 3), ("a-2", "twice"): (2, 3), (None, "rare"): (1, 1),
+    }
+    files = glob.glob(str(tmp_path / "index/blocks/*/*.parquet"))
+    assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
+    rows = keyword.postings(chunks)
+    plan = keyword.posting_blocks(rows, keyword.corpus_stats(chunks), (), 32)._jdf.queryExecution().optimizedPlan().toString()
+    moved = plan[plan.index("RepartitionByExpression") :].split("\n")[1]
+    assert "_n#" in moved and "bucket" not in moved and "AS impact" not in moved
